@@ -26,7 +26,7 @@ STAR_SPEC: list[tuple[str, str, list[str], list[str]]] = [
     ("supplier", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey"], ["s_suppkey", "s_nationkey"]),
     ("part", "p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], ["p_partkey"]),
     ("orders", "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], ["o_orderkey", "o_custkey"]),
-    ("lineitem", "l_orderkey * 8 + l_linenumber",
+    ("lineitem", "hash:l_orderkey,l_linenumber,l_partkey,l_suppkey,l_returnflag,l_linestatus",
      ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
      ["l_orderkey", "l_partkey", "l_suppkey"]),
     ("documents", "doc_id", ["doc_id", "lang", "source"], ["doc_id"]),
@@ -48,6 +48,16 @@ STAR_LINKS: list[tuple[str, str, str, str]] = [
 ]
 
 
+def row_id_sql(row_expr: str) -> str:
+    """Row-id expression: a key expression, or ``hash:c1,c2,..`` for tables
+    without a unique key (60 bits of md5 over the used columns)."""
+    if row_expr.startswith("hash:"):
+        cols = row_expr[5:].split(",")
+        body = ", ".join(f"cast({c} as string)" for c in cols)
+        return f"conv(substr(md5(concat_ws('|', {body})), 1, 15), 16, 10)"
+    return row_expr
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,7 +67,7 @@ def _unpivot(df: DataFrame, table_id, row_expr: str, cols: list[str]) -> DataFra
     structs = [F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("col_name"),
                         F.col(c).cast("string").alias("value")) for i, c in enumerate(cols)]
     tid = F.lit(table_id) if isinstance(table_id, str) else table_id
-    return df.select(tid.alias("table_id"), F.expr(row_expr).cast("long").alias("row_idx"),
+    return df.select(tid.alias("table_id"), F.expr(row_id_sql(row_expr)).cast("long").alias("row_idx"),
                      F.inline(F.array(*structs)))
 
 
