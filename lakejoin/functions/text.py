@@ -30,9 +30,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def fmt_dec(x: Column, digits: int) -> Column:
+    """``f"{x:.Nf}"`` (half-even on the binary value, no grouping commas)."""
+    return F.regexp_replace(F.format_number(x, digits), ",", "")
+
+
 def fmt_1f(x: Column) -> Column:
-    """``f"{x:.1f}"`` (half-even on the binary value, no grouping commas)."""
-    return F.regexp_replace(F.format_number(x, 1), ",", "")
+    return fmt_dec(x, 1)
 
 
 def cell_text(name: Column, value: Column) -> Column:

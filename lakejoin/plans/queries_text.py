@@ -112,10 +112,12 @@ def column_links(spark, sf):
 
 
 # ---- J3 / A4 / A5 / W4 table search by key columns ---------------------------------------
-def table_search_sql(k: int = DEFAULT_K) -> str:
-    keycells = "kcells AS (SELECT c.* FROM cells c JOIN columns k ON k.table_id = c.table_id AND k.col_idx = c.col_idx AND k.key_pos IS NOT NULL)"
+def table_search_ctes(k: int = DEFAULT_K) -> str:
+    """CTEs ending in ``preds(query_id, cand_id, score, rank)`` (score unrounded)."""
+    keycells = ("kcells AS (SELECT c.* FROM cells c JOIN columns k ON k.table_id = c.table_id "
+                "AND k.col_idx = c.col_idx AND k.key_pos IS NOT NULL)")
     keycols = "kcols AS (SELECT * FROM columns WHERE key_pos IS NOT NULL)"
-    return f"""WITH {STAR}, {keycells}, {keycols}, {O.column_text_ctes(cells='kcells', columns='kcols').strip()},
+    return f"""{STAR}, {keycells}, {keycols}, {O.column_text_ctes(cells='kcells', columns='kcols').strip()},
 {O.hash_ctes('coltext', ['table_id', 'col_name'], 'text', DEFAULT_DIM).strip()},
 {O.cosine_cte('sims', 'emb', 'emb', ['table_id', 'col_name'], 'q_', 'l_').strip()},
 best AS (SELECT q_table_id, l_table_id, q_col_name, greatest(max(sim), 0.0) AS best FROM sims GROUP BY ALL),
@@ -123,13 +125,20 @@ nq AS (SELECT table_id AS q_table_id, count(*) AS n_q FROM kcols GROUP BY ALL),
 score AS (SELECT b.q_table_id AS query_id, b.l_table_id AS cand_id, round(sum(best) / n_q, 12) AS score
           FROM best b JOIN nq ON nq.q_table_id = b.q_table_id GROUP BY b.q_table_id, b.l_table_id, n_q),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS rank
-           FROM score WHERE score > 0)
-SELECT query_id, cand_id, round(score, 6) AS score, rank FROM top WHERE rank <= {k}"""
+        FROM score WHERE score > 0),
+preds AS (SELECT query_id, cand_id, score, rank FROM top WHERE rank <= {k}),
+runq AS (SELECT DISTINCT table_id AS query_id FROM kcols)"""
 
 
-@register("table_search_columns", table_search_sql())
-def table_search(spark, sf):
+def star_predictions(spark, sf, k: int = DEFAULT_K):
+    """(lake, predictions) of F1 over the star lake (query = lake)."""
     lake = star_lake(spark, sf)
     emb = lake_column_embeddings(lake, keys_only=True)
-    out = table_search_columns(emb, emb, lake.key_columns().select("table_id", "col_name"), DEFAULT_K)
+    return lake, table_search_columns(emb, emb, lake.key_columns().select("table_id", "col_name"), k)
+
+
+@register("table_search_columns", f"""WITH {table_search_ctes()}
+SELECT query_id, cand_id, round(score, 6) AS score, rank FROM preds""")
+def table_search(spark, sf):
+    _, out = star_predictions(spark, sf)
     return out.select("query_id", "cand_id", r6("score"), "rank")
