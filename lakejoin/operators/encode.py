@@ -126,11 +126,23 @@ def key_rows(lake, override: list[int] | None = None) -> DataFrame:
 
 
 def row_embeddings_hash(krows: DataFrame, dim: int) -> DataFrame:
-    """E3 + E4 (hash): encode each key cell ``col : val`` (P6) and concatenate
-    in key order (dimension offset = key_pos * dim); rows are unit-normalised.
-    Output ``(table_id, row_idx, arity, dim, w)`` sparse."""
+    """E3 (hash): encode each key cell ``col : val`` (P6) and concatenate in
+    key order (dimension offset = key_pos * dim).  Output sparse
+    ``(table_id, row_idx, arity, dim, w)`` with integer weights; unit
+    normalisation (E4/E5) happens in the similarity step, which divides the
+    exact integer dot product by both norms."""
     ids = ["table_id", "row_idx"]
     texts = krows.select(*ids, "key_pos", cell_text(F.col("col_name"), F.col("value")).alias("text"))
     arity = krows.groupBy(*ids).agg(F.count(F.lit(1)).cast("int").alias("arity"))
     sp = hash_encode(texts, ids, "text", dim, offset_col="key_pos")
-    return sparse_unit(sp, ids).join(arity, ids)
+    return sp.join(arity, ids)
+
+
+def dense_rows(sparse_rows: DataFrame, dim: int) -> DataFrame:
+    """Sparse row embeddings -> ``(table_id, row_idx, arity, vec)`` of width
+    ``arity * dim`` (rows whose cells all hash to zero stay as zero vectors)."""
+    ids = ["table_id", "row_idx", "arity"]
+    m = sparse_rows.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col("dim").cast("int"), F.col("w").cast("double")))).alias("m"))
+    return m.select(*ids, F.transform(F.sequence(F.lit(0), F.col("arity") * F.lit(dim) - 1),
+                                      lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vec"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakejoin.functions.vectors import COS_EPS
+from lakejoin.functions.vectors import COS_EPS, NORM_EPS
 from lakejoin.operators.encode import sparse_norms
 from lakejoin.operators.rank import rank_within
 
@@ -98,36 +98,49 @@ def table_search_columns(q_emb: DataFrame, l_emb: DataFrame, q_keys: DataFrame,
 
 # ----------------------------------------------------------------- dense path
 
+def _fresh(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Re-alias columns so both sides of a self co-group have distinct attributes."""
+    return df.select(*[F.col(c).alias(c) for c in cols])
+
+
 def _assign_blocks(df: DataFrame, ids: list[str], own: str, other: str, n_own: int, n_other: int) -> DataFrame:
     return (df.withColumn(own, F.pmod(F.xxhash64(*ids), F.lit(n_own)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))))
 
 
-def _stack(v) -> np.ndarray:
-    return np.stack([np.asarray(x, dtype=np.float64) for x in v]) if len(v) else np.zeros((0, 0))
-
-
 def joinability_counts(q_rows: DataFrame, l_rows: DataFrame, alpha: float,
                        q_blocks: int = 1, l_blocks: int = 1, exclude_self: bool = True) -> DataFrame:
     """J4 core (dense block path): for each (query table, lake table) of equal
     key arity, the number of query rows with some lake row of cosine > alpha.
 
-    Inputs ``(table_id, row_idx, arity, vec)`` with unit vectors.  Output
-    ``(q_table_id, l_table_id, n_match)`` for every table pair met (0 kept)."""
-    q = _assign_blocks(q_rows.select("table_id", "row_idx", "arity", "vec"),
+    Inputs ``(table_id, row_idx, arity, vec)``; cosine = dot / (max(|q|,eps)
+    max(|l|,eps)), i.e. the dot product of unit-normalised rows (E4/E5) with
+    the division done last, so integer-valued vectors give exact dots.
+    Output ``(q_table_id, l_table_id, n_match)`` for every table pair met
+    (0 kept)."""
+    cols = ["table_id", "row_idx", "arity", "vec"]
+    q = _assign_blocks(_fresh(q_rows, cols),
                        ["table_id", "row_idx"], "qb", "lb", q_blocks, l_blocks)
-    l = _assign_blocks(l_rows.select("table_id", "row_idx", "arity", "vec"),
+    l = _assign_blocks(_fresh(l_rows, cols),
                        ["table_id", "row_idx"], "lb", "qb", l_blocks, q_blocks)
     schema = "q_table_id string, l_table_id string, row_idx long, matched boolean"
+    eps = NORM_EPS
 
+    # self-contained closure (numpy / pandas only): shipped by value to workers
     def fn(qp: pd.DataFrame, lp: pd.DataFrame) -> pd.DataFrame:
+        def _stack(v):
+            return np.stack([np.asarray(x, dtype=np.float64) for x in v])
+
         if qp.empty or lp.empty:
             return pd.DataFrame({"q_table_id": [], "l_table_id": [], "row_idx": [], "matched": []})
         lp = lp.sort_values("table_id", kind="stable")
         lt = lp["table_id"].to_numpy()
         starts = np.flatnonzero(np.r_[True, lt[1:] != lt[:-1]])
         l_tables = lt[starts]
-        sim = _stack(qp["vec"].to_numpy()) @ _stack(lp["vec"].to_numpy()).T
+        Q, L = _stack(qp["vec"].to_numpy()), _stack(lp["vec"].to_numpy())
+        nq = np.maximum(np.sqrt((Q * Q).sum(axis=1)), eps)
+        nl = np.maximum(np.sqrt((L * L).sum(axis=1)), eps)
+        sim = (Q @ L.T) / np.outer(nq, nl)
         best = np.maximum.reduceat(sim, starts, axis=1)          # [n_q, n_l_tables]
         qt = qp["table_id"].to_numpy()
         qi = qp["row_idx"].to_numpy()
@@ -173,20 +186,24 @@ def column_links_topk_dense(col_vecs: DataFrame, k: int = 30, blocks: int = 1) -
     """J2 + W3 (dense block path): ``(table_id, col_name, vec)`` -> same output
     as :func:`column_links_topk`.  Block pairs (i <= j) only; each task emits
     its local top-k per table pair before the final window."""
-    base = col_vecs.select("table_id", "col_name", "vec")
-    a = (base.withColumn("ab", F.pmod(F.xxhash64("table_id", "col_name"), F.lit(blocks)).cast("int"))
+    cols = ["table_id", "col_name", "vec"]
+    a = (_fresh(col_vecs, cols).withColumn("ab", F.pmod(F.xxhash64("table_id", "col_name"), F.lit(blocks)).cast("int"))
          .withColumn("bb", F.explode(F.sequence(F.col("ab"), F.lit(blocks - 1)))))
-    b = (base.withColumn("bb", F.pmod(F.xxhash64("table_id", "col_name"), F.lit(blocks)).cast("int"))
+    b = (_fresh(col_vecs, cols).withColumn("bb", F.pmod(F.xxhash64("table_id", "col_name"), F.lit(blocks)).cast("int"))
          .withColumn("ab", F.explode(F.sequence(F.lit(0), F.col("bb")))))
     schema = "table1 string, table2 string, column1 string, column2 string, prob double"
+    eps = COS_EPS
 
     def fn(ap: pd.DataFrame, bp: pd.DataFrame) -> pd.DataFrame:
+        def _stack(v):
+            return np.stack([np.asarray(x, dtype=np.float64) for x in v])
+
         cols = ["table1", "table2", "column1", "column2", "prob"]
         if ap.empty or bp.empty:
             return pd.DataFrame({c: [] for c in cols})
         A, B = _stack(ap["vec"].to_numpy()), _stack(bp["vec"].to_numpy())
-        na = np.linalg.norm(A, axis=1) + COS_EPS
-        nb = np.linalg.norm(B, axis=1) + COS_EPS
+        na = np.linalg.norm(A, axis=1) + eps
+        nb = np.linalg.norm(B, axis=1) + eps
         sim = (A @ B.T) / np.outer(na, nb)
         diagonal = int(ap["ab"].iloc[0]) == int(bp["bb"].iloc[0])
         ta, tb = ap["table_id"].to_numpy(), bp["table_id"].to_numpy()

@@ -42,3 +42,20 @@ def discover_tables(query: Lake, lake: Lake | None = None, k: int = DEFAULT_K,
         l_emb = lake_column_embeddings(lake, dim, keys_only=True)
     q_keys = query.key_columns().select("table_id", "col_name")
     return table_search_columns(q_emb, l_emb, q_keys, k)
+
+
+def search_joinable(q_rows: DataFrame, l_rows: DataFrame, lake_pos: DataFrame,
+                    alpha: float = DEFAULT_ALPHA, q_blocks: int | None = None,
+                    l_blocks: int | None = None, block_rows: int = 4096) -> DataFrame:
+    """F3 ranking: every lake table (self excluded, equal key arity) ranked per
+    query table by the share of query rows with a lake row above ``alpha``;
+    ties keep lake order.  Rows: ``(table_id, row_idx, arity, vec)``.
+
+    Block counts default to ceil(rows / block_rows) (one scalar count each)."""
+    from lakejoin.operators.similarity import blocks_for, joinability_scores, table_search_rows
+    if q_blocks is None:
+        q_blocks = blocks_for(q_rows.count(), block_rows)
+    if l_blocks is None:
+        l_blocks = blocks_for(l_rows.count(), block_rows)
+    scores = joinability_scores(q_rows, l_rows, alpha, q_blocks, l_blocks, exclude_self=True)
+    return table_search_rows(scores, lake_pos)

@@ -34,3 +34,4 @@ def r6(c: str):
 # Import query modules so they register themselves.
 from lakejoin.plans import queries_text  # noqa: E402,F401
 from lakejoin.plans import queries_eval  # noqa: E402,F401
+from lakejoin.plans import queries_rows  # noqa: E402,F401
