@@ -103,19 +103,8 @@ def key_rows(lake, override: list[int] | None = None) -> DataFrame:
 
     Key choice per table: ``override`` (range-filtered, possibly empty), else
     the declared keys, else all columns."""
-    cols = lake.columns
-    tables = lake.tables.select("table_id", "n_cols")
-    if override is not None:
-        ov = F.array(*[F.lit(int(i)) for i in override]) if override else F.array().cast("array<int>")
-        keys = (tables.select("table_id", F.posexplode(F.filter(ov, lambda i: (i >= 0) & (i < F.col("n_cols"))))
-                              .alias("key_pos", "col_idx"))
-                .join(cols.select("table_id", "col_idx", "col_name"), ["table_id", "col_idx"]))
-    else:
-        declared = cols.where(F.col("key_pos").isNotNull())
-        has = declared.select("table_id").distinct()
-        fallback = (cols.join(has, "table_id", "left_anti")
-                    .withColumn("key_pos", F.col("col_idx")))
-        keys = declared.unionByName(fallback).select("table_id", "key_pos", "col_idx", "col_name")
+    from lakejoin.operators.catalog import key_columns_b
+    keys = key_columns_b(lake, override)
     rows = lake.cells.select("table_id", "row_idx").distinct()
     # rows x keys of the same table; a hot table is split by AQE's skew join
     grid = rows.join(keys, "table_id")

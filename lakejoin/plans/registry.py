@@ -35,3 +35,4 @@ def r6(c: str):
 from lakejoin.plans import queries_text  # noqa: E402,F401
 from lakejoin.plans import queries_eval  # noqa: E402,F401
 from lakejoin.plans import queries_rows  # noqa: E402,F401
+from lakejoin.plans import queries_catalog  # noqa: E402,F401
