@@ -64,8 +64,12 @@ def star_truth_queries() -> str:
 
 
 def star_links() -> str:
-    rows = [f"({q(a)}, {q(b)}, {q(c)}, {q(d)})" for a, b, c, d in STAR_LINKS]
-    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") t(table1, column1, table2, column2)"
+    return "SELECT table1, column1, table2, column2 FROM (" + star_links_ordered() + ")"
+
+
+def star_links_ordered() -> str:
+    rows = [f"({i}, {q(a)}, {q(b)}, {q(c)}, {q(d)})" for i, (a, b, c, d) in enumerate(STAR_LINKS)]
+    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") t(link_pos, table1, column1, table2, column2)"
 
 
 def grouped_cells(table: str, prefix: str, group_col: str, row_col: str, cols: list[str]) -> str:
@@ -76,10 +80,12 @@ def grouped_cells(table: str, prefix: str, group_col: str, row_col: str, cols: l
 
 
 def grouped_columns(table: str, prefix: str, group_col: str, cols: list[str], keys: list[int]) -> str:
-    vals = ", ".join(f"({i}, {q(c)}, {str(keys.index(i)) if i in keys else 'NULL'})" for i, c in enumerate(cols))
+    from lakejoin.sources.testdata import DESCRIPTIONS
+    vals = ", ".join(f"({i}, {q(c)}, {str(keys.index(i)) if i in keys else 'NULL'}, "
+                     f"{q(DESCRIPTIONS[c]) if c in DESCRIPTIONS else 'NULL'})" for i, c in enumerate(cols))
     return (f"SELECT DISTINCT {q(prefix)} || CAST({group_col} AS VARCHAR) AS table_id, s.col_idx, s.col_name, "
-            f"CAST(NULL AS VARCHAR) AS description, CAST(s.key_pos AS INTEGER) AS key_pos "
-            f"FROM {table}, (VALUES {vals}) s(col_idx, col_name, key_pos)")
+            f"CAST(s.description AS VARCHAR) AS description, CAST(s.key_pos AS INTEGER) AS key_pos "
+            f"FROM {table}, (VALUES {vals}) s(col_idx, col_name, key_pos, description)")
 
 
 def grouped_tables(table: str, prefix: str, group_col: str) -> str:

@@ -106,6 +106,15 @@ def star_links(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(STAR_LINKS, "table1 string, column1 string, table2 string, column2 string")
 
 
+# Fixed column descriptions of the small-table lakes (the parquet files carry none).
+DESCRIPTIONS = {
+    "event_type": "Kind of user event",
+    "props": "Event properties as JSON",
+    "role": "Speaker of the turn",
+    "text": "Message text of the turn",
+}
+
+
 def _grouped_lake(spark: SparkSession, df: DataFrame, prefix: str, group_col: str,
                   row_col: str, cols: list[str], keys: list[int]) -> Lake:
     """Many small tables, one per value of ``group_col``."""
@@ -113,7 +122,7 @@ def _grouped_lake(spark: SparkSession, df: DataFrame, prefix: str, group_col: st
     cells = _unpivot(df, tid, row_col, cols)
     ids = df.select(tid.alias("table_id"), F.col(group_col).cast("long").alias("table_pos")).distinct()
     spec = [F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("col_name"),
-                     F.lit(None).cast("string").alias("description"),
+                     F.lit(DESCRIPTIONS.get(c)).cast("string").alias("description"),
                      F.lit(keys.index(i) if i in keys else None).cast("int").alias("key_pos"))
             for i, c in enumerate(cols)]
     # the column catalog is (#tables x #cols): a fixed generator per table id
