@@ -37,3 +37,4 @@ from lakejoin.plans import queries_eval  # noqa: E402,F401
 from lakejoin.plans import queries_rows  # noqa: E402,F401
 from lakejoin.plans import queries_catalog  # noqa: E402,F401
 from lakejoin.plans import queries_pairs  # noqa: E402,F401
+from lakejoin.plans import queries_cluster  # noqa: E402,F401
