@@ -48,33 +48,43 @@ def _dedupe(docs: DataFrame, mode: str) -> DataFrame:
 
 
 def read_table_documents(spark: SparkSession, path: str, layout: str = "row_major",
-                         dedupe: str = "last") -> Lake:
+                         dedupe: str = "last", pad_short_rows: bool = True) -> Lake:
     """S1/S2/S3/S11 -> Lake.
 
     layout ``row_major``: ``cells[r][c]``, short rows padded with NULL (S1);
     ``column_major``: ``cells[c][r]``; ``rows``: ``rows[r][c]`` with short
     rows compacting the column (values re-indexed per column, S11).
-    dedupe: ``last`` (S1), ``first`` (C14, B) or ``none`` (S2 list)."""
+    dedupe: ``last`` (S1), ``first`` (C14, B) or ``none`` (S2 list).
+    pad_short_rows: row-major rows shorter than the header get NULL cells
+    (A's loader, also for empty rows); off, only present cells are emitted
+    (B keeps raw rows: empty rows vanish, short rows are padded later)."""
     docs = _dedupe(_docs(spark, path), dedupe)
     d = docs.select("table_pos", F.col("doc.*"))
     columns = d.select("table_id", F.posexplode("columns").alias("col_idx", "col_name"),
                        F.col("descriptions"), F.col("join_key_indices"))
     columns = columns.select(
         "table_id", "col_idx", "col_name",
-        F.element_at(F.coalesce("descriptions", F.array().cast("array<string>")), F.col("col_idx") + 1).alias("description"),
+        F.try_element_at(F.coalesce("descriptions", F.array().cast("array<string>")), (F.col("col_idx") + 1).cast("int")).alias("description"),
         F.when(F.array_position(F.coalesce("join_key_indices", F.array().cast("array<int>")), F.col("col_idx")) > 0,
                F.array_position(F.coalesce("join_key_indices", F.array().cast("array<int>")), F.col("col_idx")) - 1)
         .cast("int").alias("key_pos"))
     ncol = F.size("columns")
     if layout == "row_major":
         rows = d.select("table_id", "columns", F.posexplode(F.coalesce("cells", F.array())).alias("row_idx", "row"))
-        cells = rows.select("table_id", F.col("row_idx").cast("long"), F.posexplode("columns").alias("col_idx", "col_name"),
-                            "row").select("table_id", "row_idx", "col_idx", "col_name",
-                                          F.element_at("row", F.col("col_idx") + 1).alias("value"))
+        if pad_short_rows:
+            cells = rows.select("table_id", F.col("row_idx").cast("long"), F.posexplode("columns").alias("col_idx", "col_name"),
+                                "row").select("table_id", "row_idx", "col_idx", "col_name",
+                                              F.try_element_at("row", (F.col("col_idx") + 1).cast("int")).alias("value"))
+        else:
+            cells = (rows.select("table_id", F.col("row_idx").cast("long"), "columns",
+                                 F.posexplode("row").alias("col_idx", "value"))
+                     .where(F.col("col_idx") < F.size("columns"))
+                     .select("table_id", "row_idx", "col_idx",
+                             F.try_element_at("columns", (F.col("col_idx") + 1).cast("int")).alias("col_name"), "value"))
     elif layout == "column_major":
         colv = d.select("table_id", "columns", F.posexplode(F.coalesce("cells", F.array())).alias("col_idx", "vals"))
         cells = (colv.where(F.col("col_idx") < F.size("columns"))
-                 .select("table_id", "col_idx", F.element_at("columns", F.col("col_idx") + 1).alias("col_name"),
+                 .select("table_id", "col_idx", F.try_element_at("columns", (F.col("col_idx") + 1).cast("int")).alias("col_name"),
                          F.posexplode("vals").alias("row_idx", "value"))
                  .select("table_id", F.col("row_idx").cast("long"), "col_idx", "col_name", "value"))
     elif layout == "rows":
@@ -83,7 +93,7 @@ def read_table_documents(spark: SparkSession, path: str, layout: str = "row_majo
             .where(F.col("col_idx") < F.size("columns"))
         w = Window.partitionBy("table_id", "col_idx").orderBy("src_row")
         cells = raw.select("table_id", (F.row_number().over(w) - 1).cast("long").alias("row_idx"), "col_idx",
-                           F.element_at("columns", F.col("col_idx") + 1).alias("col_name"), "value")
+                           F.try_element_at("columns", (F.col("col_idx") + 1).cast("int")).alias("col_name"), "value")
     else:
         raise ValueError(f"unknown layout {layout}")
     positions = d.select("table_id", "table_pos", "base_id", "partition")
