@@ -118,8 +118,11 @@ def column_text(lake: Lake, pattern: str = "title-colname-stat-col", lake_freq:
     prof = column_profile(groups)
     ranked = rank_values(groups.where(F.col("value").isNotNull()), lake_freq, limit=budget + 1)
     vals = sampled_text(sample_values(ranked, budget))
-    cols = (columns.select(*KEY).distinct()
-            .join(lake.tables.select("table_id", "table_name"), "table_id", "left"))
+    cols = columns.select(*KEY).distinct()
+    if pattern == "title-colname-col":  # the only pattern that prints the table name
+        cols = cols.join(lake.tables.select("table_id", "table_name"), "table_id", "left")
+    else:
+        cols = cols.withColumn("table_name", F.col("table_id"))
     base = cols.join(prof, KEY, "left").join(vals, KEY, "left")
     v = F.coalesce(F.col("values_text"), F.lit(""))
     stat = F.concat(F.col("col_name"), F.lit(" contains "), F.coalesce("n_distinct", F.lit(0)).cast("string"),

@@ -10,6 +10,7 @@ from lakejoin.lake import Lake
 from lakejoin.operators.encode import column_embeddings_hash
 from lakejoin.operators.profile import column_text
 from lakejoin.operators.similarity import column_links_topk, table_search_columns
+from lakejoin.session import cut_lineage
 
 DEFAULT_K = 30
 DEFAULT_ALPHA = 0.7
@@ -22,7 +23,9 @@ def lake_column_embeddings(lake: Lake, dim: int = DEFAULT_DIM, pattern: str = "t
         text = column_text(lake, pattern, cells=lake.key_cells(), columns=lake.key_columns())
     else:
         text = column_text(lake, pattern)
-    return column_embeddings_hash(text, dim)
+    # the embedding table is read several times by the similarity join (both
+    # sides and the norms): materialise it once in the shared checkpoint folder
+    return cut_lineage(column_embeddings_hash(text, dim))
 
 
 def discover_column_links(lake: Lake, k: int = DEFAULT_K, dim: int = DEFAULT_DIM) -> DataFrame:
@@ -53,6 +56,9 @@ def search_joinable(q_rows: DataFrame, l_rows: DataFrame, lake_pos: DataFrame,
 
     Block counts default to ceil(rows / block_rows) (one scalar count each)."""
     from lakejoin.operators.similarity import blocks_for, joinability_scores, table_search_rows
+    same = q_rows is l_rows
+    q_rows = cut_lineage(q_rows)  # embeddings are computed once, read by every block pair
+    l_rows = q_rows if same else cut_lineage(l_rows)
     if q_blocks is None:
         q_blocks = blocks_for(q_rows.count(), block_rows)
     if l_blocks is None:

@@ -48,6 +48,13 @@ STAR_LINKS: list[tuple[str, str, str, str]] = [
 ]
 
 
+def _row_cols(row_expr: str) -> list[str]:
+    if row_expr.startswith("hash:"):
+        return row_expr[5:].split(",")
+    import re
+    return [t for t in re.findall(r"[a-z_]+", row_expr)]
+
+
 def row_id_sql(row_expr: str) -> str:
     """Row-id expression: a key expression, or ``hash:c1,c2,..`` for tables
     without a unique key (60 bits of md5 over the used columns)."""
@@ -62,20 +69,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than task slots (a small file with one row
+    group) is spread round-robin before the cell explosion; large inputs
+    already have one split per row group and are left alone."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def _unpivot(df: DataFrame, table_id, row_expr: str, cols: list[str]) -> DataFrame:
     """Wide -> long cells with one generator (one scan, pruned columns)."""
     structs = [F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("col_name"),
                         F.col(c).cast("string").alias("value")) for i, c in enumerate(cols)]
     tid = F.lit(table_id) if isinstance(table_id, str) else table_id
-    return df.select(tid.alias("table_id"), F.expr(row_id_sql(row_expr)).cast("long").alias("row_idx"),
-                     F.inline(F.array(*structs)))
+    # ids first (once per input row), then the generator
+    base = df.select(tid.alias("table_id"), F.expr(row_id_sql(row_expr)).cast("long").alias("row_idx"), *cols)
+    return base.select("table_id", "row_idx", F.inline(F.array(*structs)))
 
 
 def star_lake(spark: SparkSession, sf_dir: str) -> Lake:
     cells = None
     col_rows, pos_rows = [], []
     for pos, (name, row_expr, cols, keys) in enumerate(STAR_SPEC):
-        part = _unpivot(read(spark, sf_dir, name), name, row_expr, cols)
+        src = read(spark, sf_dir, name).select(*sorted(set(cols) | set(_row_cols(row_expr))))
+        part = _unpivot(spread(src), name, row_expr, cols)
         cells = part if cells is None else cells.unionByName(part)
         pos_rows.append((name, pos))
         for i, c in enumerate(cols):
