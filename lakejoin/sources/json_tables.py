@@ -22,7 +22,13 @@ def _docs(spark: SparkSession, path: str) -> DataFrame:
     """(file, table_pos, doc) for every table object of every file, in file
     order; a wrapper object, an array, or a single object are all accepted."""
     raw = (spark.read.option("wholetext", True).text(path)
-           .select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value")))
+           .select(F.col("_metadata.file_path").alias("file"), F.col("value")))
+    return documents_from_text(raw)
+
+
+def documents_from_text(raw: DataFrame) -> DataFrame:
+    """``raw(file, value)`` (one JSON document per row) -> (file, table_pos, doc)."""
+    raw = raw.select("file", F.trim("value").alias("value"))
     arr = F.from_json("value", f"array<{TABLE_STRUCT}>")
     wrapped = F.from_json("value", f"struct<tables:array<{TABLE_STRUCT}>>")["tables"]
     single = F.array(F.from_json("value", TABLE_STRUCT))
@@ -49,6 +55,11 @@ def _dedupe(docs: DataFrame, mode: str) -> DataFrame:
 
 def read_table_documents(spark: SparkSession, path: str, layout: str = "row_major",
                          dedupe: str = "last", pad_short_rows: bool = True) -> Lake:
+    return lake_from_documents(_docs(spark, path), layout, dedupe, pad_short_rows)
+
+
+def lake_from_documents(docs: DataFrame, layout: str = "row_major", dedupe: str = "last",
+                        pad_short_rows: bool = True) -> Lake:
     """S1/S2/S3/S11 -> Lake.
 
     layout ``row_major``: ``cells[r][c]``, short rows padded with NULL (S1);
@@ -58,7 +69,7 @@ def read_table_documents(spark: SparkSession, path: str, layout: str = "row_majo
     pad_short_rows: row-major rows shorter than the header get NULL cells
     (A's loader, also for empty rows); off, only present cells are emitted
     (B keeps raw rows: empty rows vanish, short rows are padded later)."""
-    docs = _dedupe(_docs(spark, path), dedupe)
+    docs = _dedupe(docs, dedupe)
     d = docs.select("table_pos", F.col("doc.*"))
     columns = d.select("table_id", F.posexplode("columns").alias("col_idx", "col_name"),
                        F.col("descriptions"), F.col("join_key_indices"))
