@@ -65,3 +65,19 @@ def search_joinable(q_rows: DataFrame, l_rows: DataFrame, lake_pos: DataFrame,
         l_blocks = blocks_for(l_rows.count(), block_rows)
     scores = joinability_scores(q_rows, l_rows, alpha, q_blocks, l_blocks, exclude_self=True)
     return table_search_rows(scores, lake_pos)
+
+
+def search_joinable_lakes(query: Lake, lake: Lake, alpha: float = DEFAULT_ALPHA, dim: int = 256,
+                          override: list[int] | None = None) -> DataFrame:
+    """F3 end to end on two lakes with the hash encoder: query and lake tables
+    are merged first-wins (C14), key rows chosen (C10/C11), encoded once (E3,
+    E4), and every query table is ranked against the lake tables (J4, J5)."""
+    from lakejoin.operators.catalog import merge_lakes
+    from lakejoin.operators.encode import dense_rows, key_rows, row_embeddings_hash
+    both = merge_lakes(query, lake, winner="first")
+    rows = cut_lineage(dense_rows(row_embeddings_hash(key_rows(both, override), dim), dim))
+    q_ids = query.tables.select("table_id")
+    l_ids = lake.tables.select("table_id")
+    q_rows = rows.join(q_ids, "table_id", "left_semi")
+    l_rows = rows.join(l_ids, "table_id", "left_semi")
+    return search_joinable(q_rows, l_rows, lake.tables.select("table_id", "table_pos"), alpha)

@@ -142,3 +142,19 @@ SELECT query_id, cand_id, round(score, 6) AS score, rank FROM preds""")
 def table_search(spark, sf):
     _, out = star_predictions(spark, sf)
     return out.select("query_id", "cand_id", r6("score"), "rank")
+
+
+# ---- J8 embedding lookup of the declared link columns ------------------------------------
+@register("embedding_lookup", f"""WITH {STAR}, {O.column_text_ctes().strip()},
+{O.hash_ctes('coltext', ['table_id', 'col_name'], 'text', DEFAULT_DIM).strip()},
+links AS ({O.star_links()}),
+ends AS (SELECT table1 AS table_id, column1 AS col_name FROM links UNION SELECT table2, column2 FROM links)
+SELECT e.table_id, e.col_name, e.dim, e.w FROM emb e JOIN ends USING (table_id, col_name)""")
+def embedding_lookup(spark, sf):
+    from lakejoin.sources.testdata import star_links
+    lake = star_lake(spark, sf)
+    emb = lake_column_embeddings(lake)
+    links = star_links(spark)
+    ends = (links.select(F.col("table1").alias("table_id"), F.col("column1").alias("col_name"))
+            .union(links.select(F.col("table2").alias("table_id"), F.col("column2").alias("col_name"))).distinct())
+    return emb.join(ends, ["table_id", "col_name"]).select("table_id", "col_name", "dim", "w")

@@ -52,3 +52,15 @@ def test_joinability_monotone_in_alpha(spark):
     lo = {(r.query_id, r.cand_id): r.score for r in joinability_scores(v, v, 0.2).collect()}
     hi = {(r.query_id, r.cand_id): r.score for r in joinability_scores(v, v, 0.4).collect()}
     assert all(hi[k] <= lo[k] for k in lo)
+
+
+def test_search_two_lakes_matches_registered_query(spark):
+    from lakejoin.plans.flows import search_joinable_lakes
+    from lakejoin.plans.registry import QUERIES
+    from lakejoin.sources.testdata import conversations_lake
+    lake = conversations_lake(spark, SF001)
+    got = sorted((r.query_id, r.cand_id, r.rank, round(r.score, 6))
+                 for r in search_joinable_lakes(lake, lake, 0.7).collect())
+    exp = sorted((r.query_id, r.cand_id, r.rank, r.score)
+                 for r in QUERIES["table_search_rows_text"](spark, SF001).collect())
+    assert got == exp and len(got) > 0
