@@ -28,9 +28,26 @@ def lake_column_embeddings(lake: Lake, dim: int = DEFAULT_DIM, pattern: str = "t
     return cut_lineage(column_embeddings_hash(text, dim))
 
 
-def discover_column_links(lake: Lake, k: int = DEFAULT_K, dim: int = DEFAULT_DIM) -> DataFrame:
-    """top-k column pairs for every table pair of the lake (K2 rows)."""
+def discover_column_links(lake: Lake, k: int = DEFAULT_K, dim: int = DEFAULT_DIM, path: str = "auto",
+                          block_rows: int = 4096) -> DataFrame:
+    """top-k column pairs for every table pair of the lake (K2 rows).
+
+    ``path``: ``sparse`` (equi-join on hash dimensions), ``dense`` (block
+    matmul, per-block top-k) or ``auto``: dense once the vectors fill more
+    than 1/8 of the dimensions, where the inverted index stops pruning.  Both
+    paths give identical results (integer weights, same formula)."""
+    from pyspark.sql import functions as F
+    from lakejoin.operators.encode import to_dense
+    from lakejoin.operators.similarity import blocks_for, column_links_topk_dense
     emb = lake_column_embeddings(lake, dim)
+    if path == "auto":
+        st = emb.groupBy("table_id", "col_name").count().agg(F.avg("count"), F.count(F.lit(1))).first()
+        n_cols, nnz = int(st[1] or 0), float(st[0] or 0.0)
+        path = "dense" if nnz > dim / 8 else "sparse"
+    if path == "dense":
+        n_cols = emb.select("table_id", "col_name").distinct().count()
+        vecs = to_dense(emb, ["table_id", "col_name"], dim)
+        return column_links_topk_dense(vecs, k, blocks_for(n_cols, block_rows))
     return column_links_topk(emb, k)
 
 

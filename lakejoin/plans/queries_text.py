@@ -106,8 +106,8 @@ SELECT table1, table2, column1, column2, round(prob, 6) AS prob, rank FROM top W
 
 @register("column_links_topk", column_links_sql())
 def column_links(spark, sf):
-    lake = star_lake(spark, sf)
-    out = column_links_topk(lake_column_embeddings(lake), DEFAULT_K)
+    from lakejoin.plans.flows import discover_column_links
+    out = discover_column_links(star_lake(spark, sf), DEFAULT_K)
     return out.select("table1", "table2", "column1", "column2", r6("prob"), "rank")
 
 

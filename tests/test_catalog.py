@@ -27,3 +27,10 @@ def test_resolve_names(spark):
                                   "link_id long, name string")
     got = {r.link_id: r.table_id for r in resolve_names(names, tables).collect()}
     assert got == {0: "a", 1: "a", 2: "f/b", 3: "f/b", 4: "c.csv"}
+
+
+def test_folder_and_leaf(spark):
+    from lakejoin.functions.catalog import folder_of, leaf_of, strip_csv
+    df = spark.createDataFrame([("a\\b/c.csv",), ("c",)], "n string")
+    got = [tuple(r) for r in df.select(folder_of(F.col("n")), leaf_of(F.col("n")), strip_csv(F.col("n"))).collect()]
+    assert got == [("a/b", "c.csv", "a\\b/c"), (None, "c", "c")]

@@ -97,3 +97,11 @@ def test_csv_flat_folder_and_links(spark, tmp_path):
     links.write_text("t1.csv, t2 ,id,k\nt1,t2,missing,k\nt1,zz,id,k\nt1\\x,t2,id,k\n")
     got = [tuple(r) for r in read_links(spark, str(links), lake).select("table1", "column1", "table2", "column2").collect()]
     assert got == [("t1", "id", "t2", "k")]
+
+
+def test_explicit_base_and_partition_win(spark, tmp_path):
+    p = write(tmp_path / "b.json", [{"table_id": "x-top-1", "columns": ["a"], "cells": [["1"]], "base_id": "B",
+                                     "partition": ""},
+                                    {"table_id": "y_z", "columns": ["a"], "cells": [["1"]], "partition": "p9"}])
+    t = {r.table_id: (r.base_id, r.partition) for r in read_table_documents(spark, p).tables.collect()}
+    assert t == {"x-top-1": ("B", "top"), "y_z": ("y", "p9")}
