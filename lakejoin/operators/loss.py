@@ -35,10 +35,19 @@ def key_loss(samples: DataFrame, tau: float = TEMPERATURE) -> DataFrame:
 
 
 def centroid_loss(samples: DataFrame, centroids: DataFrame, assignments: DataFrame,
-                  tau: float = TEMPERATURE) -> DataFrame:
+                  tau: float = TEMPERATURE, row_blocks: int = 1, centroid_blocks: int = 1) -> DataFrame:
     """L2 (+J12, J13): per batch, the mean over valid layers of the mean over
     rows of the cross entropy against the row's own cluster (label looked up
-    by sample index, 0 when missing, clamped to [0, C-1]); 0 with no layer."""
+    by sample index, 0 when missing, clamped to [0, C-1]); 0 with no layer.
+
+    The row x centroid softmax is computed block-wise (co-grouped row and
+    centroid blocks per layer, numpy inside): each task returns, per row, the
+    partial sum of exp(logit) over its centroids and the own logit when the
+    label falls in its block; partial sums are added afterwards, so no
+    row x centroid pair set is ever materialised."""
+    import numpy as np
+    import pandas as pd
+
     s = _unit(samples.select("sample_idx", "batch_id", "row_vec"), "row_vec")
     c = _unit(centroids.select("layer", "cluster_id", "vec"), "vec")
     n_c = c.groupBy("layer").agg(F.count(F.lit(1)).alias("n_c"))
@@ -47,11 +56,32 @@ def centroid_loss(samples: DataFrame, centroids: DataFrame, assignments: DataFra
     sl = s.withColumn("layer", F.explode(F.array(*[F.lit(x) for x in layer_ids]) if layer_ids
                                          else F.array().cast("array<int>")))
     lab = (sl.join(assignments.select("layer", "sample_idx", F.col("cluster_id").alias("y")), ["layer", "sample_idx"], "left")
-           .join(n_c, "layer")
+           .join(F.broadcast(n_c), "layer")
            .withColumn("y", F.least(F.greatest(F.coalesce("y", F.lit(0)), F.lit(0)), F.col("n_c") - 1)))
-    logits = lab.join(c, "layer").withColumn("l", dot(F.col("row_vec"), F.col("vec")) / F.lit(tau))
-    per = logits.groupBy("batch_id", "layer", "sample_idx").agg(
-        F.log(F.sum(F.exp("l"))).alias("lse"), F.max(F.when(F.col("cluster_id") == F.col("y"), F.col("l"))).alias("own"))
+    rows = (lab.select("layer", "sample_idx", "batch_id", "y", F.col("row_vec").alias("vec"))
+            .withColumn("rb", F.pmod(F.xxhash64("sample_idx"), F.lit(row_blocks)).cast("int"))
+            .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(centroid_blocks - 1)))))
+    cents = (c.withColumn("cb", F.pmod(F.xxhash64("cluster_id"), F.lit(centroid_blocks)).cast("int"))
+             .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)))))
+    inv_tau = 1.0 / tau
+
+    def fn(rp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
+        if rp.empty or cp.empty:
+            return pd.DataFrame({"layer": [], "sample_idx": [], "batch_id": [], "sexp": [], "own": []})
+        R = np.stack([np.asarray(x, dtype=np.float64) for x in rp["vec"]])
+        C = np.stack([np.asarray(x, dtype=np.float64) for x in cp["vec"]])
+        logits = (R @ C.T) * inv_tau
+        cid = cp["cluster_id"].to_numpy()
+        y = rp["y"].to_numpy()
+        hit = cid[None, :] == y[:, None]
+        own = np.where(hit.any(axis=1), np.where(hit, logits, -np.inf).max(axis=1), np.nan)
+        return pd.DataFrame({"layer": rp["layer"].to_numpy(), "sample_idx": rp["sample_idx"].to_numpy(),
+                             "batch_id": rp["batch_id"].to_numpy(), "sexp": np.exp(logits).sum(axis=1), "own": own})
+
+    part = (rows.groupBy("layer", "rb", "cb").cogroup(cents.groupBy("layer", "rb", "cb"))
+            .applyInPandas(fn, "layer int, sample_idx long, batch_id long, sexp double, own double"))
+    per = part.groupBy("batch_id", "layer", "sample_idx").agg(
+        F.log(F.sum("sexp")).alias("lse"), F.max("own").alias("own"))
     per_layer = per.groupBy("batch_id", "layer").agg(F.avg(F.col("lse") - F.col("own")).alias("ll"))
     out = per_layer.groupBy("batch_id").agg(F.avg("ll").alias("cent_loss"))
     batches = s.select("batch_id").distinct()
