@@ -110,7 +110,7 @@ def _assign_blocks(df: DataFrame, ids: list[str], own: str, other: str, n_own: i
 
 def joinability_counts(q_rows: DataFrame, l_rows: DataFrame, alpha: float,
                        q_blocks: int = 1, l_blocks: int = 1, exclude_self: bool = True) -> DataFrame:
-    """J4 core (dense block path): for each (query table, lake table) of equal
+    """J4 core + A6 (dense block path): for each (query table, lake table) of equal
     key arity, the number of query rows with some lake row of cosine > alpha.
 
     Inputs ``(table_id, row_idx, arity, vec)``; cosine = dot / (max(|q|,eps)
