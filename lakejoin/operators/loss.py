@@ -50,14 +50,14 @@ def centroid_loss(samples: DataFrame, centroids: DataFrame, assignments: DataFra
 
     s = _unit(samples.select("sample_idx", "batch_id", "row_vec"), "row_vec")
     c = _unit(centroids.select("layer", "cluster_id", "vec"), "vec")
-    n_c = c.groupBy("layer").agg(F.count(F.lit(1)).alias("n_c"))
-    # rows x layers: the layer list is a handful of ints, passed as a literal
-    layer_ids = [r[0] for r in n_c.select("layer").collect()]
-    sl = s.withColumn("layer", F.explode(F.array(*[F.lit(x) for x in layer_ids]) if layer_ids
+    # rows x layers: (layer, #centroids) is a handful of ints, passed as literals
+    n_c = {int(r[0]): int(r[1]) for r in c.groupBy("layer").agg(F.count(F.lit(1))).collect()}
+    sl = s.withColumn("layer", F.explode(F.array(*[F.lit(x) for x in sorted(n_c)]) if n_c
                                          else F.array().cast("array<int>")))
+    ncol = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(n_c.items()) for x in kv]), F.col("layer")) \
+        if n_c else F.lit(0)
     lab = (sl.join(assignments.select("layer", "sample_idx", F.col("cluster_id").alias("y")), ["layer", "sample_idx"], "left")
-           .join(F.broadcast(n_c), "layer")
-           .withColumn("y", F.least(F.greatest(F.coalesce("y", F.lit(0)), F.lit(0)), F.col("n_c") - 1)))
+           .withColumn("y", F.least(F.greatest(F.coalesce("y", F.lit(0)), F.lit(0)), ncol - 1)))
     rows = (lab.select("layer", "sample_idx", "batch_id", "y", F.col("row_vec").alias("vec"))
             .withColumn("rb", F.pmod(F.xxhash64("sample_idx"), F.lit(row_blocks)).cast("int"))
             .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(centroid_blocks - 1)))))
