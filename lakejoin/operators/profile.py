@@ -44,8 +44,8 @@ def column_profile(groups: DataFrame) -> DataFrame:
     ln = F.length("value")
     return (groups.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n_distinct"),
-        F.coalesce(F.max(ln), F.lit(0)).alias("max_len"),
-        F.coalesce(F.min(ln), F.lit(0)).alias("min_len"),
+        F.coalesce(F.max(ln), F.lit(0)).cast("long").alias("max_len"),
+        F.coalesce(F.min(ln), F.lit(0)).cast("long").alias("min_len"),
         F.coalesce(F.sum(ln * F.col("freq")) / F.sum(F.when(F.col("value").isNotNull(), F.col("freq"))),
                    F.lit(0.0)).alias("avg_len")))
 
@@ -70,7 +70,7 @@ def rank_values(freq: DataFrame, lake_freq: DataFrame | None = None,
     else:
         freq = freq.withColumn("order_freq", F.col("freq"))
     w = Window.partitionBy(*KEY).orderBy(F.desc("order_freq"), F.asc("first_row"))
-    out = freq.withColumn("rn", F.row_number().over(w))
+    out = freq.withColumn("rn", F.row_number().over(w).cast("long"))
     if limit is not None:
         out = out.where(F.col("rn") <= limit)
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def rank_within(df: DataFrame, part: list[str], order: list[Column], k: int | None = None,
                 name: str = "rank") -> DataFrame:
     w = Window.partitionBy(*part).orderBy(*order)
-    out = df.withColumn(name, F.row_number().over(w))
+    out = df.withColumn(name, F.row_number().over(w).cast("long"))
     if k is not None:
         out = out.where(F.col(name) <= k)
     return out

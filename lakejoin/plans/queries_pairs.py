@@ -183,7 +183,7 @@ SELECT sample_idx, table_id, draw, row_text, desc_text, column_names, n_columns
 def multi_key_samples(spark, sf):
     s = events_samples(spark, sf)
     return s.select("sample_idx", "table_id", "draw", "row_text", "desc_text",
-                    F.array_join("column_names", ",").alias("column_names"), F.col("n_columns").cast("int").alias("n_columns"))
+                    F.array_join("column_names", ",").alias("column_names"), F.col("n_columns").cast("long").alias("n_columns"))
 
 
 @register("description_set", f"""WITH {samples_sql()}
