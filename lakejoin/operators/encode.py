@@ -127,6 +127,17 @@ def row_embeddings_hash(krows: DataFrame, dim: int) -> DataFrame:
     return sp.join(arity, ids)
 
 
+def packed_rows(sparse_rows: DataFrame) -> DataFrame:
+    """Sparse row embeddings -> ``(table_id, row_idx, arity, dims, ws)``: the
+    non-zero entries per row, densified inside the block tasks (numpy) instead
+    of by per-element lookups in SQL."""
+    ids = ["table_id", "row_idx", "arity"]
+    e = sparse_rows.groupBy(*ids).agg(F.collect_list(F.struct(F.col("dim").cast("int").alias("d"),
+                                                               F.col("w").cast("double").alias("w"))).alias("e"))
+    return e.select(*ids, F.transform("e", lambda x: x["d"]).alias("dims"),
+                    F.transform("e", lambda x: x["w"]).alias("ws"))
+
+
 def dense_rows(sparse_rows: DataFrame, dim: int) -> DataFrame:
     """Sparse row embeddings -> ``(table_id, row_idx, arity, vec)`` of width
     ``arity * dim`` (rows whose cells all hash to zero stay as zero vectors)."""

@@ -109,7 +109,8 @@ def _assign_blocks(df: DataFrame, ids: list[str], own: str, other: str, n_own: i
 
 
 def joinability_counts(q_rows: DataFrame, l_rows: DataFrame, alpha: float,
-                       q_blocks: int = 1, l_blocks: int = 1, exclude_self: bool = True) -> DataFrame:
+                       q_blocks: int = 1, l_blocks: int = 1, exclude_self: bool = True,
+                       packed_dim: int | None = None) -> DataFrame:
     """J4 core + A6 (dense block path): for each (query table, lake table) of equal
     key arity, the number of query rows with some lake row of cosine > alpha.
 
@@ -118,7 +119,7 @@ def joinability_counts(q_rows: DataFrame, l_rows: DataFrame, alpha: float,
     the division done last, so integer-valued vectors give exact dots.
     Output ``(q_table_id, l_table_id, n_match)`` for every table pair met
     (0 kept)."""
-    cols = ["table_id", "row_idx", "arity", "vec"]
+    cols = ["table_id", "row_idx", "arity"] + (["dims", "ws"] if packed_dim else ["vec"])
     q = _assign_blocks(_fresh(q_rows, cols),
                        ["table_id", "row_idx"], "qb", "lb", q_blocks, l_blocks)
     l = _assign_blocks(_fresh(l_rows, cols),
@@ -127,17 +128,28 @@ def joinability_counts(q_rows: DataFrame, l_rows: DataFrame, alpha: float,
     eps = NORM_EPS
 
     # self-contained closure (numpy / pandas only): shipped by value to workers
+    pdim = packed_dim
+
     def fn(qp: pd.DataFrame, lp: pd.DataFrame) -> pd.DataFrame:
         def _stack(v):
             return np.stack([np.asarray(x, dtype=np.float64) for x in v])
 
+        def _mat(p):
+            if pdim is None:
+                return _stack(p["vec"].to_numpy())
+            width = int(p["arity"].iloc[0]) * pdim
+            m = np.zeros((len(p), width))
+            for r, (d, w) in enumerate(zip(p["dims"], p["ws"])):
+                m[r, np.asarray(d, dtype=np.int64)] = np.asarray(w, dtype=np.float64)
+            return m
+
         if qp.empty or lp.empty:
             return pd.DataFrame({"q_table_id": [], "l_table_id": [], "row_idx": [], "matched": []})
         lp = lp.sort_values("table_id", kind="stable")
         lt = lp["table_id"].to_numpy()
         starts = np.flatnonzero(np.r_[True, lt[1:] != lt[:-1]])
         l_tables = lt[starts]
-        Q, L = _stack(qp["vec"].to_numpy()), _stack(lp["vec"].to_numpy())
+        Q, L = _mat(qp), _mat(lp)
         nq = np.maximum(np.sqrt((Q * Q).sum(axis=1)), eps)
         nl = np.maximum(np.sqrt((L * L).sum(axis=1)), eps)
         sim = (Q @ L.T) / np.outer(nq, nl)
@@ -165,9 +177,10 @@ def joinability_counts(q_rows: DataFrame, l_rows: DataFrame, alpha: float,
 
 
 def joinability_scores(q_rows: DataFrame, l_rows: DataFrame, alpha: float = 0.7,
-                       q_blocks: int = 1, l_blocks: int = 1, exclude_self: bool = True) -> DataFrame:
+                       q_blocks: int = 1, l_blocks: int = 1, exclude_self: bool = True,
+                       packed_dim: int | None = None) -> DataFrame:
     """Share of query rows with a lake row of cosine > alpha (strict)."""
-    counts = joinability_counts(q_rows, l_rows, alpha, q_blocks, l_blocks, exclude_self)
+    counts = joinability_counts(q_rows, l_rows, alpha, q_blocks, l_blocks, exclude_self, packed_dim)
     nq = q_rows.groupBy(F.col("table_id").alias("q_table_id")).agg(F.count(F.lit(1)).alias("n_q"))
     return (counts.join(nq, "q_table_id")
             .select(F.col("q_table_id").alias("query_id"), F.col("l_table_id").alias("cand_id"),

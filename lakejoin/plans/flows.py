@@ -66,7 +66,8 @@ def discover_tables(query: Lake, lake: Lake | None = None, k: int = DEFAULT_K,
 
 def search_joinable(q_rows: DataFrame, l_rows: DataFrame, lake_pos: DataFrame,
                     alpha: float = DEFAULT_ALPHA, q_blocks: int | None = None,
-                    l_blocks: int | None = None, block_rows: int = 4096) -> DataFrame:
+                    l_blocks: int | None = None, block_rows: int = 4096,
+                    packed_dim: int | None = None) -> DataFrame:
     """F3 ranking: every lake table (self excluded, equal key arity) ranked per
     query table by the share of query rows with a lake row above ``alpha``;
     ties keep lake order.  Rows: ``(table_id, row_idx, arity, vec)``.
@@ -80,7 +81,8 @@ def search_joinable(q_rows: DataFrame, l_rows: DataFrame, lake_pos: DataFrame,
         q_blocks = blocks_for(q_rows.count(), block_rows)
     if l_blocks is None:
         l_blocks = blocks_for(l_rows.count(), block_rows)
-    scores = joinability_scores(q_rows, l_rows, alpha, q_blocks, l_blocks, exclude_self=True)
+    scores = joinability_scores(q_rows, l_rows, alpha, q_blocks, l_blocks, exclude_self=True,
+                                packed_dim=packed_dim)
     return table_search_rows(scores, lake_pos)
 
 
@@ -90,11 +92,11 @@ def search_joinable_lakes(query: Lake, lake: Lake, alpha: float = DEFAULT_ALPHA,
     are merged first-wins (C14), key rows chosen (C10/C11), encoded once (E3,
     E4), and every query table is ranked against the lake tables (J4, J5)."""
     from lakejoin.operators.catalog import merge_lakes
-    from lakejoin.operators.encode import dense_rows, key_rows, row_embeddings_hash
+    from lakejoin.operators.encode import key_rows, packed_rows, row_embeddings_hash
     both = merge_lakes(query, lake, winner="first")
-    rows = cut_lineage(dense_rows(row_embeddings_hash(key_rows(both, override), dim), dim))
+    rows = cut_lineage(packed_rows(row_embeddings_hash(key_rows(both, override), dim)))
     q_ids = query.tables.select("table_id")
     l_ids = lake.tables.select("table_id")
     q_rows = rows.join(q_ids, "table_id", "left_semi")
     l_rows = rows.join(l_ids, "table_id", "left_semi")
-    return search_joinable(q_rows, l_rows, lake.tables.select("table_id", "table_pos"), alpha)
+    return search_joinable(q_rows, l_rows, lake.tables.select("table_id", "table_pos"), alpha, packed_dim=dim)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakejoin.functions.vectors import l2_normalize, norm
 from lakejoin.operators import evaluate as E
-from lakejoin.operators.encode import dense_rows, key_rows, row_embeddings_hash
+from lakejoin.operators.encode import key_rows, packed_rows, row_embeddings_hash
 from lakejoin.operators.rank import rank_within
 from lakejoin.operators.similarity import joinability_scores
 from lakejoin.plans import oracle_sql as O
@@ -161,6 +161,6 @@ SELECT s.query_id, s.cand_id, round(s.score, 6) AS score, t.table_pos AS lake_po
 FROM scores s JOIN tables t ON t.table_id = s.cand_id""")
 def table_search_rows_text(spark, sf):
     lake = T.conversations_lake(spark, sf)
-    rows = dense_rows(row_embeddings_hash(key_rows(lake), ROW_DIM), ROW_DIM)
-    r = search_joinable(rows, rows, lake.tables.select("table_id", "table_pos"), DEFAULT_ALPHA)
+    rows = packed_rows(row_embeddings_hash(key_rows(lake), ROW_DIM))
+    r = search_joinable(rows, rows, lake.tables.select("table_id", "table_pos"), DEFAULT_ALPHA, packed_dim=ROW_DIM)
     return r.select("query_id", "cand_id", r6("score"), "lake_pos", "rank")
