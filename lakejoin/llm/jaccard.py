@@ -23,11 +23,15 @@ Steps:
 2. All other documents are first taken as one group: a set whose first tokens
    overlap with all others' by less than the bound has no link and is done.
 3. The sets that remain are partitioned into groups by min-hash rounds: in key
-   order, each is compared with up to LEADERS leaders of its key and joins the
-   first it links with (an exact test); leaders go on to the next round.
-   Keys held by many sets are split.
+   order, sets with the most frequent tokens first, each is compared with up to
+   LEADERS leaders of its key and joins the first it links with (an exact test);
+   leaders go on to the next round.  Keys held by many sets are split.
 4. The matrix (token, group) over the groups: sets of the smaller group query
-   the larger; qualifying groups are opened and their members compared exactly.
+   the larger.  A set whose first tokens meet all other groups together in
+   fewer than the bound is done.  Else, of its t tokens that other groups have,
+   the t - bound + m in the fewest groups are looked up; a group that reaches the
+   bound holds m of them at least (m = 1 + bound // 4).  Such groups are opened
+   and their members compared exactly.
 
 Set fingerprints and tokens are 64-bit hashes; two of k different sets share a
 fingerprint with a chance of about k^2 / 2^65.
@@ -57,6 +61,7 @@ BLOCK_MIN = 4            # occurrences within a block that make a token a candid
 ROUNDS = 3
 LEADERS = 32
 KEY_ROWS = 2048          # sets of one key compared in one run
+CROWD = 8                # sets of a group whose full token union is looked at before it is opened
 
 
 def _sets(col: pa.Array) -> Iterator[np.ndarray]:
@@ -96,6 +101,12 @@ class _Order:
         by = np.argsort(hot)
         self.hot, self.rank = hot[by], by
 
+    def frequent(self, t: np.ndarray) -> int:
+        """How many tokens of the set are in the list."""
+        if not len(self.hot):
+            return 0
+        return int(np.count_nonzero(self.hot[np.minimum(np.searchsorted(self.hot, t), len(self.hot) - 1)] == t))
+
     def first(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first tokens of a sorted set: those outside and inside the list."""
         p = prefix_len(len(t))
@@ -192,8 +203,8 @@ _KEYS = [f"k{r}" for r in range(ROUNDS)]
 
 def _full_sets(docs: DataFrame, hot) -> DataFrame:
     """(id, q, n, toks, hots, min-hash keys) of each document."""
-    schema = "id bigint, q bigint, n int, toks array<bigint>, hots array<bigint>, " + ", ".join(f"{k} bigint" for k in _KEYS)
-    names = ["id", "q", "n", "toks", "hots", *_KEYS]
+    schema = "id bigint, q bigint, n int, cold int, toks array<bigint>, hots array<bigint>, " + ", ".join(f"{k} bigint" for k in _KEYS)
+    names = ["id", "q", "n", "cold", "toks", "hots", *_KEYS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = _Order(hot.value)
@@ -203,9 +214,9 @@ def _full_sets(docs: DataFrame, hot) -> DataFrame:
             def flush():
                 cols = list(zip(*rows))
                 got = pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                     pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.list_(pa.int64())),
-                     *[pa.array(c, pa.int64()) for c in cols[5:]]], names=names)
+                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32()),
+                     pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.list_(pa.int64())),
+                     *[pa.array(c, pa.int64()) for c in cols[6:]]], names=names)
                 rows.clear()
                 return got
 
@@ -214,7 +225,7 @@ def _full_sets(docs: DataFrame, hot) -> DataFrame:
                     continue
                 _, hots = order.first(t)
                 keys = [int(words.mix(t ^ np.uint64(0xA0761D6478BD642F * (r + 1) & ((1 << 64) - 1))).min().view(np.int64)) for r in range(ROUNDS)]
-                rows.append((i, _fingerprint(t), len(t), t.view(np.int64), hots.view(np.int64), *keys))
+                rows.append((i, _fingerprint(t), len(t), len(t) - order.frequent(t), t.view(np.int64), hots.view(np.int64), *keys))
                 if len(rows) >= 512:
                     yield flush()
             if rows:
@@ -240,7 +251,7 @@ def _round(sets: DataFrame, r: int) -> DataFrame:
     keyed = sets.join(F.broadcast(crowded), key, "left").withColumn("part", F.when(
         F.col("held").isNull(), 0).otherwise(F.pmod(F.xxhash64("q"), F.ceil(F.col("held") / KEY_ROWS)))).drop("held")
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = keyed.repartition(n, key, "part").sortWithinPartitions(key, "part", "q").select(*sets.columns, "part")
+    runs = keyed.repartition(n, key, "part").sortWithinPartitions(key, "part", "cold", "q").select(*sets.columns, "part")
 
     names = sets.columns
 
@@ -307,12 +318,34 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         sets.select(F.explode("hots").alias("token"), "q")).distinct()
     tokens = tokens.join(group, "q")
     matrix = tokens.select("token", F.col("g").alias("og"), F.col("size").alias("osize")).distinct()
-    several = matrix.groupBy("token").agg(F.min("og").alias("lo"), F.max("og").alias("hi")).filter("lo < hi").select("token")
+    several = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
     matrix = shared.staged(matrix.join(several, "token"))
-    opened = (tokens.join(matrix, "token")
+    by_set = Window.partitionBy("q")
+    asked = (tokens.join(matrix.select("token", "groups").distinct(), "token")
+             .withColumns({"t": F.count("*").over(by_set), "nth": F.row_number().over(by_set.orderBy("groups", "token")),
+                           "need": 1 + F.floor(2 * F.col("n") / 25)})
+             .withColumn("m", 1 + F.floor(F.col("need") / 4))
+             .filter("t >= need and nth <= t - need + m").select("token", "q", "n", "g", "size", "need", "m"))
+    opened = (asked.join(matrix, "token")
               .filter("g <> og and (size < osize or (size = osize and g < og))")
-              .groupBy("q", "n", "og").agg(F.count("*").alias("got"))
-              .filter(F.col("got") >= 1 + F.floor(2 * F.col("n") / 25)))
+              .groupBy("q", "n", "og", "osize", "need", "m").agg(F.count("*").alias("got")).filter("got >= m"))
+    sizes = group.groupBy(F.col("g").alias("og")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # the sharper bound: least at the ends of the range of sizes that can link; 2 for rounding
+    spare = lambda x: 1 + F.floor(x / 10) - F.ceil(4 * x / 5)
+    at = lambda x: F.least(spare(F.col("n")), spare(x)) + F.ceil(4 * (F.col("n") + x) / 9)
+    opened = (opened.join(sizes, "og")
+              .withColumns({"a": F.greatest("lo", F.ceil(4 * F.col("n") / 5)), "b": F.least("hi", F.floor(5 * F.col("n") / 4))})
+              .filter("a <= b")
+              .withColumn("sharp", F.least(at(F.col("a")), at(F.col("b"))) - 2)
+              .filter("got >= m + greatest(sharp - need, 0)").select("q", "n", "og", "osize", "a"))
+    opened = shared.staged(opened)
+    crowded = opened.filter(F.col("osize") >= CROWD)
+    members = group.select("q", F.col("g").alias("og")).join(crowded.select("og").distinct(), "og")
+    union = members.join(sets.select("q", "toks"), "q").select("og", F.explode("toks").alias("token")).distinct()
+    covered = (crowded.join(sets.select("q", "toks"), "q").select("q", "n", "og", "osize", "a", F.explode("toks").alias("token"))
+               .join(union, ["og", "token"]).groupBy("q", "n", "og", "osize", "a").agg(F.count("*").alias("got"))
+               .filter("9 * got >= 4 * (n + a)").drop("got"))
+    opened = opened.filter(F.col("osize") < CROWD).unionByName(covered)
     pairs = (opened.join(group.select(F.col("q").alias("x"), F.col("n").alias("nx"), F.col("g").alias("og")), "og")
              .filter("5 * least(n, nx) >= 4 * greatest(n, nx)").select("q", "x"))
     pairs = shared.staged(pairs)
