@@ -26,11 +26,16 @@ Steps:
    order, sets with the most frequent tokens first, each is compared with up to
    LEADERS leaders of its key and joins the first it links with (an exact test);
    leaders go on to the next round.  Keys held by many sets are split.
-4. The matrix (token, group) over the groups: sets of the smaller group query
-   the larger.  A set whose first tokens meet all other groups together in
-   fewer than the bound is done.  Else, of its t tokens that other groups have,
-   the t - bound + m in the fewest groups are looked up; a group that reaches the
-   bound holds m of them at least (m = 1 + bound // 4).  Such groups are opened
+4. Tokens in one group only cannot be part of a link between groups.  A set of
+   which less than 0.8 is left without them is done.
+5. The matrix (token, group) over the rest, groups taken apart by size class
+   (sets of 2^(1/8) times the size at most).  Sets of the smaller group query
+   the larger.  A link between sets of n and m tokens needs an overlap of
+   4 (n + m) / 9, which bounds the overlap of first tokens for each class.  Of
+   a set's t first tokens in other groups of the class, the t - bound + k in the
+   fewest groups are looked up; a group that reaches the bound holds k of them
+   (k = 1 + bound // 4).  For a group of CROWD sets or more the overlap is then
+   looked for in the union of its whole sets.  Groups that qualify are opened
    and their members compared exactly.
 
 Set fingerprints and tokens are 64-bit hashes; two of k different sets share a
@@ -313,40 +318,56 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .select("q", "n", F.coalesce("root", "q").alias("g"))
     group = shared.staged(group.join(group.groupBy("g").agg(F.count("*").alias("size")), "g").select("q", "n", "g", "size"))
 
-    # 4. the matrix, and the groups that qualify
-    tokens = shared_rows.filter("token is not null").select("token", "q").unionByName(
-        sets.select(F.explode("hots").alias("token"), "q")).distinct()
-    tokens = tokens.join(group, "q")
-    matrix = tokens.select("token", F.col("g").alias("og"), F.col("size").alias("osize")).distinct()
-    several = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
-    matrix = shared.staged(matrix.join(several, "token"))
-    by_set = Window.partitionBy("q")
-    asked = (tokens.join(matrix.select("token", "groups").distinct(), "token")
-             .withColumns({"t": F.count("*").over(by_set), "nth": F.row_number().over(by_set.orderBy("groups", "token")),
-                           "need": 1 + F.floor(2 * F.col("n") / 25)})
-             .withColumn("m", 1 + F.floor(F.col("need") / 4))
-             .filter("t >= need and nth <= t - need + m").select("token", "q", "n", "g", "size", "need", "m"))
-    opened = (asked.join(matrix, "token")
-              .filter("g <> og and (size < osize or (size = osize and g < og))")
-              .groupBy("q", "n", "og", "osize", "need", "m").agg(F.count("*").alias("got")).filter("got >= m"))
-    sizes = group.groupBy(F.col("g").alias("og")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    # the sharper bound: least at the ends of the range of sizes that can link; 2 for rounding
+    # 4. sets that tokens of other groups cover
+    every = sets.select("q", F.explode("toks").alias("token")).join(group.select("q", "n", "g"), "q")
+    several = (every.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token"))
+    covered = (every.join(several, "token").groupBy("q").agg(F.count("*").alias("got"), F.first("n").alias("n"))
+               .filter("5 * got >= 4 * n").select("q"))
+    group = group.drop("size").join(covered, "q").withColumn("cls", F.floor(8 * F.log2("n")).cast("int"))
+    group = shared.staged(group.join(group.groupBy("g").agg(F.count("*").alias("size")), "g").select("q", "n", "g", "size", "cls"))
+
+    # 5. the matrix, and the groups that qualify
+    sets = shared.staged(sets.join(group.select("q"), "q").select("q", "n", "toks", "hots"))
+    tokens = (shared_rows.filter("token is not null").select("token", "q").join(group, "q")
+              .unionByName(sets.select(F.explode("hots").alias("token"), "q").join(group, "q")).distinct())
+    tokens = shared.staged(tokens)
+    matrix = tokens.select("token", "cls", F.col("g").alias("og"), F.col("size").alias("osize")).distinct()
+    held = matrix.groupBy("token", "cls").agg(F.count("*").alias("groups"), F.min("og").alias("only"))
+    # size range of each class: at most 8 rows for each doubling of the size
+    classes = group.groupBy("cls").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     spare = lambda x: 1 + F.floor(x / 10) - F.ceil(4 * x / 5)
     at = lambda x: F.least(spare(F.col("n")), spare(x)) + F.ceil(4 * (F.col("n") + x) / 9)
-    opened = (opened.join(sizes, "og")
-              .withColumns({"a": F.greatest("lo", F.ceil(4 * F.col("n") / 5)), "b": F.least("hi", F.floor(5 * F.col("n") / 4))})
-              .filter("a <= b")
-              .withColumn("sharp", F.least(at(F.col("a")), at(F.col("b"))) - 2)
-              .filter("got >= m + greatest(sharp - need, 0)").select("q", "n", "og", "osize", "a"))
+
+    def sized(df: DataFrame, out: str) -> DataFrame:
+        """Add the bound for sets of lo to hi tokens; it is least at the ends of
+        the range that can link (2 for rounding)."""
+        return (df.withColumns({"a": F.greatest("lo", F.ceil(4 * F.col("n") / 5)), "b": F.least("hi", F.floor(5 * F.col("n") / 4))})
+                .filter("a <= b")
+                .withColumn(out, F.greatest(1 + F.floor(2 * F.col("n") / 25), F.least(at(F.col("a")), at(F.col("b"))) - 2))
+                .drop("lo", "hi", "b"))
+
+    by_set = Window.partitionBy("q", "cls")
+    asked = (tokens.withColumnRenamed("cls", "own").join(held, "token")
+             .filter("abs(cls - own) <= 3 and (groups > 1 or only <> g)").drop("own", "only")
+             .join(F.broadcast(classes), "cls"))
+    asked = (sized(asked, "need").drop("a").withColumn("k", 1 + F.floor(F.col("need") / 4))
+             .withColumns({"t": F.count("*").over(by_set), "nth": F.row_number().over(by_set.orderBy("groups", "token"))})
+             .filter("t >= need and nth <= t - need + k").drop("groups", "t", "nth"))
+    opened = (asked.join(matrix, ["token", "cls"])
+              .filter("g <> og and (size < osize or (size = osize and g < og))")
+              .groupBy("q", "n", "og", "osize", "cls", "need", "k").agg(F.count("*").alias("got")).filter("got >= k"))
+    sizes = group.groupBy(F.col("g").alias("og"), "cls").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    opened = (sized(opened.join(sizes, ["og", "cls"]), "sharp").filter("got >= k + greatest(sharp - need, 0)")
+              .select("q", "n", "a", "og", "osize", "cls"))
     opened = shared.staged(opened)
     crowded = opened.filter(F.col("osize") >= CROWD)
-    members = group.select("q", F.col("g").alias("og")).join(crowded.select("og").distinct(), "og")
-    union = members.join(sets.select("q", "toks"), "q").select("og", F.explode("toks").alias("token")).distinct()
-    covered = (crowded.join(sets.select("q", "toks"), "q").select("q", "n", "og", "osize", "a", F.explode("toks").alias("token"))
-               .join(union, ["og", "token"]).groupBy("q", "n", "og", "osize", "a").agg(F.count("*").alias("got"))
-               .filter("9 * got >= 4 * (n + a)").drop("got"))
-    opened = opened.filter(F.col("osize") < CROWD).unionByName(covered)
-    pairs = (opened.join(group.select(F.col("q").alias("x"), F.col("n").alias("nx"), F.col("g").alias("og")), "og")
+    members = group.select("q", F.col("g").alias("og"), "cls").join(crowded.select("og", "cls").distinct(), ["og", "cls"])
+    union = members.join(sets.select("q", "toks"), "q").select("og", "cls", F.explode("toks").alias("token")).distinct()
+    met = (crowded.join(sets.select("q", "toks"), "q").select("q", "n", "a", "og", "cls", F.explode("toks").alias("token"))
+           .join(union, ["og", "cls", "token"]).groupBy("q", "n", "a", "og", "cls").agg(F.count("*").alias("got"))
+           .filter("9 * got >= 4 * (n + a)").select("q", "n", "og", "cls"))
+    opened = opened.filter(F.col("osize") < CROWD).select("q", "n", "og", "cls").unionByName(met)
+    pairs = (opened.join(group.select(F.col("q").alias("x"), F.col("n").alias("nx"), F.col("g").alias("og"), "cls"), ["og", "cls"])
              .filter("5 * least(n, nx) >= 4 * greatest(n, nx)").select("q", "x"))
     pairs = shared.staged(pairs)
     full = sets.select("q", "n", "toks")
