@@ -80,6 +80,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url")
     leaves = (df.select(F.col(n["host"]).alias("host"), F.col(n["raw"]).alias("raw"), F.col(n["rule"]).alias("rule"))
               .groupBy("host", "raw").agg(F.count("*").alias("pages"), F.count("rule").alias("n"),
                                           F.count(F.when(F.col("rule").isin(block), 1)).alias("b")))
+    leaves = shared.staged(leaves)
     leaves = leaves.select("*", *[F.coalesce(F.get(s, F.lit(i)), F.lit("")).alias(f"s{i}") for i in range(LEVELS)],
                            F.when(F.size(s) > LEVELS, "**").otherwise("").alias("tail"))
     up = ["host"]
@@ -90,9 +91,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url")
         lit = (seg.join(parent, up).select(*up, f"s{i}", F.when(
             (F.col(f"s{i}") == "") | F.col(f"s{i}").startswith("{") | (F.col("own") >= MIN_SHARE * F.col("all")),
             F.col(f"s{i}")).otherwise("*").alias(f"t{i}")))
-        leaves = leaves.join(lit, [*up, f"s{i}"])
+        leaves = shared.staged(leaves.join(lit, [*up, f"s{i}"]))      # narrow; keeps the plan short
         up.append(f"t{i}")
-    leaves = shared.staged(leaves)
     total = leaves.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b0"), F.coalesce(F.sum("n"), F.lit(0)).alias("n0")) \
         .select("b0", "n0", (F.col("b0") / (F.col("n0") + 1)).alias("p0")).first()       # one row
     path_t = [f"t{i}" for i in range(LEVELS)]
@@ -120,7 +120,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url")
         cur = cur.withColumn("p", F.when(same, F.col("p")).otherwise(smooth(F.col("nb"), F.col("nn"), F.col("p"))))
         if depth:
             cur = cur.drop("ub", "un")
-        cur = cur.withColumnsRenamed({"nb": "ub", "nn": "un"})
+        cur = shared.staged(cur.withColumnsRenamed({"nb": "ub", "nn": "un"}))
     verdicts = (leaves.join(cur.select("host", *path_t, "p"), ["host", *path_t])
                 .select(F.col("host").alias(n["host"]), F.col("raw").alias(n["raw"]),
                         F.concat(F.lit("/"), F.array_join(F.filter(F.array(*path_t, "tail"), lambda x: x != ""), "/")).alias(n["template"]),
