@@ -13,11 +13,11 @@ SEP = " [SEP] "
 EMPTY_TEXT = "empty"
 NO_DESCRIPTION = "No description available"
 VALUE_JOIN = ", "
-WORD_PATTERN = "([a-z0-9]+)"
+WORD_PATTERN = r"([\p{L}\p{N}]+)"
 
 
 def words(text: Column) -> Column:
-    """Lower-cased alphanumeric word tokens (the built-in token counter)."""
+    """Lower-cased words of letters and digits of any script (the built-in token counter)."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD_PATTERN), F.lit(1))
 
 

@@ -109,7 +109,7 @@ def lake_ctes(kind: str) -> str:
 
 # ----------------------------------------------------------------- text
 
-WORDS = "regexp_extract_all(lower({x}), '[a-z0-9]+')"
+WORDS = r"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
 
 
 def words(x: str) -> str:

@@ -43,10 +43,10 @@ def lake_value_frequency(spark, sf):
 
 # ---- W1 value ranks (own and lake frequency), J9 --------------------------------
 @register("value_rank_own", f"""WITH {STAR}, {O.column_text_ctes().strip()}
-SELECT table_id, col_name, value, rn FROM ranked WHERE rn <= {P.DEFAULT_BUDGET + 1}""")
+SELECT table_id, col_name, value, rn FROM ranked""")
 def value_rank_own(spark, sf):
     lake = star_lake(spark, sf)
-    r = P.rank_values(P.value_frequency(lake.cells), limit=P.DEFAULT_BUDGET + 1)
+    r = P.rank_values(P.value_frequency(lake.cells))
     return r.select("table_id", "col_name", "value", "rn")
 
 
@@ -56,10 +56,10 @@ WHERE c.value IS NOT NULL AND EXISTS (SELECT 1 FROM columns k WHERE k.key_pos IS
 
 
 @register("value_rank_lake", f"""WITH {STAR}, {LAKE_FREQ}, {O.column_text_ctes(lake_freq='lfreq').strip()}
-SELECT table_id, col_name, value, rn FROM ranked WHERE rn <= {P.DEFAULT_BUDGET + 1}""")
+SELECT table_id, col_name, value, rn FROM ranked""")
 def value_rank_lake(spark, sf):
     lake = star_lake(spark, sf)
-    r = P.rank_values(P.value_frequency(lake.cells), P.lake_value_frequency(lake), limit=P.DEFAULT_BUDGET + 1)
+    r = P.rank_values(P.value_frequency(lake.cells), P.lake_value_frequency(lake))
     return r.select("table_id", "col_name", "value", "rn")
 
 
@@ -68,7 +68,7 @@ def value_rank_lake(spark, sf):
 SELECT table_id, col_name, rn, value FROM sample""")
 def value_sample_budget(spark, sf):
     lake = star_lake(spark, sf)
-    r = P.rank_values(P.value_frequency(lake.cells), limit=P.DEFAULT_BUDGET + 1)
+    r = P.rank_values(P.value_frequency(lake.cells))
     return P.sample_values(r)
 
 

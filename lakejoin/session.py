@@ -48,6 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get(_CKPT_KEY, None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {_CKPT_KEY} to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="lakejoin-ckpt-")
         spark.conf.set(_CKPT_KEY, conf)
     spark.sparkContext.setCheckpointDir(conf)

@@ -72,12 +72,14 @@ def lake_from_documents(docs: DataFrame, layout: str = "row_major", dedupe: str
     docs = _dedupe(docs, dedupe)
     d = docs.select("table_pos", F.col("doc.*"))
     columns = d.select("table_id", F.posexplode("columns").alias("col_idx", "col_name"),
-                       F.col("descriptions"), F.col("join_key_indices"))
+                       F.col("descriptions"), F.array_distinct(F.filter(
+                           F.coalesce("join_key_indices", F.array().cast("array<int>")),
+                           lambda i: (i >= 0) & (i < F.size("columns")))).alias("keys"))
     columns = columns.select(
         "table_id", "col_idx", "col_name",
         F.try_element_at(F.coalesce("descriptions", F.array().cast("array<string>")), (F.col("col_idx") + 1).cast("int")).alias("description"),
-        F.when(F.array_position(F.coalesce("join_key_indices", F.array().cast("array<int>")), F.col("col_idx")) > 0,
-               F.array_position(F.coalesce("join_key_indices", F.array().cast("array<int>")), F.col("col_idx")) - 1)
+        # position among the listed indices that exist; a repeated index counts once
+        F.when(F.array_position("keys", F.col("col_idx")) > 0, F.array_position("keys", F.col("col_idx")) - 1)
         .cast("int").alias("key_pos"))
     ncol = F.size("columns")
     if layout == "row_major":

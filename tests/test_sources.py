@@ -34,7 +34,7 @@ def test_row_major_padding_and_last_wins(spark, tmp_path):
     c = cells_of(read_table_documents(spark, p, "row_major", "first", pad_short_rows=False))
     assert [x for x in c if x[0] == "t1" and x[1] in (1, 2)] == [("t1", 1, 0, "a", "2")]
     keys = sorted((r.col_name, r.key_pos) for r in lake.columns.where("table_id = 't1'").collect())
-    assert keys == [("a", 2), ("b", 0)]
+    assert keys == [("a", 1), ("b", 0)]
     t = {r.table_id: (r.base_id, r.partition) for r in lake.tables.collect()}
     assert t["t2-top"] == ("t2", "top")
 
