@@ -120,18 +120,38 @@ def row_embeddings_hash(krows: DataFrame, dim: int) -> DataFrame:
     ``(table_id, row_idx, arity, dim, w)`` with integer weights; unit
     normalisation (E4/E5) happens in the similarity step, which divides the
     exact integer dot product by both norms."""
-    ids = ["table_id", "row_idx"]
-    texts = krows.select(*ids, "key_pos", cell_text(F.col("col_name"), F.col("value")).alias("text"))
-    arity = krows.groupBy(*ids).agg(F.count(F.lit(1)).cast("int").alias("arity"))
-    sp = hash_encode(texts, ids, "text", dim, offset_col="key_pos")
-    return sp.join(arity, ids)
+    return _key_vectors(krows, dim).join(_arity(krows), ROW_IDS)
+
+
+ROW_IDS = ["table_id", "row_idx"]
+
+
+def _arity(krows: DataFrame) -> DataFrame:
+    return krows.groupBy(*ROW_IDS).agg(F.count(F.lit(1)).cast("int").alias("arity"))
+
+
+def _key_vectors(krows: DataFrame, dim: int) -> DataFrame:
+    texts = krows.select(*ROW_IDS, "key_pos", cell_text(F.col("col_name"), F.col("value")).alias("text"))
+    return hash_encode(texts, ROW_IDS, "text", dim, offset_col="key_pos")
+
+
+def packed_key_rows(krows: DataFrame, dim: int) -> DataFrame:
+    """Packed E3 rows of every key row: a row without tokens keeps its place
+    with empty entry lists (a zero vector), so it counts in J4's ratio."""
+    none = lambda t: F.array().cast(f"array<{t}>")
+    return (_arity(krows).join(_pack(_key_vectors(krows, dim), ROW_IDS), ROW_IDS, "left")
+            .select(*ROW_IDS, "arity", F.coalesce("dims", none("int")).alias("dims"), F.coalesce("ws", none("double")).alias("ws")))
 
 
 def packed_rows(sparse_rows: DataFrame) -> DataFrame:
     """Sparse row embeddings -> ``(table_id, row_idx, arity, dims, ws)``: the
     non-zero entries per row, densified inside the block tasks (numpy) instead
-    of by per-element lookups in SQL."""
-    ids = ["table_id", "row_idx", "arity"]
+    of by per-element lookups in SQL.  Rows without entries are not in the
+    input: use :func:`packed_key_rows` where they must stay."""
+    return _pack(sparse_rows, [*ROW_IDS, "arity"])
+
+
+def _pack(sparse_rows: DataFrame, ids: list[str]) -> DataFrame:
     e = sparse_rows.groupBy(*ids).agg(F.collect_list(F.struct(F.col("dim").cast("int").alias("d"),
                                                                F.col("w").cast("double").alias("w"))).alias("e"))
     return e.select(*ids, F.transform("e", lambda x: x["d"]).alias("dims"),

@@ -177,9 +177,12 @@ def joinability_counts(q_rows: DataFrame, l_rows: DataFrame, alpha: float,
 
 
 def joinability_scores(q_rows: DataFrame, l_rows: DataFrame, alpha: float = 0.7,
-                       q_blocks: int = 1, l_blocks: int = 1, exclude_self: bool = True,
+                       q_blocks: int | None = None, l_blocks: int | None = None, exclude_self: bool = True,
                        packed_dim: int | None = None) -> DataFrame:
-    """Share of query rows with a lake row of cosine > alpha (strict)."""
+    """Share of query rows with a lake row of cosine > alpha (strict).
+    Block counts follow the number of rows unless given."""
+    q_blocks = q_blocks or blocks_for(q_rows.count())
+    l_blocks = l_blocks or (q_blocks if l_rows is q_rows else blocks_for(l_rows.count()))
     counts = joinability_counts(q_rows, l_rows, alpha, q_blocks, l_blocks, exclude_self, packed_dim)
     nq = q_rows.groupBy(F.col("table_id").alias("q_table_id")).agg(F.count(F.lit(1)).alias("n_q"))
     return (counts.join(nq, "q_table_id")

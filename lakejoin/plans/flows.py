@@ -92,9 +92,9 @@ def search_joinable_lakes(query: Lake, lake: Lake, alpha: float = DEFAULT_ALPHA,
     are merged first-wins (C14), key rows chosen (C10/C11), encoded once (E3,
     E4), and every query table is ranked against the lake tables (J4, J5)."""
     from lakejoin.operators.catalog import merge_lakes
-    from lakejoin.operators.encode import key_rows, packed_rows, row_embeddings_hash
+    from lakejoin.operators.encode import key_rows, packed_key_rows
     both = merge_lakes(query, lake, winner="first")
-    rows = cut_lineage(packed_rows(row_embeddings_hash(key_rows(both, override), dim)))
+    rows = cut_lineage(packed_key_rows(key_rows(both, override), dim))
     q_ids = query.tables.select("table_id")
     l_ids = lake.tables.select("table_id")
     q_rows = rows.join(q_ids, "table_id", "left_semi")

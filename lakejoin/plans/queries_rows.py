@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from lakejoin.functions.vectors import l2_normalize, norm
 from lakejoin.operators import evaluate as E
-from lakejoin.operators.encode import key_rows, packed_rows, row_embeddings_hash
+from lakejoin.operators.encode import key_rows, packed_key_rows, row_embeddings_hash
 from lakejoin.operators.rank import rank_within
 from lakejoin.operators.similarity import joinability_scores
 from lakejoin.plans import oracle_sql as O
 from lakejoin.plans.flows import DEFAULT_ALPHA, search_joinable
 from lakejoin.plans.queries_eval import KS, M3_OUT, M4_OUT, _m3_out, _m4_out, m3_sql
 from lakejoin.plans.registry import r6, register
+from lakejoin.session import cut_lineage
 from lakejoin.sources import testdata as T
 
 VEC_ALPHA = 0.5       # the paper's alpha; the vector lake has no pair above 0.7
@@ -63,7 +64,7 @@ def l2_normalize_q(spark, sf):
 SELECT query_id, cand_id, n_match, n_q, round(score, 6) AS score FROM scores""")
 def joinability_ratio(spark, sf):
     v = vector_rows(spark, sf)
-    s = joinability_scores(v, v, VEC_ALPHA, 2, 2)
+    s = joinability_scores(v, v, VEC_ALPHA)
     return s.select("query_id", "cand_id", F.col("n_match").cast("long").alias("n_match"), "n_q", r6("score"))
 
 
@@ -161,6 +162,28 @@ SELECT s.query_id, s.cand_id, round(s.score, 6) AS score, t.table_pos AS lake_po
 FROM scores s JOIN tables t ON t.table_id = s.cand_id""")
 def table_search_rows_text(spark, sf):
     lake = T.conversations_lake(spark, sf)
-    rows = packed_rows(row_embeddings_hash(key_rows(lake), ROW_DIM))
+    rows = packed_key_rows(key_rows(lake), ROW_DIM)
     r = search_joinable(rows, rows, lake.tables.select("table_id", "table_pos"), DEFAULT_ALPHA, packed_dim=ROW_DIM)
     return r.select("query_id", "cand_id", r6("score"), "lake_pos", "rank")
+
+
+# ---- J4 with rows that have no token -----------------------------------------------------------
+@register("row_search_no_token", f"""WITH r AS (SELECT 'src-' || source AS table_id, doc_id AS row_idx,
+  CASE WHEN lang = 'en' THEN NULL ELSE lang END AS v FROM documents WHERE source IS NOT NULL),
+nq AS (SELECT table_id, count(*) AS n_q FROM r GROUP BY ALL),
+has AS (SELECT DISTINCT table_id, v FROM r WHERE v IS NOT NULL),
+hit AS (SELECT r.table_id AS q, h.table_id AS l, count(*) AS n_match FROM r JOIN has h ON h.v = r.v AND h.table_id <> r.table_id GROUP BY ALL)
+SELECT a.table_id AS query_id, b.table_id AS cand_id, coalesce(h.n_match, 0) AS n_match, a.n_q,
+       round(coalesce(h.n_match, 0) / a.n_q, 6) AS score
+FROM nq a JOIN nq b ON a.table_id <> b.table_id LEFT JOIN hit h ON h.q = a.table_id AND h.l = b.table_id""")
+def row_search_no_token(spark, sf):
+    """One table per source with the key column ``#``: the language, but for
+    English documents the text without letters and digits, which has no token."""
+    bare = F.regexp_replace("text", r"[\p{L}\p{N}]", "")
+    krows = (T.read(spark, sf, "documents").where(F.col("source").isNotNull())
+             .select(F.concat(F.lit("src-"), "source").alias("table_id"), F.col("doc_id").cast("long").alias("row_idx"),
+                     F.lit(0).alias("key_pos"), F.lit("#").alias("col_name"),
+                     F.when(F.col("lang") == "en", bare).otherwise(F.col("lang")).alias("value")))
+    rows = cut_lineage(packed_key_rows(krows, ROW_DIM))
+    s = joinability_scores(rows, rows, DEFAULT_ALPHA, packed_dim=ROW_DIM)
+    return s.select("query_id", "cand_id", F.col("n_match").cast("long").alias("n_match"), "n_q", r6("score"))

@@ -34,3 +34,14 @@ def test_hash_encoder_known_value(spark):
     d = to_dense(hash_encode(df, ["id"], "text", dim=8), ["id"], 8).first().vec
     assert len(d) == 8 and sum(abs(x) for x in d) == 2.0
     _ = F
+
+
+def test_rows_without_tokens_keep_their_place(spark):
+    from lakejoin.operators.encode import packed_key_rows
+    from lakejoin.operators.similarity import joinability_scores
+    rows = [("q", 0, 0, "#", "red"), ("q", 1, 0, "#", "--"), ("q", 2, 0, "#", None), ("l", 0, 0, "#", "red")]
+    k = spark.createDataFrame(rows, "table_id string, row_idx long, key_pos int, col_name string, value string")
+    packed = packed_key_rows(k, 256)
+    assert packed.count() == 4
+    got = {(r.query_id, r.cand_id): (r.n_match, r.n_q) for r in joinability_scores(packed, packed, 0.7, packed_dim=256).collect()}
+    assert got == {("q", "l"): (1, 3), ("l", "q"): (1, 1)}
