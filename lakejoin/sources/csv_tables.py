@@ -32,7 +32,7 @@ def _parse(strip_names: bool):
                     df = pd.read_csv(io.BytesIO(bytes(content)))
                 except Exception as e:  # unreadable file -> reject row
                     out.append(pd.DataFrame({"table_id": [tid], "row_idx": [None], "col_idx": [None],
-                                             "col_name": [None], "value": [None], "error": [repr(e)[:500]]}))
+                                             "col_name": [None], "value": [None], "error": [repr(e)]}))
                     continue
                 names = [str(c).strip() if strip_names else str(c) for c in df.columns]
                 n = len(df)

@@ -26,15 +26,37 @@ def _docs(spark: SparkSession, path: str) -> DataFrame:
     return documents_from_text(raw)
 
 
-def documents_from_text(raw: DataFrame) -> DataFrame:
-    """``raw(file, value)`` (one JSON document per row) -> (file, table_pos, doc)."""
-    raw = raw.select("file", F.trim("value").alias("value"))
-    arr = F.from_json("value", f"array<{TABLE_STRUCT}>")
-    wrapped = F.from_json("value", f"struct<tables:array<{TABLE_STRUCT}>>")["tables"]
-    single = F.array(F.from_json("value", TABLE_STRUCT))
-    tables = (F.when(F.col("value").startswith("["), arr)
+def _tables_of(value):
+    """(tables, reason): the table objects of a JSON text, and why it has none."""
+    arr = F.from_json(value, f"array<{TABLE_STRUCT}>")
+    wrapped = F.from_json(value, f"struct<tables:array<{TABLE_STRUCT}>>")["tables"]
+    single = F.array(F.from_json(value, TABLE_STRUCT))
+    tables = (F.when(value.startswith("["), arr)
               .when(wrapped.isNotNull(), wrapped)
               .otherwise(single))
+    no_id = F.exists(tables, lambda t: t.isNull() | t["table_id"].isNull())
+    reason = (F.when(tables.isNull(), F.lit("no readable JSON"))
+              .when(no_id, F.lit("a table without table_id")))
+    return tables, reason
+
+
+def json_rejects(raw: DataFrame) -> DataFrame:
+    """(file, reason) of the documents of ``raw(file, value)`` that cannot be read as tables."""
+    _, reason = _tables_of(F.trim("value"))
+    return raw.select("file", reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def documents_from_text(raw: DataFrame, on_error: str = "raise") -> DataFrame:
+    """``raw(file, value)`` (one JSON document per row) -> (file, table_pos, doc).
+    A document that cannot be read fails the job; with ``on_error="skip"`` it
+    is left to :func:`json_rejects`."""
+    raw = raw.select("file", F.trim("value").alias("value"))
+    tables, reason = _tables_of(F.col("value"))
+    if on_error == "skip":
+        raw = raw.where(reason.isNull())
+    else:
+        tables = F.when(reason.isNotNull(), F.raise_error(F.concat(
+            F.lit("unreadable table document "), F.col("file"), F.lit(": "), reason))).otherwise(tables)
     docs = raw.select("file", F.posexplode(tables).alias("pos_in_file", "doc"))
     # file order then position; only the (small) list of file names is ranked,
     # the documents themselves never leave their scan task for this
@@ -128,6 +150,10 @@ def ragged_to_rows(lake: Lake, col_indices: list[int]) -> DataFrame:
             .select("table_id", "row_idx", "pos", F.coalesce("value", F.lit("")).alias("value")))
 
 
+def _or_fail(parsed):
+    return F.when(parsed.isNull(), F.raise_error(F.concat(F.lit("unreadable truth file "), F.col("file")))).otherwise(parsed)
+
+
 def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Ground truth as ``truth(query_id, cand_id, pos)`` plus
     ``truth_queries(query_id)`` (entries with an empty list included).
@@ -138,11 +164,11 @@ def read_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
            .select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value")))
     # map form: parse values as raw JSON text first so one bad entry cannot null the map
     m = raw.where(~F.col("value").startswith("[")).select(
-        "file", F.explode(F.from_json("value", "map<string,string>")).alias("query_id", "v"))
+        "file", F.explode(_or_fail(F.from_json("value", "map<string,string>"))).alias("query_id", "v"))
     m = m.select("file", F.lit(0).alias("entry"), "query_id", F.from_json("v", "array<string>").alias("cands")) \
         .where(F.col("cands").isNotNull() & F.trim("v").startswith("["))
     lst = raw.where(F.col("value").startswith("[")).select(
-        "file", F.posexplode(F.from_json("value", "array<struct<query_id:string, positives:array<string>>>"))
+        "file", F.posexplode(_or_fail(F.from_json("value", "array<struct<query_id:string, positives:array<string>>>")))
         .alias("entry", "e"))
     lst = lst.select("file", "entry", F.col("e.query_id").alias("query_id"), F.col("e.positives").alias("cands")) \
         .where(F.col("cands").isNotNull())

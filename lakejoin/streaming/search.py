@@ -32,7 +32,7 @@ def search_stream(spark: SparkSession, query_dir: str, lake_emb_path: str, out_p
               .select(F.col("_metadata.file_path").alias("file"), "value"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        query = lake_from_documents(documents_from_text(batch), "row_major", "last")
+        query = lake_from_documents(documents_from_text(batch, on_error="skip"), "row_major", "last")
         q_emb = lake_column_embeddings(query, dim, keys_only=True)
         q_keys = query.key_columns().select("table_id", "col_name")
         preds = table_search_columns(q_emb, lake_emb, q_keys, k).withColumn("batch_id", F.lit(batch_id))

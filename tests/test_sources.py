@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakejoin.sources.csv_tables import read_csv_tables, read_links
@@ -105,3 +106,14 @@ def test_explicit_base_and_partition_win(spark, tmp_path):
                                     {"table_id": "y_z", "columns": ["a"], "cells": [["1"]], "partition": "p9"}])
     t = {r.table_id: (r.base_id, r.partition) for r in read_table_documents(spark, p).tables.collect()}
     assert t == {"x-top-1": ("B", "top"), "y_z": ("y", "p9")}
+
+
+def test_unreadable_documents_fail_or_are_listed(spark, tmp_path):
+    from pyspark.errors import PySparkException
+    from lakejoin.sources.json_tables import documents_from_text, json_rejects
+    good, cut, shape = '[{"table_id": "a", "columns": ["x"], "cells": [["1"]]}]', '[{"table_id": "b", "colu', '{"foo": 1}'
+    raw = spark.createDataFrame([("good", good), ("cut", cut), ("shape", shape)], "file string, value string")
+    assert sorted(r.file for r in json_rejects(raw).collect()) == ["cut", "shape"]
+    assert [r.doc.table_id for r in documents_from_text(raw, "skip").collect()] == ["a"]
+    with pytest.raises(PySparkException, match="unreadable table document"):
+        documents_from_text(raw).collect()
