@@ -13,6 +13,7 @@ SEP = " [SEP] "
 EMPTY_TEXT = "empty"
 NO_DESCRIPTION = "No description available"
 VALUE_JOIN = ", "
+DEFAULT_K = 30
 WORD_PATTERN = r"([\p{L}\p{N}]+)"
 
 
@@ -81,7 +82,8 @@ def serialize_row(names: Column, values: Column) -> Column:
 
 
 def parse_int_list(text: Column) -> Column:
-    """Comma list -> distinct sorted ints, blanks dropped."""
+    """Comma list -> distinct sorted ints, blanks dropped; [30] when none is left."""
     items = F.transform(F.split(text, ","), lambda x: F.trim(x))
     ints = F.transform(F.filter(items, lambda x: x != ""), lambda x: x.cast("int"))
-    return F.array_sort(F.array_distinct(F.filter(ints, lambda x: x.isNotNull())))
+    kept = F.array_sort(F.array_distinct(F.filter(ints, lambda x: x.isNotNull())))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(DEFAULT_K)))

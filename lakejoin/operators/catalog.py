@@ -55,9 +55,8 @@ def key_columns_b(lake: Lake, override: list[int] | None = None) -> DataFrame:
 
 def valid_tables(lake: Lake, min_columns: int = 2) -> DataFrame:
     """Tables with at least ``min_columns`` columns and at least one
-    non-empty column (a column with a non-null, non-empty value)."""
-    filled = (lake.cells.where(F.col("value").isNotNull() & (F.col("value") != ""))
-              .select("table_id").distinct().withColumn("has_cells", F.lit(True)))
+    column with cells (blank and null cells count: the list is not empty)."""
+    filled = lake.cells.select("table_id").distinct().withColumn("has_cells", F.lit(True))
     t = lake.tables.join(filled, "table_id", "left")
     return t.select("table_id", "n_cols", (F.col("n_cols") >= min_columns) & F.coalesce("has_cells", F.lit(False))).toDF(
         "table_id", "n_cols", "valid")

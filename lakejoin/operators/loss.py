@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakejoin.functions.vectors import dot, l2_normalize, norm
+from lakejoin.operators.similarity import blocks_for
 
 TEMPERATURE = 0.05
+BLOCK_ROWS = 1024   # rows or centroids of one block
 ALPHA = 1.0
 BETA = 1.0
 
@@ -35,7 +37,7 @@ def key_loss(samples: DataFrame, tau: float = TEMPERATURE) -> DataFrame:
 
 
 def centroid_loss(samples: DataFrame, centroids: DataFrame, assignments: DataFrame,
-                  tau: float = TEMPERATURE, row_blocks: int = 1, centroid_blocks: int = 1) -> DataFrame:
+                  tau: float = TEMPERATURE, row_blocks: int | None = None, centroid_blocks: int | None = None) -> DataFrame:
     """L2 (+J12, J13): per batch, the mean over valid layers of the mean over
     rows of the cross entropy against the row's own cluster (label looked up
     by sample index, 0 when missing, clamped to [0, C-1]); 0 with no layer.
@@ -52,6 +54,9 @@ def centroid_loss(samples: DataFrame, centroids: DataFrame, assignments: DataFra
     c = _unit(centroids.select("layer", "cluster_id", "vec"), "vec")
     # rows x layers: (layer, #centroids) is a handful of ints, passed as literals
     n_c = {int(r[0]): int(r[1]) for r in c.groupBy("layer").agg(F.count(F.lit(1))).collect()}
+    # block counts follow the numbers of samples and centroids unless given
+    row_blocks = row_blocks or blocks_for(s.count(), BLOCK_ROWS)
+    centroid_blocks = centroid_blocks or blocks_for(max(n_c.values(), default=1), BLOCK_ROWS)
     sl = s.withColumn("layer", F.explode(F.array(*[F.lit(x) for x in sorted(n_c)]) if n_c
                                          else F.array().cast("array<int>")))
     ncol = F.element_at(F.create_map(*[F.lit(x) for kv in sorted(n_c.items()) for x in kv]), F.col("layer")) \

@@ -51,12 +51,9 @@ def star_tables() -> str:
 
 
 def star_truth() -> str:
-    pairs = {}
-    for t1, _, t2, _ in STAR_LINKS:
-        pairs.setdefault(t1, set()).add(t2)
-        pairs.setdefault(t2, set()).add(t1)
-    rows = [f"({q(a)}, {q(c)}, {i})" for a, cs in pairs.items() for i, c in enumerate(sorted(cs))]
-    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") t(query_id, cand_id, pos)"
+    return (f"WITH held AS ({star_links_ordered()}) "
+            "SELECT query_id, cand_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cand_id) - 1 AS INTEGER) AS pos "
+            "FROM (SELECT table1 AS query_id, table2 AS cand_id FROM held UNION SELECT table2, table1 FROM held)")
 
 
 def star_truth_queries() -> str:
@@ -68,8 +65,11 @@ def star_links() -> str:
 
 
 def star_links_ordered() -> str:
-    rows = [f"({i}, {q(a)}, {q(b)}, {q(c)}, {q(d)})" for i, (a, b, c, d) in enumerate(STAR_LINKS)]
-    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") t(link_pos, table1, column1, table2, column2)"
+    return "\nUNION ALL ".join(
+        f"SELECT {i} AS link_pos, {q(a)} AS table1, {q(b)} AS column1, {q(c)} AS table2, {q(d)} AS column2 "
+        f"WHERE (SELECT count({b}) FROM {a}) > 0 AND (SELECT count(*) FROM (SELECT DISTINCT {b} AS v FROM {a} "
+        f"WHERE {b} IS NOT NULL) x ANTI JOIN (SELECT {d} AS v FROM {c}) y ON x.v = y.v) = 0"
+        for i, (a, b, c, d) in enumerate(STAR_LINKS))
 
 
 def grouped_cells(table: str, prefix: str, group_col: str, row_col: str, cols: list[str]) -> str:

@@ -91,7 +91,7 @@ def load_truth_map(spark, sf):
     lake = T.star_lake(spark, sf)
     tq = lake.tables.select(F.col("table_id").alias("query_id"))
     path = scratch(spark, "truth")
-    write_truth(T.star_truth(spark), tq, path)
+    write_truth(T.star_truth(spark, sf), tq, path)
     truth, queries = read_truth(spark, path)
     return queries.join(truth, "query_id", "left").select("query_id", "cand_id", "pos")
 
@@ -119,7 +119,7 @@ def load_csv_folder(spark, sf):
 def load_links(spark, sf):
     lake = T.star_lake(spark, sf)
     path = scratch(spark, "links")
-    links = T.star_links(spark)
+    links = T.star_links(spark, sf)
     # table names as a CSV export would write them: with a .csv suffix and padding
     (links.select(F.concat(F.lit(" "), F.col("table1"), F.lit(".csv")).alias("a"), F.col("table2").alias("b"),
                   F.col("column1").alias("c"), F.concat(F.col("column2"), F.lit(" ")).alias("d"))
@@ -130,13 +130,14 @@ def load_links(spark, sf):
 
 # ---- C1 / C2 / C7 name expressions -----------------------------------------------------------
 @register("parse_column_key", f"""WITH {STAR},
-keys AS (SELECT DISTINCT table_id || '::' || col_name AS key FROM columns UNION ALL SELECT DISTINCT table_id AS key FROM tables)
+keys AS (SELECT DISTINCT table_id || '::' || col_name AS key FROM cells UNION ALL SELECT DISTINCT table_id AS key FROM cells)
 SELECT key, CASE WHEN contains(key, '::') THEN split_part(key, '::', 1) ELSE key END AS table_id,
        CASE WHEN contains(key, '::') THEN substring(key, strpos(key, '::') + 2) ELSE '' END AS col_name FROM keys""")
 def parse_column_key(spark, sf):
     lake = T.star_lake(spark, sf)
-    keys = (lake.columns.select(F.concat("table_id", F.lit("::"), "col_name").alias("key")).distinct()
-            .unionByName(lake.tables.select(F.col("table_id").alias("key")).distinct()))
+    cols = lake.cells.select("table_id", "col_name").distinct()
+    keys = (cols.select(F.concat("table_id", F.lit("::"), "col_name").alias("key"))
+            .unionByName(cols.select(F.col("table_id").alias("key")).distinct()))
     t, c = split_column_key(F.col("key"))
     return keys.select("key", t.alias("table_id"), c.alias("col_name"))
 
@@ -159,20 +160,33 @@ def infer_base_partition(spark, sf):
 
 
 # ---- C9 / C10 / C11 / C12 / C14 / S12 ------------------------------------------------------------
+def _with_values(keys, lake):
+    """The chosen columns that have cells, with their number of distinct values."""
+    ids = ["table_id", "col_idx"]
+    n = (lake.cells.join(keys.select(*ids).distinct(), ids, "left_semi")
+         .groupBy(*ids).agg(F.count_distinct("value").alias("n_values")))
+    return keys.join(n, ids).select("table_id", "key_pos", "col_idx", "col_name", "n_values")
+
+
 @register("key_columns_a", f"""WITH {STAR}
-SELECT table_id, key_pos, col_idx, col_name FROM columns WHERE key_pos IS NOT NULL""")
+SELECT k.table_id, k.key_pos, k.col_idx, k.col_name, count(DISTINCT c.value) AS n_values
+FROM columns k JOIN cells c ON c.table_id = k.table_id AND c.col_idx = k.col_idx WHERE k.key_pos IS NOT NULL GROUP BY ALL""")
 def key_columns_a(spark, sf):
-    return C.key_columns_a(T.star_lake(spark, sf))
+    lake = T.star_lake(spark, sf)
+    return _with_values(C.key_columns_a(lake), lake)
 
 
 @register("key_columns_b", f"""WITH {STAR}, t AS (SELECT table_id, count(*) AS n_cols FROM columns GROUP BY ALL),
 ov AS (SELECT * FROM (VALUES (0, 0), (1, 2), (2, 5)) v(key_pos0, idx))
 SELECT c.table_id, CAST(row_number() OVER (PARTITION BY c.table_id ORDER BY ov.key_pos0) - 1 AS INTEGER) AS key_pos,
-       c.col_idx, c.col_name
-FROM t JOIN ov ON ov.idx >= 0 AND ov.idx < t.n_cols JOIN columns c ON c.table_id = t.table_id AND c.col_idx = ov.idx""")
+       c.col_idx, c.col_name, nv.n_values
+FROM t JOIN ov ON ov.idx >= 0 AND ov.idx < t.n_cols JOIN columns c ON c.table_id = t.table_id AND c.col_idx = ov.idx
+JOIN (SELECT table_id, col_idx, count(DISTINCT value) AS n_values FROM cells GROUP BY ALL) nv
+  ON nv.table_id = c.table_id AND nv.col_idx = c.col_idx""")
 def key_columns_b(spark, sf):
     """C10 with a key-index override (0, 2, 5): out-of-range indices dropped per table."""
-    return C.key_columns_b(T.star_lake(spark, sf), [0, 2, 5])
+    lake = T.star_lake(spark, sf)
+    return _with_values(C.key_columns_b(lake, [0, 2, 5]), lake)
 
 
 @register("key_rows", f"""WITH {CONV}
@@ -186,7 +200,7 @@ def key_rows_q(spark, sf):
 @register("valid_tables", f"""WITH {CONV}
 SELECT t.table_id, CAST((SELECT count(*) FROM columns c WHERE c.table_id = t.table_id) AS INTEGER) AS n_cols,
        (SELECT count(*) FROM columns c WHERE c.table_id = t.table_id) >= 2
-       AND EXISTS (SELECT 1 FROM cells c WHERE c.table_id = t.table_id AND c.value IS NOT NULL AND c.value <> '') AS valid
+       AND EXISTS (SELECT 1 FROM cells c WHERE c.table_id = t.table_id) AS valid
 FROM tables t""")
 def valid_tables(spark, sf):
     return C.valid_tables(T.conversations_lake(spark, sf), 2)
@@ -198,18 +212,24 @@ def _keys_only(lake: Lake) -> Lake:
                 lake.cells.join(kc, ["table_id", "col_idx"], "left_semi"))
 
 
+def _merged_cells(lake: Lake):
+    return lake.cells.groupBy("table_id", "col_idx", "col_name").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.count_distinct("value").alias("n_values"))
+
+
 @register("merge_tables_lake_wins", f"""WITH {STAR}
-SELECT table_id, col_idx, col_name FROM columns WHERE key_pos IS NOT NULL""")
+SELECT c.table_id, c.col_idx, c.col_name, count(*) AS n_cells, count(DISTINCT c.value) AS n_values
+FROM cells c JOIN columns k ON k.table_id = c.table_id AND k.col_idx = c.col_idx AND k.key_pos IS NOT NULL GROUP BY ALL""")
 def merge_tables_lake_wins(spark, sf):
     full = T.star_lake(spark, sf)
-    return C.merge_lakes(full, _keys_only(full), "second").columns.select("table_id", "col_idx", "col_name")
+    return _merged_cells(C.merge_lakes(full, _keys_only(full), "second"))
 
 
 @register("merge_tables_first_wins", f"""WITH {STAR}
-SELECT table_id, col_idx, col_name FROM columns""")
+SELECT table_id, col_idx, col_name, count(*) AS n_cells, count(DISTINCT value) AS n_values FROM cells GROUP BY ALL""")
 def merge_tables_first_wins(spark, sf):
     full = T.star_lake(spark, sf)
-    return C.merge_lakes(full, _keys_only(full), "first").columns.select("table_id", "col_idx", "col_name")
+    return _merged_cells(C.merge_lakes(full, _keys_only(full), "first"))
 
 
 @register("ragged_to_rows", f"""WITH {CONV},

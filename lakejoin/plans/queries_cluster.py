@@ -48,7 +48,7 @@ EDGES_SQL = """edges AS (SELECT a.sample_idx AS i, b.sample_idx AS k,
 @register("sq_distance_stats", f"""WITH {SAMPLES_SQL}, {EDGES_SQL}
 SELECT count(*) AS n_pairs, round(min(s), 6) AS min_s, round(median(s), 6) AS median_s FROM edges""")
 def sq_distance_stats(spark, sf):
-    edges = CL.sq_distance_edges(desc_vectors(spark, sf), 2)
+    edges = CL.sq_distance_edges(desc_vectors(spark, sf))
     mn, med = CL.sim_stats(edges)
     n = edges.count()
     return spark.createDataFrame([(n, mn, med)], "n_pairs long, min_s double, median_s double") \
@@ -61,7 +61,7 @@ st AS (SELECT min(s) AS mn, median(s) AS med FROM edges)
 SELECT CAST(l.layer AS INTEGER) AS layer, round(mn + (med - mn) / {CL.N_LAYERS - 1} * (l.layer - 1), 6) AS preference
 FROM st, range(1, {CL.N_LAYERS + 1}) l(layer)""")
 def preference_schedule(spark, sf):
-    edges = CL.sq_distance_edges(desc_vectors(spark, sf), 2)
+    edges = CL.sq_distance_edges(desc_vectors(spark, sf))
     mn, med = CL.sim_stats(edges)
     prefs = CL.preferences(mn, med, CL.N_LAYERS)
     return spark.createDataFrame([(i + 1, p) for i, p in enumerate(prefs)], "layer int, preference double") \

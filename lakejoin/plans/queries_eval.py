@@ -27,7 +27,7 @@ hits AS (
 def _star_eval(spark, sf):
     lake, preds = star_predictions(spark, sf)
     run = lake.key_columns().select(F.col("table_id").alias("query_id")).distinct()
-    return preds, run, T.star_truth(spark), T.star_truth_queries(spark)
+    return preds, run, T.star_truth(spark, sf), T.star_truth_queries(spark)
 
 
 # ---- J10 + W6 ------------------------------------------------------------------

@@ -34,7 +34,7 @@ pairs AS (SELECT CAST(row_number() OVER (ORDER BY t.query_id, t.pos, q.key_pos)
 
 def star_pairs(spark, sf):
     lake = T.star_lake(spark, sf)
-    return lake, PR.truth_to_pairs(T.star_truth(spark), lake)
+    return lake, PR.truth_to_pairs(T.star_truth(spark, sf), lake)
 
 
 # ---- J6 -------------------------------------------------------------------------
@@ -49,7 +49,7 @@ SELECT CAST(row_number() OVER (ORDER BY link_pos) - 1 AS BIGINT) AS pair_id, tab
 def links_to_pairs(spark, sf):
     lake = T.star_lake(spark, sf)
     path = scratch(spark, "links")
-    T.star_links(spark).select("table1", "table2", "column1", "column2").coalesce(1).write.mode("overwrite").csv(path)
+    T.star_links(spark, sf).orderBy("link_pos").select("table1", "table2", "column1", "column2").coalesce(1).write.mode("overwrite").csv(path)
     return PR.links_to_pairs(read_links(spark, path, lake))
 
 
@@ -150,7 +150,7 @@ def samples_sql() -> str:
     return f"""{ev},
 valid AS (SELECT t.table_id, t.table_pos, (SELECT count(*) FROM columns c WHERE c.table_id = t.table_id) AS n_cols FROM tables t
           WHERE (SELECT count(*) FROM columns c WHERE c.table_id = t.table_id) >= 2
-            AND EXISTS (SELECT 1 FROM cells c WHERE c.table_id = t.table_id AND c.value IS NOT NULL AND c.value <> '')),
+            AND EXISTS (SELECT 1 FROM cells c WHERE c.table_id = t.table_id)),
 draws AS (SELECT v.*, CAST(d.draw AS INTEGER) AS draw FROM valid v, range(0, {SAMPLES_PER_TABLE}) d(draw)),
 dn AS (SELECT *, least(2 + CAST(('0x' || substr({md5key('table_id', 'draw')}, 1, 8)) AS BIGINT) % 3, n_cols) AS n FROM draws),
 sel AS (SELECT dn.table_id, dn.table_pos, dn.draw, dn.n, c.col_idx, c.col_name, c.description,

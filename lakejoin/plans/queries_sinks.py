@@ -70,7 +70,7 @@ def fit_pairs(spark, sf):
     """Fit on the star lake's truth, save, reload, score the training pairs."""
     lake = T.star_lake(spark, sf)
     path = scratch(spark, "model")
-    model, feats = fit_from_truth(lake, T.star_truth(spark), model_path=path)
+    model, feats = fit_from_truth(lake, T.star_truth(spark, sf), model_path=path)
     loaded = FT.load(path)
     out = loaded.transform(feats)
     return out.select("pair_id", "label", F.round("cos", 6).alias("cos"), F.round("cont1", 6).alias("cont1"),

@@ -154,7 +154,7 @@ def embedding_lookup(spark, sf):
     from lakejoin.sources.testdata import star_links
     lake = star_lake(spark, sf)
     emb = lake_column_embeddings(lake)
-    links = star_links(spark)
+    links = star_links(spark, sf)
     ends = (links.select(F.col("table1").alias("table_id"), F.col("column1").alias("col_name"))
             .union(links.select(F.col("table2").alias("table_id"), F.col("column2").alias("col_name"))).distinct())
     return emb.join(ends, ["table_id", "col_name"]).select("table_id", "col_name", "dim", "w")

@@ -13,10 +13,11 @@ columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakejoin.lake import Lake, tables_from_parts
+from lakejoin.session import cut_lineage
 
 # Fixed lake layout: table -> (row id expression, used columns, key columns).
 STAR_SPEC: list[tuple[str, str, list[str], list[str]]] = [
@@ -32,10 +33,11 @@ STAR_SPEC: list[tuple[str, str, list[str], list[str]]] = [
     ("documents", "doc_id", ["doc_id", "lang", "source"], ["doc_id"]),
     ("labels", "doc_id", ["doc_id", "quality", "toxic"], ["doc_id"]),
     ("events", "event_id", ["event_id", "user_id", "event_type"], ["event_id", "user_id"]),
-    ("conversations", "conv_id * 1024 + turn", ["conv_id", "turn", "role"], ["conv_id"]),
+    ("conversations", "hash:conv_id,turn", ["conv_id", "turn", "role"], ["conv_id"]),
 ]
 
-# Fixed declared key links of the star lake: (table1, column1, table2, column2).
+# Fixed candidate key links of the star lake: (table1, column1, table2, column2).  A link
+# counts only where the data bear it out, see :func:`star_links`.
 STAR_LINKS: list[tuple[str, str, str, str]] = [
     ("customer", "c_nationkey", "nation", "n_nationkey"),
     ("supplier", "s_nationkey", "nation", "n_nationkey"),
@@ -103,24 +105,35 @@ def star_lake(spark: SparkSession, sf_dir: str) -> Lake:
     return Lake(tables_from_parts(columns, cells, positions), columns, cells)
 
 
-def star_truth(spark: SparkSession) -> DataFrame:
-    """Table-level truth from the declared links, both directions:
+def star_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table-level truth from the links that hold in the data, both directions:
     (query_id, cand_id, pos).  Tables without links are present with no
     candidates through :func:`star_truth_queries`."""
-    pairs = {}
-    for t1, _, t2, _ in STAR_LINKS:
-        pairs.setdefault(t1, []).append(t2)
-        pairs.setdefault(t2, []).append(t1)
-    rows = [(q, c, i) for q, cs in pairs.items() for i, c in enumerate(sorted(set(cs)))]
-    return spark.createDataFrame(rows, "query_id string, cand_id string, pos int")
+    both = star_links(spark, sf_dir).select(F.inline(F.array(
+        F.struct(F.col("table1").alias("query_id"), F.col("table2").alias("cand_id")),
+        F.struct(F.col("table2").alias("query_id"), F.col("table1").alias("cand_id"))))).distinct()
+    w = Window.partitionBy("query_id").orderBy("cand_id")
+    return both.select("query_id", "cand_id", (F.row_number().over(w) - 1).alias("pos"))
 
 
 def star_truth_queries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n,) for n, *_ in STAR_SPEC], "query_id string")
 
 
-def star_links(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STAR_LINKS, "table1 string, column1 string, table2 string, column2 string")
+def star_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(link_pos, table1, column1, table2, column2) of the candidate links that
+    hold: ``column1`` has values and each of them occurs in ``column2``."""
+    out = None
+    for pos, (t1, c1, t2, c2) in enumerate(STAR_LINKS):
+        left = read(spark, sf_dir, t1).select(F.col(c1).alias("v")).where("v IS NOT NULL").distinct()
+        right = read(spark, sf_dir, t2).select(F.col(c2).alias("v")).where("v IS NOT NULL").distinct() \
+            .withColumn("found", F.lit(1))
+        held = (left.join(right, "v", "left").agg(F.count("v").alias("n"), F.count("found").alias("m"))
+                .where("n > 0 AND n = m")
+                .select(F.lit(pos).alias("link_pos"), F.lit(t1).alias("table1"), F.lit(c1).alias("column1"),
+                        F.lit(t2).alias("table2"), F.lit(c2).alias("column2")))
+        out = held if out is None else out.unionByName(held)
+    return cut_lineage(out)   # one row per link, read several times
 
 
 # Fixed column descriptions of the small-table lakes (the parquet files carry none).

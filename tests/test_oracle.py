@@ -10,7 +10,7 @@ from conftest import SF001
 
 FAST = ["column_profile", "value_sample_budget", "column_text_default", "column_embeddings_hash",
         "column_links_topk", "table_search_columns", "metrics_at_k", "overall_metrics", "metrics_multi_k",
-        "joinability_ratio", "table_search_rows_text", "load_tables_json", "load_truth_map", "key_rows",
+        "joinability_ratio", "table_search_rows_text", "row_search_no_token", "key_columns_a", "merge_tables_lake_wins", "load_tables_json", "load_truth_map", "key_rows",
         "truth_to_pairs", "shuffle_augment", "multi_key_samples", "key_loss", "centroid_loss", "sq_distance_stats"]
 
 
