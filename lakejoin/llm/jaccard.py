@@ -298,8 +298,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = _first_tokens(real, hot_b)
     shared_rows = shared.staged(
         rows.withColumns({"lo": F.min("q").over(by_token), "hi": F.max("q").over(by_token)})
-        .filter("token is null or lo < hi").select("token", "q", "rest"))
-    active = (shared_rows.groupBy("q").agg(F.min("rest").alias("rest"), F.countDistinct("token").alias("got"))
+        .filter("token is null or lo < hi").select("token", "q", "rest").distinct())
+    active = (shared_rows.groupBy("q").agg(F.min("rest").alias("rest"), F.count("token").alias("got"))
               .filter("got >= rest").select("q").join(reps, "q"))
     active = shared.staged(active)
     sets = _full_sets(shared.maybe_in(real, active.select(F.col("rep").alias("id")), "id"), hot_b)
@@ -329,7 +329,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # 5. the matrix, and the groups that qualify
     sets = shared.staged(sets.join(group.select("q"), "q").select("q", "n", "toks", "hots"))
     tokens = (shared_rows.filter("token is not null").select("token", "q").join(group, "q")
-              .unionByName(sets.select(F.explode("hots").alias("token"), "q").join(group, "q")).distinct())
+              .unionByName(sets.select(F.explode("hots").alias("token"), "q").join(group, "q")))
     tokens = shared.staged(tokens)
     matrix = tokens.select("token", "cls", F.col("g").alias("og"), F.col("size").alias("osize")).distinct()
     held = matrix.groupBy("token", "cls").agg(F.count("*").alias("groups"), F.min("og").alias("only"))
