@@ -207,12 +207,13 @@ _KEYS = [f"k{r}" for r in range(ROUNDS)]
 
 
 def _full_sets(docs: DataFrame, hot) -> DataFrame:
-    """(id, q, n, toks, hots, min-hash keys) of each document."""
+    """(id, q, n, toks, hots, min-hash keys) of each document; repeated rows are
+    emitted once a task."""
     schema = "id bigint, q bigint, n int, cold int, toks array<bigint>, hots array<bigint>, " + ", ".join(f"{k} bigint" for k in _KEYS)
     names = ["id", "q", "n", "cold", "toks", "hots", *_KEYS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = _Order(hot.value)
+        order, seen = _Order(hot.value), set()
         for batch in batches:
             rows = []
 
@@ -228,9 +229,15 @@ def _full_sets(docs: DataFrame, hot) -> DataFrame:
             for i, t in zip(batch.column("id").to_pylist(), _sets(batch.column("text"))):
                 if not len(t):
                     continue
+                q = _fingerprint(t)
+                if (i, q) in seen:
+                    continue
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                seen.add((i, q))
                 _, hots = order.first(t)
                 keys = [int(words.mix(t ^ np.uint64(0xA0761D6478BD642F * (r + 1) & ((1 << 64) - 1))).min().view(np.int64)) for r in range(ROUNDS)]
-                rows.append((i, _fingerprint(t), len(t), len(t) - order.frequent(t), t.view(np.int64), hots.view(np.int64), *keys))
+                rows.append((i, q, len(t), len(t) - order.frequent(t), t.view(np.int64), hots.view(np.int64), *keys))
                 if len(rows) >= 512:
                     yield flush()
             if rows:
@@ -249,10 +256,15 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _round(sets: DataFrame, r: int) -> DataFrame:
-    """One grouping round: sets with their ``parent`` (null for leaders and sets alone)."""
+    """One grouping round: sets with their ``parent`` (null for leaders and sets
+    alone).  Rows of one set come out once; a set whose key no other row holds
+    stays where it is."""
     key = _KEYS[r]
-    crowded = sets.groupBy(key).agg(F.count("*").alias("held")).filter(F.col("held") > KEY_ROWS)
-    # at most (number of sets) / KEY_ROWS rows
+    held = shared.staged(sets.groupBy(key).agg(F.count("*").alias("held")).filter("held > 1"))
+    sets, flag = shared.marked(sets, held, key)
+    alone = sets.filter(~F.col(flag)).drop(flag).withColumn("parent", F.lit(None).cast("long"))
+    sets = sets.filter(flag).drop(flag)
+    crowded = held.filter(F.col("held") > KEY_ROWS)   # at most (number of rows) / KEY_ROWS rows
     keyed = sets.join(F.broadcast(crowded), key, "left").withColumn("part", F.when(
         F.col("held").isNull(), 0).otherwise(F.pmod(F.xxhash64("q"), F.ceil(F.col("held") / KEY_ROWS)))).drop("held")
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -261,24 +273,29 @@ def _round(sets: DataFrame, r: int) -> DataFrame:
     names = sets.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaders = None, []
+        at, leaders, before = None, [], None
         for batch in batches:
             toks = batch.column("toks")
             off, flat = toks.offsets.to_numpy(), toks.values.to_numpy().view(np.uint64)
-            parents = []
+            parents, rows = [], []
             for i, (k, p, q) in enumerate(zip(batch.column(key).to_pylist(), batch.column("part").to_pylist(), batch.column("q").to_pylist())):
                 if (k, p) != at:
-                    at, leaders = (k, p), []
+                    at, leaders, before = (k, p), [], None
+                if q == before:
+                    continue
+                before = q
                 t = flat[off[i]:off[i + 1]]
                 parent = next((lq for lq, lt in leaders if _linked(t, lt)), None)
                 if parent is None and len(leaders) < LEADERS:
                     leaders.append((q, t.copy()))
                 parents.append(parent)
+                rows.append(i)
+            batch = batch.take(pa.array(rows, pa.int64())) if len(rows) < batch.num_rows else batch
             cols = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(parents, pa.int64())], names=[*names, "parent"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sets.schema.fields)
-    return runs.mapInArrow(run, f"{types}, parent bigint")
+    return runs.mapInArrow(run, f"{types}, parent bigint").unionByName(alone)
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,12 +320,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
               .filter("got >= rest").select("q").join(reps, "q"))
     active = shared.staged(active)
     sets = _full_sets(shared.maybe_in(real, active.select(F.col("rep").alias("id")), "id"), hot_b)
-    sets = shared.staged(sets.join(active.select("q", "rep"), "q").filter("id = rep").drop("id", "rep").dropDuplicates(["q"]))
+    left = shared.staged(sets.join(active.select("q", "rep"), "q").filter("id = rep").drop("id", "rep"))
 
-    # 3. groups
-    links, left = None, sets.drop("hots")
+    # 3. groups; the first round leaves one row a set
+    links = None
     for r in range(ROUNDS):
         done = shared.staged(_round(left, r).drop(_KEYS[r]))
+        if r == 0:
+            sets, done = done.select("q", "n", "toks", "hots"), done.drop("hots")
         new = done.filter("parent is not null").select(F.col("q").alias("a"), F.col("parent").alias("b"))
         links = new if links is None else links.unionByName(new)
         left = done.filter("parent is null").drop("parent")
