@@ -304,8 +304,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     summary = shared.staged(_summary(base))
     own = summary.filter("kind = 0").select(F.col("a").alias("id"), "q", "n")
-    hot = (summary.filter("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "token").limit(HOT).collect())                     # at most HOT rows
+    frequent = shared.staged(summary.filter("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("n"))
+                             .orderBy(F.desc("n"), "token").limit(HOT))             # at most HOT rows
+    hot = sorted(frequent.collect(), key=lambda r: (-r["n"], r["token"]))
+    frequent = F.broadcast(frequent.select("token"))
     hot_b = spark.sparkContext.broadcast(np.array([r["token"] for r in reversed(hot)], np.int64).view(np.uint64))
     reps = own.filter("id is not null and q is not null").groupBy("q").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     real = base.filter("id is not null")
@@ -338,9 +340,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     group = shared.staged(group.join(group.groupBy("g").agg(F.count("*").alias("size")), "g").select("q", "n", "g", "size"))
 
     # 4. sets that tokens of other groups cover
-    every = sets.select("q", F.explode("toks").alias("token")).join(group.select("q", "n", "g"), "q")
-    several = (every.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token"))
-    covered = (every.join(several, "token").groupBy("q").agg(F.count("*").alias("got"), F.first("n").alias("n"))
+    every = sets.select("q", "toks").join(group.select("q", "n", "g"), "q").select("q", "n", "g", F.explode("toks").alias("token"))
+    # frequent tokens are aggregated before they move and come back as a list of at most HOT rows
+    often = every.join(frequent, "token")
+    several = often.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token")
+    rare = (every.join(frequent, "token", "left_anti")
+            .withColumns({"lo": F.min("g").over(by_token), "hi": F.max("g").over(by_token)}).filter("lo < hi"))
+    covered = (often.join(F.broadcast(several), "token").select("q", "n").unionByName(rare.select("q", "n"))
+               .groupBy("q").agg(F.count("*").alias("got"), F.first("n").alias("n"))
                .filter("5 * got >= 4 * n").select("q"))
     group = group.drop("size").join(covered, "q").withColumn("cls", F.floor(8 * F.log2("n")).cast("int"))
     group = shared.staged(group.join(group.groupBy("g").agg(F.count("*").alias("size")), "g").select("q", "n", "g", "size", "cls"))
