@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -94,22 +95,31 @@ def cuts(raw: np.ndarray, forced: np.ndarray) -> np.ndarray:
 
 
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder of one task; the encoder's parts are built on first use."""
 
     def __init__(self, spec_json: str):
+        self.spec = json.loads(spec_json)
+        self.spec["truncation"] = self.spec["padding"] = None
+        self.cache: dict[bytes, np.ndarray] = {}
+        added = self.spec.get("added_tokens") or []
+        self.added = [re.escape(t.encode()) for t in sorted((t["content"] for t in added), key=len, reverse=True)]
+
+    @cached_property
+    def tok(self):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        spec = json.loads(spec_json)
-        spec["truncation"] = spec["padding"] = None
-        self.tok = Tokenizer.from_str(json.dumps(spec))
-        self.forced = forced_pairs(spec)
-        self.cache: dict[bytes, np.ndarray] = {}
-        added = [t["content"] for t in spec.get("added_tokens") or []]
-        self.added = [re.escape(t.encode()) for t in sorted(added, key=len, reverse=True)]
+        return Tokenizer.from_str(json.dumps(self.spec))
+
+    @cached_property
+    def forced(self) -> np.ndarray:
+        return forced_pairs(self.spec)
+
+    @cached_property
+    def bytes_of(self) -> dict[int, bytes]:
         alphabet = byte_alphabet()
-        special = {t["id"]: t["content"].encode() for t in spec.get("added_tokens") or []}
-        self.bytes_of = {i: token_bytes(t, alphabet) for t, i in spec["model"]["vocab"].items()} | special
+        special = {t["id"]: t["content"].encode() for t in self.spec.get("added_tokens") or []}
+        return {i: token_bytes(t, alphabet) for t, i in self.spec["model"]["vocab"].items()} | special
 
     def fragments(self, raw: np.ndarray) -> list[bytes]:
         data = raw.tobytes()
@@ -139,15 +149,28 @@ class Codec:
         return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
+def _ids(codec: Codec, col: pa.Array) -> pa.ListArray:
+    raw, offsets = words.text_buffers(col)
+    flat, ends = [np.zeros(0, np.int32)], [0]
+    for i in range(len(col)):
+        ids = list(chain.from_iterable(codec.encode(raw[offsets[i]:offsets[i + 1]])))
+        flat.append(np.asarray(ids, dtype=np.int32))
+        ends.append(ends[-1] + len(ids))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+
+
+def _texts(codec: Codec, ids: pa.Array) -> pa.Array:
+    return pa.array([codec.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in ids], pa.string())
+
+
 def _columns(df: DataFrame) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
 
 
-def encode(df: DataFrame, spec_json: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Add ``ids_col`` (array<int>).  ``spec_json``: content of a byte-level BPE
-    tokenizer file, a constant of the vocabulary's size, sent to the tasks."""
-    ids_name = shared.fresh(df.columns, ids_col)
-    names = df.columns
+def _mapped(df: DataFrame, spec_json: str, types: list[str], new: Callable[[Codec, pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """``df`` with the columns that ``new`` makes of slices of a batch.
+    ``spec_json``: content of a byte-level BPE tokenizer file, a constant of the
+    vocabulary's size, sent to the tasks."""
     spec = df.sparkSession.sparkContext.broadcast(spec_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,38 +178,36 @@ def encode(df: DataFrame, spec_json: str, text_col: str = "text", ids_col: str =
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 part = batch.slice(lo, SLICE)
-                raw, offsets = words.text_buffers(part.column(text_col))
-                flat, ends = [], [0]
-                for i in range(part.num_rows):
-                    ids = list(chain.from_iterable(codec.encode(raw[offsets[i]:offsets[i + 1]])))
-                    flat.append(np.asarray(ids, dtype=np.int32))
-                    ends.append(ends[-1] + len(ids))
-                col = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, col], names=[*names, ids_name])
+                cols = [*part.columns, *new(codec, part)]
+                yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
 
-    return df.mapInArrow(run, f"{_columns(df)}`{ids_name}` array<int>")
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, _columns(plain) + ", ".join(
+        f"c{len(df.columns) + i} {t}" for i, t in enumerate(types)))
 
 
-def decode(df: DataFrame, spec_json: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """Add ``text_col``: the text of ``ids_col``, special tokens included."""
-    out_name = shared.fresh(df.columns, text_col)
-    names = df.columns
-    spec = df.sparkSession.sparkContext.broadcast(spec_json)
+def encode(df: DataFrame, spec_json: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """Add ``ids_col`` (array<int>)."""
+    at, name = df.columns.index(text_col), shared.fresh(df.columns, ids_col)
+    out = _mapped(df, spec_json, ["array<int>"], lambda codec, part: [_ids(codec, part.column(at))])
+    return out.toDF(*df.columns, name)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(spec.value)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE):
-                part = batch.slice(lo, SLICE)
-                texts = [codec.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in part.column(ids_col)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, out_name])
 
-    return df.mapInArrow(run, f"{_columns(df)}`{out_name}` string")
+def decode(df: DataFrame, spec_json: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
+    """Add ``text_col``: the text of ``ids_col``, special tokens included."""
+    at, name = df.columns.index(ids_col), shared.fresh(df.columns, text_col)
+    out = _mapped(df, spec_json, ["string"], lambda codec, part: [_texts(codec, part.column(at))])
+    return out.toDF(*df.columns, name)
 
 
 def digests(df: DataFrame, spec_json: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, decode, and digest: id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(df.select(id_col, text_col), spec_json, text_col, "ids").drop(text_col), spec_json, "ids", "decoded")
-    return both.select(id_col, F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Encode, decode, and digest: id, n_tokens, ids_sha256, decoded_sha256.
+    One Python worker a task does both, so an executor holds one codec a core."""
+    def both(codec: Codec, part: pa.RecordBatch) -> list[pa.Array]:
+        ids = _ids(codec, part.column(1))
+        return [ids, _texts(codec, ids)]
+
+    out = _mapped(df.select(id_col, text_col), spec_json, ["array<int>", "string"], both).toDF(id_col, text_col, "ids", "decoded")
+    return out.select(id_col, F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
