@@ -52,6 +52,28 @@ def test_long_text_in_pieces(monkeypatch):
     assert np.allclose(whole[1:], cut[1:]) and np.allclose(whole[0], cut[0], rtol=0.05)
 
 
+def test_every_language_and_row_counts(spark, monkeypatch):
+    """70 languages with a letter of their own each: none is left out, however the blocks fall."""
+    rows = [(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} common", f"l{i:02d}") for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    want = language.predict(docs, model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in want] == [r["lang"] for r in want]
+    monkeypatch.setattr(language, "BLOCK", 1 << 19)
+    monkeypatch.setattr(language, "RUN", 100)
+    model = language.fit(docs)
+    got = language.predict(docs, model).orderBy("doc_id").collect()
+    assert len(model.blocks) > 10 and [r["lang_pred"] for r in got] == [r["lang_pred"] for r in want]
+    assert np.allclose([r["score"] for r in got], [r["score"] for r in want])
+
+
+def test_counts_are_passed_on_early(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"some words {i} of text", f"l{i % 3}") for i in range(60)], "text string, lang string").coalesce(1)
+    want = sorted(map(tuple, language.count(docs).collect()))
+    monkeypatch.setattr(language, "HELD", 20)
+    assert sorted(map(tuple, language.count(docs).collect())) == want
+
+
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     labels = spark.read.parquet(f"{SF01}/labels.parquet")
