@@ -5,7 +5,10 @@ label them.  Other urls are judged by the tree:
 
 1. *Templates.*  Path segments of digits, hexadecimal ids and the like become
    wildcards by shape.  Level by level, under each host and template so far, a
-   segment that holds too small a share of its parent's pages becomes ``*``.
+   segment that holds too small a share of its parent's pages becomes ``*``,
+   unless its labelled share differs from its siblings' (the test of 3., with
+   SUPPORT labelled pages or more).  Levels are added until no node holds both
+   blocked and allowed labels above longer paths; what is deeper is ``**``.
 2. *Purity.*  Each node counts labelled pages and blocked ones.  The chance of
    ``block`` at a node is smoothed towards its parent:
    (blocked + K * parent) / (labelled + K).
@@ -30,9 +33,10 @@ from pyspark.sql import functions as F
 
 from lakejoin.llm import shared
 
-LEVELS = 4            # segments that have a level of their own; the rest is one wildcard
-MIN_SHARE = 0.02      # smaller segments become wildcards
+LEVELS = 4            # levels at least; more where labels still differ below
+MIN_SHARE = 0.02      # smaller segments become wildcards if their labels are like their siblings'
 SMOOTH = 4.0
+SUPPORT = 4           # with fewer labelled pages than SMOOTH a node stays nearer to its parent
 Z = 1.96
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,6 +69,17 @@ def _shape(seg: Column) -> Column:
     return F.regexp_replace(seg, r"^(?=[^.]*[0-9])[0-9A-Fa-f-]{8,}(?=\.[A-Za-z]+$|$)", "{h}")
 
 
+def _same() -> Column:
+    """Two-proportion test of a node (nb of nn labelled pages blocked) against the
+    rest of its parent (ub of un)."""
+    div = F.try_divide
+    pool = div("ub", "un")
+    rest = F.col("un") - F.col("nn")
+    diff = div("nb", "nn") - div(F.col("ub") - F.col("nb"), rest)
+    z = div(F.abs(diff), F.sqrt(pool * (1 - pool) * (div(F.lit(1.0), F.col("nn")) + div(F.lit(1.0), rest))))
+    return F.coalesce(z < Z, F.lit(True))      # null: no labelled pages here or elsewhere, or one kind only
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, verdict, template and p_block."""
     cols = pages.columns
@@ -81,21 +96,30 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url")
               .groupBy("host", "raw").agg(F.count("*").alias("pages"), F.count("rule").alias("n"),
                                           F.count(F.when(F.col("rule").isin(block), 1)).alias("b")))
     leaves = shared.staged(leaves)
-    leaves = leaves.select("*", *[F.coalesce(F.get(s, F.lit(i)), F.lit("")).alias(f"s{i}") for i in range(LEVELS)],
-                           F.when(F.size(s) > LEVELS, "**").otherwise("").alias("tail"))
-    up = ["host"]
-    for i in range(LEVELS):
-        # share of the segment among its parent's pages
-        seg = leaves.groupBy(*up, f"s{i}").agg(F.sum("pages").alias("own"))
-        parent = leaves.groupBy(*up).agg(F.sum("pages").alias("all"))
+    longest = leaves.agg(F.max(F.size(s))).first()[0] or 0
+    path_t: list[str] = []
+
+    def divided(below: DataFrame) -> bool:
+        """Does a node hold both kinds of labels above longer paths?"""
+        deep = F.max(F.size(s) > len(path_t))
+        return bool(below.groupBy(*path_t).agg(F.sum("b").alias("b"), F.sum("n").alias("n"), deep.alias("deep"))
+                    .filter("deep and 0 < b and b < n").limit(1).count())
+
+    while len(path_t) < LEVELS or len(path_t) < longest and divided(leaves):
+        i, up = len(path_t), ["host", *path_t]
+        leaves = leaves.withColumn(f"s{i}", F.coalesce(F.get(s, F.lit(i)), F.lit("")))
+        # share of the segment among its parent's pages, and of blocked ones among the labelled
+        seg = leaves.groupBy(*up, f"s{i}").agg(F.sum("pages").alias("own"), F.sum("n").alias("nn"), F.sum("b").alias("nb"))
+        parent = leaves.groupBy(*up).agg(F.sum("pages").alias("all"), F.sum("n").alias("un"), F.sum("b").alias("ub"))
+        differs = (F.col("nn") >= SUPPORT) & ~_same()
         lit = (seg.join(parent, up).select(*up, f"s{i}", F.when(
-            (F.col(f"s{i}") == "") | F.col(f"s{i}").startswith("{") | (F.col("own") >= MIN_SHARE * F.col("all")),
+            (F.col(f"s{i}") == "") | F.col(f"s{i}").startswith("{") | (F.col("own") >= MIN_SHARE * F.col("all")) | differs,
             F.col(f"s{i}")).otherwise("*").alias(f"t{i}")))
         leaves = shared.staged(leaves.join(lit, [*up, f"s{i}"]))      # narrow; keeps the plan short
-        up.append(f"t{i}")
+        path_t.append(f"t{i}")
+    leaves = leaves.withColumn("tail", F.when(F.size(s) > len(path_t), "**").otherwise(""))
     total = leaves.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b0"), F.coalesce(F.sum("n"), F.lit(0)).alias("n0")) \
         .select("b0", "n0", (F.col("b0") / (F.col("n0") + 1)).alias("p0")).first()       # one row
-    path_t = [f"t{i}" for i in range(LEVELS)]
     smooth = lambda b, k, p: (b + F.lit(SMOOTH) * p) / (k + F.lit(SMOOTH))
     # the same template over all hosts
     node = (leaves.groupBy(*path_t).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
@@ -104,19 +128,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url")
     # down the host's own tree: host, host/t0, host/t0/t1, ...
     p = F.col("p_any")
     cur = cur.withColumn("p", p)
-    for depth in range(LEVELS + 1):
+    for depth in range(len(path_t) + 1):
         own = ["host", *path_t[:depth]]
         stats = cur.groupBy(*own).agg(F.sum("b").alias("nb"), F.sum("n").alias("nn"))
         cur = cur.join(stats, own)
         if depth == 0:
             same = F.col("nn") == 0
         else:
-            div = F.try_divide
-            pool = div("ub", "un")
-            rest = F.col("un") - F.col("nn")
-            diff = div("nb", "nn") - div(F.col("ub") - F.col("nb"), rest)
-            z = div(F.abs(diff), F.sqrt(pool * (1 - pool) * (div(F.lit(1.0), F.col("nn")) + div(F.lit(1.0), rest))))
-            same = F.coalesce(z < Z, F.lit(True))      # null: no labelled pages here or elsewhere, or one kind only
+            same = _same()
         cur = cur.withColumn("p", F.when(same, F.col("p")).otherwise(smooth(F.col("nb"), F.col("nn"), F.col("p"))))
         if depth:
             cur = cur.drop("ub", "un")

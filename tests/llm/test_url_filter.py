@@ -58,6 +58,19 @@ def test_tree_generalises_and_judges(spark):
     assert out["http://new.org/win/7"]["verdict"] == "block" and out["http://new.org/news/7"]["verdict"] == "allow"
 
 
+def test_small_sections_and_deep_paths_keep_their_labels(spark):
+    """A blocked section of under 2% among allowed ones, and two branches below the fourth segment."""
+    sections = [f"c{chr(97 + i // 10)}-{chr(97 + i % 10)}" for i in range(59)] + ["dx"]
+    rules = [("allow", "hot.org/c"), ("block", "hot.org/dx/a")]
+    urls = [f"http://hot.org/{x}/{y}" for x in sections for y in ("aa", "ab", "ac", "ad", "ae", "af", "b")]
+    deep = "deep.org/p/q/r/s/"
+    rules += [("block", f"{deep}bad/a"), ("allow", f"{deep}good/a")]
+    urls += [f"http://{deep}{x}/{y}" for x in ("bad", "good") for y in [*(f"a{chr(97 + i)}" for i in range(20)), "b"]]
+    out = {r["url"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()}
+    assert out["http://hot.org/dx/b"] == "block" and out["http://hot.org/ca-a/b"] == "allow"
+    assert (out[f"http://{deep}bad/b"], out[f"http://{deep}good/b"]) == ("block", "allow")
+
+
 def test_nothing_labelled_and_clashing_names(spark):
     df = spark.createDataFrame([(None, "http://a/b", "h"), (1, None, "h")], "page_id long, url string, host string")
     out = url_filter.judge(df, [])
