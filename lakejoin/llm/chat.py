@@ -29,6 +29,8 @@ tree; an empty table gives no rows; extra columns are not carried.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,31 +83,34 @@ def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
              .select("a.tree", "a.node", F.when(F.col("b.there"), F.col("a.parent")).alias("up"),
                      F.coalesce("a.score", F.lit(0.0)).alias("total"), F.when(F.col("a.score").isNotNull(), 1).otherwise(0).cast("long").alias("scored"),
                      F.lit(1).cast("long").alias("length")))
-    state = shared.staged(state)
-    n_nodes, stride, strides = state.count(), 1, []
+    open_ = shared.staged(state)
+    n_nodes, stride, strides, done = open_.count(), 1, [], []
     while True:
-        links = state.filter("up is not null").select("tree", "node", "up")
+        links = open_.filter("up is not null")
         if links.isEmpty() or stride > n_nodes:
             break
-        strides.append(links)
-        add = lambda c: (F.col(f"a.{c}") + F.coalesce(f"b.{c}", F.lit(0))).alias(c)
-        state = shared.staged(state.alias("a").join(state.alias("b"), _same("a", "b", "up", "node"), "left")
+        strides.append(links.select("tree", "node", "up"))
+        done.append(open_.filter("up is null"))     # these have reached their root and only serve as ancestors
+        every = reduce(DataFrame.unionByName, done, links)
+        add = lambda c: (F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c)
+        open_ = shared.staged(links.alias("a").join(every.alias("b"), _same("a", "b", "up", "node"))
                               .select("a.tree", "a.node", F.col("b.up").alias("up"), add("total"), add("scored"), add("length")))
         stride *= 2
-    replied = strides[0] if strides else state.filter("false").select("tree", "node", "up")
-    leaves = (state.filter("up is null").alias("a")
+    state = reduce(DataFrame.unionByName, done, open_.filter("up is null"))
+    replied = strides[0] if strides else state.select("tree", "node", "up")     # no parents: "up" is null
+    leaves = (state.alias("a")
               .join(replied.alias("b"), _same("a", "b", "node", "up"), "left_anti")
               .select("tree", F.col("node").alias("leaf"), "length",
                       F.when(F.col("scored") > 0, F.col("total") / F.col("scored")).otherwise(F.lit(0.0)).alias("score")))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
     leaves = leaves.withColumn("rank", rank)
     leaves = shared.staged(leaves.filter(F.col("rank") <= top) if top is not None else leaves)
-    on = leaves.select("*", F.col("leaf").alias("node"), (F.col("length") - 1).alias("pos"))
+    on = [leaves.select("*", F.col("leaf").alias("node"), (F.col("length") - 1).alias("pos"))]
     for k in range(len(strides) - 1, -1, -1):
-        further = (on.alias("a").join(strides[k].alias("b"), _same("a", "b", "node", "node"))
-                   .select(*[f"a.{c}" for c in leaves.columns], F.col("b.up").alias("node"), (F.col("a.pos") - (1 << k)).alias("pos")))
-        on = shared.staged(on.unionByName(further))
-    return on.drop("length")
+        so_far = reduce(DataFrame.unionByName, on)
+        on.append(shared.staged(so_far.alias("a").join(strides[k].alias("b"), _same("a", "b", "node", "node"))
+                                .select(*[f"a.{c}" for c in leaves.columns], F.col("b.up").alias("node"), (F.col("a.pos") - (1 << k)).alias("pos"))))
+    return reduce(DataFrame.unionByName, on).drop("length")
 
 
 def conversations(messages: DataFrame, top: int | None = 1) -> DataFrame:
