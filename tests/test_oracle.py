@@ -6,7 +6,7 @@ import pytest
 from lakejoin.plans.compare import compare, duck
 from lakejoin.plans.registry import QUERIES, SQL
 
-from conftest import SF001
+from lake_paths import SF001
 
 FAST = ["column_profile", "value_sample_budget", "column_text_default", "column_embeddings_hash",
         "column_links_topk", "table_search_columns", "metrics_at_k", "overall_metrics", "metrics_multi_k",

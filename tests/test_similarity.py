@@ -9,7 +9,7 @@ from lakejoin.operators.similarity import column_links_topk, column_links_topk_d
 from lakejoin.plans.flows import lake_column_embeddings
 from lakejoin.sources.testdata import star_lake, vector_rows
 
-from conftest import SF001
+from lake_paths import SF001
 
 
 def test_sparse_equals_dense_links(spark):

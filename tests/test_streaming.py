@@ -8,7 +8,7 @@ from lakejoin.sources.json_tables import read_table_documents, write_table_docum
 from lakejoin.sources.testdata import star_lake
 from lakejoin.streaming import search_stream, write_lake_embeddings
 
-from conftest import SF001
+from lake_paths import SF001
 
 
 def test_stream_equals_batch(spark, tmp_path):
