@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lakejoin.llm import language, toxicity
 
-from conftest import DOC
+from llm_data import DOC
 
 SF01 = "/root/testdata/sf0.01"
 

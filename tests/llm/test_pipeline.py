@@ -57,5 +57,5 @@ def test_nothing_else_imports_the_package():
 def test_each_operator_is_registered():
     import __spark_entry__ as e
     names = [q for q in e.queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14))
     assert "pipeline" in e.queries()
