@@ -62,7 +62,7 @@ _PLUS = ("[+](?:1(?:[ .-]?[(]?[0-9][)]?){10}"
          f"|[2-9](?:(?:[ .-](?!(?:{_SSN}|{_IP}|{_DATE}){_END}))?[(]?[0-9][)]?){{6,15}})")
 _GROUPS = (f"(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]{{3,12}}(?:[ -]{_OTHER}(?!{_ZERO}{_END})[0-9]{{1,12}}{_END})++")
 PATTERN = (
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
     rf"|\+1 \([0-9]{{3}}\) [0-9]{{3}}-[0-9]{{4}}{_END}"
     rf"|{_EDGE}(?:{_PLUS}|{_SSN}|{_IP}|{_DATE}|{_TEN}|{_ZERO}|[0-9]{{13,19}}|{_GROUPS}){_END}")
 # Country codes are prefix-free: one digit, these of two digits, or three.

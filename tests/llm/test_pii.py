@@ -2,6 +2,7 @@ import datetime
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakejoin.llm import pii
 
@@ -110,3 +111,10 @@ def test_odd_rows(odd, empty):
     assert pii.pseudonymize(empty, "k").count() == 0
     with pytest.raises(ValueError):
         pii.pseudonymize(empty, "a'b")
+
+
+@pytest.mark.parametrize("text, found", [("a@" + "b." * 100_000 + "c", 1), ("a@" + "b." * 4_000, 1), ("1234 " * 20_000, 0), ("x" * 1_000_000 + "@", 0),
+                                         ("1.1.1." * 20_000, 15_000), ("+1" * 100_000, 0), ("(0" * 100_000, 0), ("a." * 100_000 + "@b", 0)])
+def test_very_long_candidates(spark, text, found):
+    out = pii.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k1")
+    assert out.select(F.size("pii")).first()[0] == found
