@@ -1,7 +1,10 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication
 matrix (DataFrame functions only).
 
-1. Rows are dealt to B source blocks by a hash of their key; B <= MAX_BLOCKS.
+1. Rows are dealt to B source blocks by a hash of the whole row; B <= MAX_BLOCKS.
+   The order within a block or shard, too, goes by hashes of the whole row, so
+   rows that share a key but differ elsewhere are spread and have one order.
+   Rows alike in every column are numbered, and their number is hashed with them.
 2. Shard sizes are fixed (at most one apart).  How many rows of block b go to
    shard s is drawn exactly: block by block, from the hypergeometric law of the
    places that are left.  The matrix has at most MAX_BLOCKS x shards cells,
@@ -13,11 +16,12 @@ matrix (DataFrame functions only).
 
 Ranks are computed in hash ranges of about RANGE_ROWS rows plus the count of
 the ranges below, so no task sorts a whole block or shard.  Everything is a
-function of key, seed and table, so a recomputed task gives the same rows.
+function of seed and rows, whatever their partitions or order, so a recomputed
+task gives the same rows.
 
-Edge cases: null and repeated keys are rows like others (rows with one key
-share a block and a range); an empty table gives no rows; fewer rows than
-shards leave shards empty; clashing column names get a trailing underscore.
+Edge cases: null and repeated keys are rows like others; an empty table gives no
+rows; fewer rows than shards leave shards empty; clashing column names get a
+trailing underscore.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from lakejoin.llm import shared
 MAX_BLOCKS = 1024
 BLOCK_ROWS = 4096         # rows of a block at least, until MAX_BLOCKS is reached
 RANGE_ROWS = 8192         # rows of a hash range
+COPIES = 8192             # copies of one row written together
 
 
 def draw(good: int, bad: int, n: int, u: float) -> int:
@@ -81,6 +86,25 @@ def matrix(block_rows: Sequence[int], shard_rows: Sequence[int], seed: int) -> l
     return out
 
 
+def _numbered(docs: DataFrame, mark: str, copy: str) -> DataFrame:
+    """``docs`` with two hashes of the whole row (``mark``, a struct) and, among
+    rows alike in every column, a number from 0 (``copy``).  Rows that occur once
+    stay where they are.  Others are counted before they move, and come back in
+    pieces of COPIES rows, so no task writes a whole group of copies."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    df = docs.withColumn(mark, F.struct(F.xxhash64(F.lit(1), *cols).alias("a"), F.xxhash64(F.lit(2), *cols).alias("b")))
+    key, n, piece = (shared.fresh([*df.columns, copy], x) for x in ("row_hash", "n_copies", "copy_piece"))
+    many = shared.staged(df.groupBy(F.col(f"{mark}.a").alias(key)).agg(F.count("*").alias(n)).filter(F.col(n) > 1).select(key))
+    df, flag = shared.marked(df.withColumn(key, F.col(f"{mark}.a")), many, key)
+    once = df.filter(~F.col(flag)).drop(flag, key).withColumn(copy, F.lit(0).cast("long"))
+    again = (df.filter(flag).drop(flag, key).groupBy(*docs.columns, mark).agg(F.count("*").alias(n))
+             .withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / COPIES)))))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    again = (again.repartition(parts, F.col(f"{mark}.a"), F.col(piece))
+             .withColumn(copy, F.explode(F.sequence(F.col(piece) * COPIES, F.least(F.col(n), (F.col(piece) + 1) * COPIES) - 1))))
+    return once.unionByName(again.select(*once.columns))
+
+
 def _rank(df: DataFrame, group: str, hash_col: str, ties: list[str], ranges: int, out: str) -> DataFrame:
     """Gapless rank from 0 inside ``group`` by ``hash_col``, in hash ranges."""
     r = shared.fresh([*df.columns, out], "hash_range")
@@ -95,17 +119,17 @@ def _rank(df: DataFrame, group: str, hash_col: str, ties: list[str], ranges: int
             .drop(r, "rows_below"))
 
 
-def shard(docs: DataFrame, n_shards: int, key: str = "doc_id", seed: int = 17) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int, seed: int = 17) -> DataFrame:
     """``docs`` with ``shard`` (int, 0 .. n_shards - 1) and ``slot`` (long, gapless from 0)."""
     spark = docs.sparkSession
     cols = docs.columns
     shard_col, slot_col = shared.fresh(cols, "shard"), shared.fresh(cols, "slot")
     total = docs.count()
     blocks = min(MAX_BLOCKS, max(1, -(-total // BLOCK_ROWS)))
-    b, h1, h2, r, cum = (shared.fresh([*cols, shard_col, slot_col, "rows_below", "in_range"], x)
-                         for x in ("src_block", "src_hash", "dst_hash", "src_rank", "shard_ends"))
-    hashed = lambda k: F.xxhash64(F.lit(seed * 31 + k), F.col(key))
-    df = (docs.withColumn(b, F.pmod(hashed(0), F.lit(blocks)).cast("int"))
+    b, h1, h2, r, cum, mark, copy = (shared.fresh([*cols, shard_col, slot_col, "rows_below", "in_range"], x)
+                                     for x in ("src_block", "src_hash", "dst_hash", "src_rank", "shard_ends", "row_mark", "row_copy"))
+    hashed = lambda k: F.xxhash64(F.lit(seed * 31 + k), F.col(mark), F.col(copy))
+    df = (_numbered(docs, mark, copy).withColumn(b, F.pmod(hashed(0), F.lit(blocks)).cast("int"))
           .withColumn(h1, hashed(1)).withColumn(h2, hashed(2)))
     rows = {x[0]: x[1] for x in df.groupBy(b).count().collect()}          # at most MAX_BLOCKS
     sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
@@ -116,11 +140,11 @@ def shard(docs: DataFrame, n_shards: int, key: str = "doc_id", seed: int = 17) -
         acc = 0
         ends.append((i, [acc := acc + x for x in row]))
     table = spark.createDataFrame(ends, f"`{b}` int, `{cum}` array<bigint>")
-    df = _rank(df, b, h1, [key], max(1, -(-total // (blocks * RANGE_ROWS))), r)
+    df = _rank(df, b, h1, [mark, copy], max(1, -(-total // (blocks * RANGE_ROWS))), r)
     df = (df.join(F.broadcast(table), b)
           .withColumn(shard_col, F.expr(f"cast(size(filter(`{cum}`, e -> e <= `{r}`)) as int)"))
           .drop(b, h1, r, cum))
-    df = _rank(df, shard_col, h2, [key], max(1, -(-total // (n_shards * RANGE_ROWS))), slot_col)
+    df = _rank(df, shard_col, h2, [mark, copy], max(1, -(-total // (n_shards * RANGE_ROWS))), slot_col)
     return df.select(*cols, shard_col, slot_col)
 
 

@@ -64,3 +64,16 @@ def test_write(spark, tmp_path):
     sharding.write_shards(df, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 50
+
+
+def test_repeated_ids_and_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 16)
+    rows = [(i % 40 if i % 5 else None, f"text {i}") for i in range(240)] + [(7, "same")] * 100 + [(None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for part in (df.repartition(7), df.coalesce(1), df.orderBy(F.rand(3))):
+        got = [tuple(r) for r in sharding.shard(part, 6).collect()]
+        assert Counter(r[:2] for r in got) == Counter(rows)
+        found.append(sorted(got, key=repr))
+    assert found[0] == found[1] == found[2]
+    assert len({r[2] for r in found[0] if r[:2] == (7, "same")}) == 6
