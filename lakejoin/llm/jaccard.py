@@ -416,8 +416,17 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep the document with the smallest id of each component, empty documents
-    and rows without id."""
-    gone = shared.staged(similar(docs, id_col, text_col).filter(f"`{id_col}` <> component_id")
-                         .select(F.col(id_col)).distinct())
-    return shared.without(docs, gone, id_col)
+    """One row of each group of linked rows stays: the smallest id (null last),
+    of equal ids the smallest row by a hash of all columns.  Rows are told apart
+    by a key of their own, so repeated and null ids do not matter.  Rows with
+    empty sets stay."""
+    key, row_hash = shared.fresh(docs.columns, "row_no"), shared.fresh(docs.columns, "row_hash")
+    rows = shared.staged(docs.withColumn(key, F.monotonically_increasing_id()))
+    group = similar(rows, key, text_col).filter("n_shingles > 0").select(F.col(key), F.col("component_id").alias("component"))
+    held = shared.staged(group.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component"))
+    group = shared.staged(group.join(held, "component"))
+    ids = shared.maybe_in(rows, group, key).select(
+        F.col(key), F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), F.col(key)).alias(row_hash))
+    kept = group.join(ids, key).groupBy("component").agg(F.min_by(key, row_hash).alias(key)).select(key)
+    gone = shared.staged(group.select(key).join(kept, key, "left_anti"))
+    return shared.without(rows, gone, key).select(*docs.columns)

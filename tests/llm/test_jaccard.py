@@ -97,7 +97,7 @@ def test_odd_rows(odd, empty, spark):
     assert got[1] == (4, 1) and got[2] == (0, 2) and got[3] == (0, 3) and got[6] == (0, 6) and got[5] == (39_996, 4)
     assert got[None] == (1, None)
     kept = jaccard.one_of_each(odd)
-    assert kept.columns == odd.columns and kept.count() == odd.count() - 1
+    assert kept.columns == odd.columns and kept.count() == odd.count() - 2     # of the repeated row and of the two long texts, one each
     assert jaccard.similar(empty).count() == 0
     assert jaccard.one_of_each(empty).count() == 0
 
@@ -107,3 +107,10 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in (1, 2, 3, 4, 9)}, **{i: 10 for i in (10, 11, 12)}, **{i: 100 for i in range(100, 160)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_each_tells_rows_apart(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(3, a), (7, a), (7, b), (None, b), (None, b), (None, "alone under no id"), (9, ""), (9, ""), (5, None)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(3, a), (7, b), (None, "alone under no id"), (9, ""), (9, ""), (5, None)]))
