@@ -62,6 +62,8 @@ from lakejoin.llm.components import components
 SHINGLE = 5
 HOT = 1 << 16            # tokens put last in the order (512 KB)
 BLOCK_TOKENS = 1 << 21   # tokens counted at a time
+SEEN = 1 << 17           # fingerprints a task remembers, to emit equal sets once
+OUT_TOKENS = 1 << 17     # tokens of an output batch (1 MB)
 BLOCK_MIN = 4            # occurrences within a block that make a token a candidate for HOT
 ROUNDS = 3
 LEADERS = 32
@@ -150,7 +152,7 @@ def _summary(docs: DataFrame) -> DataFrame:
                 qs.append(q)
                 ns.append(len(t))
                 if q is not None and q not in seen:
-                    if len(seen) > 1 << 20:
+                    if len(seen) > SEEN:
                         seen.clear()
                     seen.add(q)
                     kept.append(t)
@@ -170,35 +172,37 @@ def _first_tokens(docs: DataFrame, hot) -> DataFrame:
     """(token, q, rest) of the first tokens outside the frequent list; ``rest``:
     what the bound asks for beyond the frequent ones.  A null token stands for a
     set that needs no more.  Equal sets are emitted once a task."""
+    def rows_of(toks: list[np.ndarray], qs: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        """``qs``: (q, rest, number of rows) of each piece of ``toks``; None is a null token."""
+        n = [x[2] for x in qs]
+        token = pa.concat_arrays([pa.nulls(1, pa.int64()) if t is None else pa.array(t.view(np.int64)) for t in toks])
+        return pa.RecordBatch.from_arrays([token, pa.array(np.repeat(np.array([x[0] for x in qs], np.int64), n)),
+                                           pa.array(np.repeat(np.array([x[1] for x in qs], np.int32), n))], names=["token", "q", "rest"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = _Order(hot.value), set()
+        toks, qs, size = [], [], 0
         for batch in batches:
-            toks, qs, rests = [], [], []
             for t in _sets(batch.column("text")):
                 if not len(t):
                     continue
                 q = _fingerprint(t)
                 if q in seen:
                     continue
-                if len(seen) > 1 << 20:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add(q)
                 cold, hots = order.first(t)
                 rest = bound(len(t)) - len(hots)
-                toks.append(cold)
-                qs.append((q, rest, len(cold)))
-                if rest <= 0:
-                    rests.append((q, rest))
-            n = [x[2] for x in qs]
-            token = np.concatenate(toks).view(np.int64) if toks else np.zeros(0, np.int64)
-            q = np.repeat(np.array([x[0] for x in qs], np.int64), n)
-            rest = np.repeat(np.array([x[1] for x in qs], np.int32), n)
-            for lo in range(0, len(token), 1 << 16):
-                s = slice(lo, lo + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(token[s]), pa.array(q[s]), pa.array(rest[s])], names=["token", "q", "rest"])
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(rests), pa.int64()), pa.array([x[0] for x in rests], pa.int64()),
-                 pa.array([x[1] for x in rests], pa.int32())], names=["token", "q", "rest"])
+                for part in ([cold] if len(cold) else []) + ([None] if rest <= 0 else []):
+                    toks.append(part)
+                    qs.append((q, rest, 1 if part is None else len(part)))
+                    size += qs[-1][2]
+                if size >= OUT_TOKENS:
+                    yield rows_of(toks, qs)
+                    toks, qs, size = [], [], 0
+        if qs:
+            yield rows_of(toks, qs)
 
     return docs.mapInArrow(run, "token bigint, q bigint, rest int")
 
@@ -215,7 +219,7 @@ def _full_sets(docs: DataFrame, hot) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = _Order(hot.value), set()
         for batch in batches:
-            rows = []
+            rows, size = [], 0
 
             def flush():
                 cols = list(zip(*rows))
@@ -232,14 +236,16 @@ def _full_sets(docs: DataFrame, hot) -> DataFrame:
                 q = _fingerprint(t)
                 if (i, q) in seen:
                     continue
-                if len(seen) > 1 << 20:
+                if len(seen) > SEEN:
                     seen.clear()
                 seen.add((i, q))
                 _, hots = order.first(t)
                 keys = [int(words.mix(t ^ np.uint64(0xA0761D6478BD642F * (r + 1) & ((1 << 64) - 1))).min().view(np.int64)) for r in range(ROUNDS)]
                 rows.append((i, q, len(t), len(t) - order.frequent(t), t.view(np.int64), hots.view(np.int64), *keys))
-                if len(rows) >= 512:
+                size += len(t)
+                if size >= OUT_TOKENS:
                     yield flush()
+                    size = 0
             if rows:
                 yield flush()
 
@@ -313,7 +319,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     real = base.filter("id is not null")
 
     # 2. all other documents as one group
-    by_token = Window.partitionBy("token")
+    by_token = Window.partitionBy("token", F.when(F.col("token").isNull(), F.col("q")))   # a null token has no others
     rows = _first_tokens(real, hot_b)
     shared_rows = shared.staged(
         rows.withColumns({"lo": F.min("q").over(by_token), "hi": F.max("q").over(by_token)})
@@ -345,7 +351,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     often = every.join(frequent, "token")
     several = often.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token")
     rare = (every.join(frequent, "token", "left_anti")
-            .withColumns({"lo": F.min("g").over(by_token), "hi": F.max("g").over(by_token)}).filter("lo < hi"))
+            .withColumns({"lo": F.min("g").over(Window.partitionBy("token")), "hi": F.max("g").over(Window.partitionBy("token"))}).filter("lo < hi"))
     covered = (often.join(F.broadcast(several), "token").select("q", "n").unionByName(rare.select("q", "n"))
                .groupBy("q").agg(F.count("*").alias("got"), F.first("n").alias("n"))
                .filter("5 * got >= 4 * n").select("q"))
