@@ -182,7 +182,7 @@ def _mapped(df: DataFrame, spec_json: str, types: list[str], new: Callable[[Code
                 yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
 
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return plain.mapInArrow(run, _columns(plain) + ", ".join(
+    return shared.mapped(plain, run, _columns(plain) + ", ".join(
         f"c{len(df.columns) + i} {t}" for i, t in enumerate(types)))
 
 

@@ -150,7 +150,7 @@ def _scan(df: DataFrame, text: str, lengths: list[int], accept, pad: int, whole:
                 [batch.column(c) for c in keep] + [pa.array(n_words, pa.int64()), pa.array(hits, _ARROW_HITS)],
                 names=keep + ["n_words", "hits"])
 
-    return df.mapInArrow(run, f"{schema}, n_words bigint, hits {_HIT}" if keep else f"n_words bigint, hits {_HIT}")
+    return shared.mapped(df, run, f"{schema}, n_words bigint, hits {_HIT}" if keep else f"n_words bigint, hits {_HIT}")
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -165,7 +165,7 @@ def _summary(docs: DataFrame) -> DataFrame:
         if kept:
             yield frequent()
 
-    return docs.mapInArrow(run, "kind int, a bigint, q bigint, n bigint")
+    return shared.mapped(docs, run, "kind int, a bigint, q bigint, n bigint")
 
 
 def _first_tokens(docs: DataFrame, hot) -> DataFrame:
@@ -204,7 +204,7 @@ def _first_tokens(docs: DataFrame, hot) -> DataFrame:
         if qs:
             yield rows_of(toks, qs)
 
-    return docs.mapInArrow(run, "token bigint, q bigint, rest int")
+    return shared.mapped(docs, run, "token bigint, q bigint, rest int")
 
 
 _KEYS = [f"k{r}" for r in range(ROUNDS)]
@@ -249,7 +249,7 @@ def _full_sets(docs: DataFrame, hot) -> DataFrame:
             if rows:
                 yield flush()
 
-    return docs.mapInArrow(run, schema)
+    return shared.mapped(docs, run, schema)
 
 
 def _linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -301,7 +301,7 @@ def _round(sets: DataFrame, r: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(parents, pa.int64())], names=[*names, "parent"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sets.schema.fields)
-    return runs.mapInArrow(run, f"{types}, parent bigint").unionByName(alone)
+    return shared.mapped(runs, run, f"{types}, parent bigint").unionByName(alone)
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,6 +329,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     active = shared.staged(active)
     sets = _full_sets(shared.maybe_in(real, active.select(F.col("rep").alias("id")), "id"), hot_b)
     left = shared.staged(sets.join(active.select("q", "rep"), "q").filter("id = rep").drop("id", "rep"))
+    hot_b.unpersist()
 
     # 3. groups; the first round leaves one row a set
     links = None

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,29 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 2 << 20    # of texts that travel to Python at a time
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` within bounded memory: batches of BATCH_BYTES (a session
+    that sets a size of its own keeps it), and at the end of a task the worker,
+    which Spark keeps for the next one, gives its free memory back."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_CONF, "67108864b") in ("67108864b", "64m", "64MB"):     # Spark's default
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):      # another C library
+            pass
+
+    return df.mapInArrow(lean, schema)
+
+
 def fresh(taken: Sequence[str], name: str) -> str:
     """``name``, or a variant of it that is not in ``taken`` (case-insensitive)."""
     low = {c.lower() for c in taken}

@@ -139,7 +139,7 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: s
             yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("y"), pa.array(per, pa.list_(pa.int64()))],
                                              names=["fold", "y", "feats"])
 
-    return shared.staged(rows.mapInArrow(run, "fold int, y array<int>, feats array<bigint>"))
+    return shared.staged(shared.mapped(rows, run, "fold int, y array<int>, feats array<bigint>"))
 
 
 def _vocabulary(sample: DataFrame, n_cat: int) -> np.ndarray:
@@ -179,8 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("y"), pa.array(rows, pa.list_(pa.int32()))],
                                              names=["fold", "y", "x"])
 
-    data = shared.staged(sample.mapInArrow(narrow, "fold int, y array<int>, x array<int>")
+    data = shared.staged(shared.mapped(sample, narrow, "fold int, y array<int>, x array<int>")
                          .withColumn("rid", F.monotonically_increasing_id()).withColumn("earlier", F.expr("cast(array() as array<double>)")))
+    voc.unpersist()
     weights: list[np.ndarray] = []
     for k in range(len(categories)):
         # one group per fold, and group -1 with the whole sample; the sample is bounded
@@ -260,7 +261,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(v) for v in p], pa.array(p[-1] >= threshold)],
                                              names=[*cols, *names, rejected])
 
-    return docs.mapInArrow(run, f"{types}{', '.join(f'`{n}` double' for n in names)}, `{rejected}` boolean")
+    return shared.mapped(docs, run, f"{types}{', '.join(f'`{n}` double' for n in names)}, `{rejected}` boolean")
 
 
 def reject(docs: DataFrame, labels: DataFrame, categories: list[str], **names) -> DataFrame:
