@@ -110,15 +110,16 @@ def _assign_blocks(df: DataFrame, ids: list[str], own: str, other: str, n_own: i
 
 def joinability_counts(q_rows: DataFrame, l_rows: DataFrame, alpha: float,
                        q_blocks: int = 1, l_blocks: int = 1, exclude_self: bool = True,
-                       packed_dim: int | None = None) -> DataFrame:
+                       packed_dim: int | None = None, keep_zero: bool = True) -> DataFrame:
     """J4 core + A6 (dense block path): for each (query table, lake table) of equal
     key arity, the number of query rows with some lake row of cosine > alpha.
 
     Inputs ``(table_id, row_idx, arity, vec)``; cosine = dot / (max(|q|,eps)
     max(|l|,eps)), i.e. the dot product of unit-normalised rows (E4/E5) with
     the division done last, so integer-valued vectors give exact dots.
-    Output ``(q_table_id, l_table_id, n_match)`` for every table pair met
-    (0 kept)."""
+    Output ``(q_table_id, l_table_id, n_match)`` for every table pair met, or
+    without ``keep_zero`` for those with a match only (no row a table pair leaves
+    a task then)."""
     cols = ["table_id", "row_idx", "arity"] + (["dims", "ws"] if packed_dim else ["vec"])
     q = _assign_blocks(_fresh(q_rows, cols),
                        ["table_id", "row_idx"], "qb", "lb", q_blocks, l_blocks)
@@ -144,7 +145,8 @@ def joinability_counts(q_rows: DataFrame, l_rows: DataFrame, alpha: float,
             return m
 
         if qp.empty or lp.empty:
-            return pd.DataFrame({"q_table_id": [], "l_table_id": [], "row_idx": [], "matched": []})
+            return pd.DataFrame({"q_table_id": pd.Series(dtype=object), "l_table_id": pd.Series(dtype=object),
+                                 "row_idx": pd.Series(dtype="int64"), "matched": pd.Series(dtype=bool)})
         lp = lp.sort_values("table_id", kind="stable")
         lt = lp["table_id"].to_numpy()
         starts = np.flatnonzero(np.r_[True, lt[1:] != lt[:-1]])
@@ -161,6 +163,8 @@ def joinability_counts(q_rows: DataFrame, l_rows: DataFrame, alpha: float,
             hit &= qt[:, None] != l_tables[None, :]
         r, c = np.nonzero(hit)
         out = [pd.DataFrame({"q_table_id": qt[r], "l_table_id": l_tables[c], "row_idx": qi[r], "matched": True})]
+        if not keep_zero:
+            return out[0]
         # one marker per table pair met in this block (keeps zero scores)
         uq = np.unique(qt)
         mq = np.repeat(uq, len(l_tables))

@@ -86,11 +86,24 @@ def search_joinable(q_rows: DataFrame, l_rows: DataFrame, lake_pos: DataFrame,
     return table_search_rows(scores, lake_pos)
 
 
+def search_joinable_top(q_rows: DataFrame, l_rows: DataFrame, lake_pos: DataFrame, k: int,
+                        alpha: float = DEFAULT_ALPHA, packed_dim: int = 256, path: str = "auto") -> DataFrame:
+    """F3 as used: the first ``k`` (the largest K asked for) of each ranking and
+    the number of predictions ``n_pred``.  Packed rows; rows of the result grow
+    with the query tables, not with pairs of tables."""
+    from lakejoin.operators.threshold import match_counts, top_tables
+    same = q_rows is l_rows
+    q_rows = cut_lineage(q_rows)
+    l_rows = q_rows if same else cut_lineage(l_rows)
+    return top_tables(match_counts(q_rows, l_rows, alpha, packed_dim, path), q_rows, l_rows, lake_pos, k)
+
+
 def search_joinable_lakes(query: Lake, lake: Lake, alpha: float = DEFAULT_ALPHA, dim: int = 256,
-                          override: list[int] | None = None) -> DataFrame:
+                          override: list[int] | None = None, k: int | None = None, path: str = "auto") -> DataFrame:
     """F3 end to end on two lakes with the hash encoder: query and lake tables
     are merged first-wins (C14), key rows chosen (C10/C11), encoded once (E3,
-    E4), and every query table is ranked against the lake tables (J4, J5)."""
+    E4), and every query table is ranked against the lake tables (J4, J5); with
+    ``k`` only the first k of each ranking are made."""
     from lakejoin.operators.catalog import merge_lakes
     from lakejoin.operators.encode import key_rows, packed_key_rows
     both = merge_lakes(query, lake, winner="first")
@@ -99,4 +112,7 @@ def search_joinable_lakes(query: Lake, lake: Lake, alpha: float = DEFAULT_ALPHA,
     l_ids = lake.tables.select("table_id")
     q_rows = rows.join(q_ids, "table_id", "left_semi")
     l_rows = rows.join(l_ids, "table_id", "left_semi")
-    return search_joinable(q_rows, l_rows, lake.tables.select("table_id", "table_pos"), alpha, packed_dim=dim)
+    pos = lake.tables.select("table_id", "table_pos")
+    if k is not None:
+        return search_joinable_top(q_rows, l_rows, pos, k, alpha, dim, path)
+    return search_joinable(q_rows, l_rows, pos, alpha, packed_dim=dim)

@@ -12,7 +12,7 @@ from lakejoin.operators.encode import key_rows, packed_key_rows, row_embeddings_
 from lakejoin.operators.rank import rank_within
 from lakejoin.operators.similarity import joinability_scores
 from lakejoin.plans import oracle_sql as O
-from lakejoin.plans.flows import DEFAULT_ALPHA, search_joinable
+from lakejoin.plans.flows import DEFAULT_ALPHA, search_joinable, search_joinable_top
 from lakejoin.plans.queries_eval import KS, M3_OUT, M4_OUT, _m3_out, _m4_out, m3_sql
 from lakejoin.plans.registry import r6, register
 from lakejoin.session import cut_lineage
@@ -145,7 +145,9 @@ def row_embeddings_concat(spark, sf):
     return row_embeddings_hash(key_rows(lake), ROW_DIM).select("table_id", "row_idx", "arity", "dim", "w")
 
 
-@register("table_search_rows_text", f"""WITH {conv_rows_sql()},
+def text_search_sql(keyrows: str, alpha: float, k: int) -> str:
+    """Ranking of hash-encoded key rows, from the CTEs ``keyrows`` (cells .. remb, tables) on."""
+    return f"""WITH {keyrows},
 rn AS (SELECT table_id, row_idx, greatest(norm, 1e-12) AS n FROM remb_norm),
 dots AS (SELECT a.table_id AS q, a.row_idx AS r, b.table_id AS l, b.row_idx AS lr, CAST(sum(a.w * b.w) AS DOUBLE) AS d
          FROM remb a JOIN remb b ON a.dim = b.dim AND a.table_id <> b.table_id GROUP BY ALL),
@@ -155,16 +157,50 @@ best AS (SELECT d.q, d.r, d.l, max(d.d / (na.n * nb.n)) AS m FROM dots d
 qa AS (SELECT DISTINCT a.table_id, a.arity FROM arity a),
 pairs AS (SELECT x.table_id AS q, y.table_id AS l FROM qa x JOIN qa y ON x.arity = y.arity AND x.table_id <> y.table_id),
 nq AS (SELECT table_id AS q, count(*) AS n_q FROM arity GROUP BY ALL),
-scores AS (SELECT p.q AS query_id, p.l AS cand_id, count(b.r) FILTER (WHERE b.m > {DEFAULT_ALPHA}) / n_q AS score
-           FROM pairs p JOIN nq ON nq.q = p.q LEFT JOIN best b ON b.q = p.q AND b.l = p.l GROUP BY p.q, p.l, n_q)
-SELECT s.query_id, s.cand_id, round(s.score, 6) AS score, t.table_pos AS lake_pos,
-       row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, t.table_pos, s.cand_id) AS rank
-FROM scores s JOIN tables t ON t.table_id = s.cand_id""")
+scores AS (SELECT p.q AS query_id, p.l AS cand_id, count(b.r) FILTER (WHERE b.m > {alpha}) / n_q AS score
+           FROM pairs p JOIN nq ON nq.q = p.q LEFT JOIN best b ON b.q = p.q AND b.l = p.l GROUP BY p.q, p.l, n_q),
+ranked AS (SELECT s.query_id, s.cand_id, s.score, t.table_pos AS lake_pos, count(*) OVER (PARTITION BY s.query_id) AS n_pred,
+                  row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, t.table_pos, s.cand_id) AS rank
+           FROM scores s JOIN tables t ON t.table_id = s.cand_id)
+SELECT query_id, cand_id, round(score, 6) AS score, lake_pos, rank, n_pred FROM ranked WHERE rank <= {k}"""
+
+
+@register("table_search_rows_text", text_search_sql(conv_rows_sql(), DEFAULT_ALPHA, max(KS)))
 def table_search_rows_text(spark, sf):
+    """The first max(K) tables of each conversation's ranking."""
     lake = T.conversations_lake(spark, sf)
     rows = packed_key_rows(key_rows(lake), ROW_DIM)
-    r = search_joinable(rows, rows, lake.tables.select("table_id", "table_pos"), DEFAULT_ALPHA, packed_dim=ROW_DIM)
-    return r.select("query_id", "cand_id", r6("score"), "lake_pos", "rank")
+    r = search_joinable_top(rows, rows, lake.tables.select("table_id", "table_pos"), max(KS), DEFAULT_ALPHA, ROW_DIM)
+    return r.select("query_id", "cand_id", r6("score"), "lake_pos", "rank", "n_pred")
+
+
+# ---- the same ranking where the prefix filter does the work: long sparse vectors, many equal rows ----
+SPARSE_DIM = 1 << 20
+SPARSE_ALPHA = 0.9
+
+
+@register("table_search_rows_prefix", f"""WITH {O.lake_ctes('events')}, {CONV_KEYROWS},
+r AS (SELECT table_id, row_idx, string_agg(text, chr(31) ORDER BY key_pos) AS t FROM ktext GROUP BY ALL),
+ids AS (SELECT table_id, row_idx, dense_rank() OVER (ORDER BY t) AS vid FROM r),
+vtext AS (SELECT DISTINCT i.vid, k.key_pos, k.text FROM ids i JOIN ktext k ON k.table_id = i.table_id AND k.row_idx = i.row_idx),
+{O.hash_ctes('vtext', ['vid'], 'text', SPARSE_DIM, name='remb', offset='key_pos').strip()},
+dots AS (SELECT a.vid AS q, b.vid AS l, CAST(sum(a.w * b.w) AS DOUBLE) AS d FROM remb a JOIN remb b ON a.dim = b.dim GROUP BY ALL),
+near AS (SELECT d.q, d.l FROM dots d JOIN remb_norm x ON x.vid = d.q JOIN remb_norm y ON y.vid = d.l WHERE d.d / (x.norm * y.norm) > {SPARSE_ALPHA}),
+vtab AS (SELECT table_id, vid, count(*) AS n FROM ids GROUP BY ALL),
+met AS (SELECT DISTINCT n.q, v.table_id AS l FROM near n JOIN vtab v ON v.vid = n.l),
+hit AS (SELECT v.table_id AS query_id, m.l AS cand_id, sum(v.n) AS n_match FROM vtab v JOIN met m ON m.q = v.vid AND m.l <> v.table_id GROUP BY ALL),
+nq AS (SELECT table_id AS query_id, count(*) AS n_q FROM ids GROUP BY ALL),
+ranked AS (SELECT q.query_id, t.table_id AS cand_id, coalesce(h.n_match, 0) / q.n_q AS score, t.table_pos AS lake_pos,
+                  count(*) OVER (PARTITION BY q.query_id) AS n_pred,
+                  row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(h.n_match, 0) / q.n_q DESC, t.table_pos, t.table_id) AS rank
+           FROM nq q JOIN tables t ON t.table_id <> q.query_id LEFT JOIN hit h ON h.query_id = q.query_id AND h.cand_id = t.table_id)
+SELECT query_id, cand_id, round(score, 6) AS score, lake_pos, rank, n_pred FROM ranked WHERE rank <= {max(KS)}""")
+def table_search_rows_prefix(spark, sf):
+    """Users' event tables ranked by the share of their rows that another user has, by the prefix join."""
+    lake = T.events_lake(spark, sf)
+    rows = packed_key_rows(key_rows(lake), SPARSE_DIM)
+    r = search_joinable_top(rows, rows, lake.tables.select("table_id", "table_pos"), max(KS), SPARSE_ALPHA, SPARSE_DIM, path="prefix")
+    return r.select("query_id", "cand_id", r6("score"), "lake_pos", "rank", "n_pred")
 
 
 # ---- J4 with rows that have no token -----------------------------------------------------------

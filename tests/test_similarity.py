@@ -60,7 +60,7 @@ def test_search_two_lakes_matches_registered_query(spark):
     from lakejoin.sources.testdata import conversations_lake
     lake = conversations_lake(spark, SF001)
     got = sorted((r.query_id, r.cand_id, r.rank, round(r.score, 6))
-                 for r in search_joinable_lakes(lake, lake, 0.7).collect())
+                 for r in search_joinable_lakes(lake, lake, 0.7, k=30).collect())
     exp = sorted((r.query_id, r.cand_id, r.rank, r.score)
                  for r in QUERIES["table_search_rows_text"](spark, SF001).collect())
     assert got == exp and len(got) > 0
