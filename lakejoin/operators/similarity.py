@@ -18,14 +18,17 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakejoin.functions.vectors import COS_EPS, NORM_EPS
 from lakejoin.operators.encode import sparse_norms
 from lakejoin.operators.rank import rank_within
+from lakejoin.session import cut_lineage
 
-SCORE_DIGITS = 12  # tie guard: sums in different order must rank equal
+HOT_LIST = 8192    # columns of one dimension in one part of the join
+SEED_LIST = 64     # columns of a dimension that counts as rare when the first candidates are chosen
+SURE = 1 - 1e-9    # bounds are taken this much smaller than the score they must beat, for rounding
 
 
 def blocks_for(n: int, target: int = 4096) -> int:
@@ -34,32 +37,40 @@ def blocks_for(n: int, target: int = 4096) -> int:
 
 # ---------------------------------------------------------------- sparse path
 
-def sparse_dot(left: DataFrame, right: DataFrame, lid: list[str], rid: list[str],
-               lp: str = "q_", rp: str = "l_", cond=None) -> DataFrame:
-    """Dot products of all id pairs sharing a dimension:
-    ``(lp+ids..., rp+ids..., dot)``."""
-    l = left.select(*[F.col(c).alias(lp + c) for c in lid], "dim", F.col("w").alias("_lw"))
-    r = right.select(*[F.col(c).alias(rp + c) for c in rid], "dim", F.col("w").alias("_rw"))
-    j = l.join(r, "dim")
+def on_dim(left: DataFrame, right: DataFrame, limit: int | None = None) -> DataFrame:
+    """``left`` joined with ``right`` on ``dim``.  Lists of more than ``limit``
+    right rows are dealt over parts, and the left rows of those dimensions go to
+    each part, so no dimension lands in one task.  The list of parts has at most
+    one row a dimension of the encoder, whatever the number of columns."""
+    limit = limit or HOT_LIST
+    parts = (right.groupBy(F.col("dim").alias("hot_dim")).agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("parts"))
+             .where("parts > 1"))
+    parts = cut_lineage(parts)
+    of = lambda df: df.join(F.broadcast(parts), F.col("dim") == F.col("hot_dim"), "left").drop("hot_dim")
+    one = F.coalesce("parts", F.lit(1))
+    ids = [c for c in right.columns if c != "dim"]
+    r = of(right).withColumn("part", F.pmod(F.xxhash64(*ids), one).cast("int")).drop("parts")
+    l = of(left).withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    return l.join(r, ["dim", "part"]).drop("part")
+
+
+def sparse_cosine(left: DataFrame, right: DataFrame, lid: list[str], rid: list[str],
+                  lp: str = "q_", rp: str = "l_", cond=None) -> DataFrame:
+    """J1 over sparse vectors: dot / ((|a|+1e-8)(|b|+1e-8)) for pairs with a
+    shared dimension (all others have cosine 0).  The norms travel with the
+    entries, so the pairs are shuffled once."""
+    l = left.join(sparse_norms(left, lid), lid).select(*[F.col(c).alias(lp + c) for c in lid], "dim", F.col("w").alias("_lw"), F.col("norm").alias("_ln"))
+    r = right.join(sparse_norms(right, rid), rid).select(*[F.col(c).alias(rp + c) for c in rid], "dim", F.col("w").alias("_rw"), F.col("norm").alias("_rn"))
+    j = on_dim(l, r)
     if cond is not None:
         j = j.where(cond)
     return (j.groupBy(*[lp + c for c in lid], *[rp + c for c in rid])
-            .agg(F.sum(F.col("_lw") * F.col("_rw")).alias("dot")))
+            .agg(F.sum(F.col("_lw") * F.col("_rw")).alias("dot"), F.first("_ln").alias("_ln"), F.first("_rn").alias("_rn"))
+            .withColumn("sim", _cosine("dot")).drop("_ln", "_rn"))
 
 
-def sparse_cosine(left: DataFrame, right: DataFrame, lid: list[str], rid: list[str],
-                  lp: str = "q_", rp: str = "l_", cond=None,
-                  lnorm: DataFrame | None = None, rnorm: DataFrame | None = None) -> DataFrame:
-    """J1 over sparse vectors: dot / ((|a|+1e-8)(|b|+1e-8)) for pairs with a
-    shared dimension (all others have cosine 0)."""
-    lnorm = lnorm if lnorm is not None else sparse_norms(left, lid)
-    rnorm = rnorm if rnorm is not None else sparse_norms(right, rid)
-    d = sparse_dot(left, right, lid, rid, lp, rp, cond)
-    ln = lnorm.select(*[F.col(c).alias(lp + c) for c in lid], F.col("norm").alias("_ln"))
-    rn = rnorm.select(*[F.col(c).alias(rp + c) for c in rid], F.col("norm").alias("_rn"))
-    return (d.join(ln, [lp + c for c in lid]).join(rn, [rp + c for c in rid])
-            .withColumn("sim", F.col("dot") / ((F.col("_ln") + F.lit(COS_EPS)) * (F.col("_rn") + F.lit(COS_EPS))))
-            .drop("_ln", "_rn"))
+def _cosine(dot: str):
+    return F.col(dot) / ((F.col("_ln") + F.lit(COS_EPS)) * (F.col("_rn") + F.lit(COS_EPS)))
 
 
 def column_links_topk(col_emb: DataFrame, k: int = 30) -> DataFrame:
@@ -75,25 +86,106 @@ def column_links_topk(col_emb: DataFrame, k: int = 30) -> DataFrame:
                        [F.desc("prob"), F.asc("column1"), F.asc("column2")], k)
 
 
+def _mean_best(best: DataFrame, n_q: DataFrame) -> DataFrame:
+    """A5: (query_id, cand_id, score) from (q_table_id, l_table_id, q_col_name, best).
+    The sum runs in column order, so that equal inputs give equal scores."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("q_col_name", "best"))), lambda x: x["best"])
+    return (best.groupBy("q_table_id", "l_table_id").agg(F.aggregate(in_order, F.lit(0.0), lambda a, x: a + x).alias("s"))
+            .join(n_q, "q_table_id")
+            .select(F.col("q_table_id").alias("query_id"), F.col("l_table_id").alias("cand_id"), (F.col("s") / F.col("n_q")).alias("score"))
+            .where(F.col("score") > 0))
+
+
+class ColumnSearch:
+    """J3 (A4 -> A5 -> W4) with bounds: per query table the top-k lake tables by
+    the mean, over all query key columns, of the best (>= 0) cosine with any key
+    column of the lake table.
+
+    1. Seeds: the tables a query meets most on rare dimensions.  The k-th best
+       exact score among them is the threshold its result must reach.
+    2. A query column's entries are taken by squared weight per column that
+       holds the dimension, until the rest has a norm below the threshold.  A
+       lake column met on no entry taken has a cosine of at most that rest, and
+       a table all of whose columns are so has too low a mean.
+    3. For the tables met, the parts of the dot products on the entries taken,
+       plus the rest's norm, bound the score; tables that can reach the
+       threshold get their exact scores.
+
+    Frequent dimensions (words that stand in every text) are only met for these.
+    A query with fewer than ``k`` tables of a positive score has threshold 0 and
+    meets all.  ``met``: what the bound left, see :meth:`work`."""
+
+    def __init__(self, q_emb: DataFrame, l_emb: DataFrame, q_keys: DataFrame, k: int = 30, exclude_self: bool = False):
+        ids = ["table_id", "col_name"]
+        self.k, self.same = k, F.lit(True) if not exclude_self else F.col("q_table_id") != F.col("l_table_id")
+        named = lambda e, p, w, n: e.join(sparse_norms(e, ids), ids).select(
+            *[F.col(c).alias(p + c) for c in ids], "dim", F.col("w").alias(w), F.col("norm").alias(n))
+        self.q, self.l = cut_lineage(named(q_emb, "q_", "_lw", "_ln")), cut_lineage(named(l_emb, "l_", "_rw", "_rn"))
+        self.n_q = q_keys.groupBy(F.col("table_id").alias("q_table_id")).agg(F.count(F.lit(1)).alias("n_q"))
+        self.df = self.l.groupBy("dim").agg(F.count(F.lit(1)).alias("df"))       # a row a dimension of the encoder
+        self.thresholds = cut_lineage(self._thresholds())
+        self.candidates, self.met = self._candidates()
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """Scores of the given (q_table_id, l_table_id)."""
+        dots = (pairs.join(self.q, "q_table_id").join(self.l, ["l_table_id", "dim"])
+                .groupBy("q_table_id", "l_table_id", "q_col_name", "l_col_name")
+                .agg(F.sum(F.col("_lw") * F.col("_rw")).alias("dot"), F.first("_ln").alias("_ln"), F.first("_rn").alias("_rn")))
+        best = (dots.withColumn("sim", _cosine("dot")).groupBy("q_table_id", "l_table_id", "q_col_name")
+                .agg(F.greatest(F.max("sim"), F.lit(0.0)).alias("best")))
+        return _mean_best(best, self.n_q)
+
+    def _thresholds(self) -> DataFrame:
+        """(q_table_id, threshold): the k-th best score of the seeds, 0 with fewer."""
+        rare = self.df.where(F.col("df") <= SEED_LIST).select("dim")
+        met = (self.q.join(rare, "dim").join(self.l, "dim").where(self.same).groupBy("q_table_id", "l_table_id")
+               .agg(F.sum(F.col("_lw") * F.col("_rw") / (F.col("_ln") * F.col("_rn"))).alias("part")))
+        seeds = rank_within(met, ["q_table_id"], [F.desc("part"), F.asc("l_table_id")], self.k).select("q_table_id", "l_table_id")
+        scores = self.exact(seeds).groupBy(F.col("query_id").alias("q_table_id")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+        return (self.n_q.select("q_table_id").join(scores, "q_table_id", "left")
+                .select("q_table_id", F.when(F.col("n") >= self.k, F.col("least")).otherwise(F.lit(0.0)).alias("threshold")))
+
+    def _candidates(self) -> tuple[DataFrame, DataFrame]:
+        col = Window.partitionBy("q_table_id", "q_col_name")
+        u2 = (F.col("_lw") / F.col("_ln")) * (F.col("_lw") / F.col("_ln"))
+        before = col.orderBy(F.desc(u2 / F.col("df")), "dim").rowsBetween(Window.unboundedPreceding, -1)
+        taken = (self.q.join(self.thresholds, "q_table_id").join(self.df.withColumnRenamed("dim", "d"), F.col("dim") == F.col("d"), "left")
+                 .withColumn("df", F.coalesce("df", F.lit(1))).drop("d").withColumn("u2", u2)
+                 .withColumn("left2", F.sum("u2").over(col) - F.coalesce(F.sum("u2").over(before), F.lit(0.0)))
+                 .withColumn("taken", F.col("left2") >= F.col("threshold") * F.col("threshold") * (SURE * SURE)))
+        taken = taken.withColumn("rest", F.sqrt(F.sum(F.when(~F.col("taken"), F.col("u2")).otherwise(0.0)).over(col)))
+        rests = taken.groupBy("q_table_id", "q_col_name").agg(F.first("rest").alias("rest"))
+        floor = rests.groupBy("q_table_id").agg(F.sum("rest").alias("floor"))          # no column met: the sum of the rests
+        asked = taken.where("taken").select("q_table_id", "q_col_name", "dim", "_lw", "_ln", "rest")
+        dot, r2 = F.col("_lw") * F.col("_rw") / (F.col("_ln") * F.col("_rn")), (F.col("_rw") / F.col("_rn")) * (F.col("_rw") / F.col("_rn"))
+        part = (on_dim(asked, self.l).where(self.same).groupBy("q_table_id", "q_col_name", "l_table_id", "l_col_name")
+                .agg(F.sum(dot).alias("part"), F.first("rest").alias("rest"), F.sum(r2).alias("met2")))
+        # what is left of the lake column's unit vector bounds the rest of the product; no cosine is above 1
+        most = F.least(F.col("part") + F.col("rest") * F.sqrt(F.greatest(1 - F.col("met2"), F.lit(0.0))), F.lit(1.0))
+        part = cut_lineage(part.select("q_table_id", "q_col_name", "l_table_id", "l_col_name", "rest", most.alias("most")))
+        gain = (part.groupBy("q_table_id", "l_table_id", "q_col_name").agg(F.greatest(F.max("most"), F.first("rest")).alias("most"), F.first("rest").alias("rest"))
+                .groupBy("q_table_id", "l_table_id").agg(F.sum(F.col("most") - F.col("rest")).alias("gain")))
+        able = (gain.join(floor, "q_table_id").join(self.n_q, "q_table_id").join(self.thresholds, "q_table_id")
+                .where((F.col("gain") + F.col("floor")) / F.col("n_q") >= F.col("threshold") * SURE - 1e-12).select("q_table_id", "l_table_id"))
+        return cut_lineage(able), part
+
+    def top(self) -> DataFrame:
+        """(query_id, cand_id, score, rank)."""
+        return rank_within(self.exact(self.candidates), ["query_id"], [F.desc("score"), F.asc("cand_id")], self.k)
+
+    def work(self) -> DataFrame:
+        """(pairs_met, tables_scored, pairs_all): column pairs met on the entries
+        taken, table pairs scored exactly, column pairs that share a dimension."""
+        every = on_dim(self.q, self.l).where(self.same).select("q_table_id", "q_col_name", "l_table_id", "l_col_name").distinct()
+        one = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
+        return one(self.met, "pairs_met").join(one(self.candidates, "tables_scored")).join(one(every, "pairs_all"))
+
+
 def table_search_columns(q_emb: DataFrame, l_emb: DataFrame, q_keys: DataFrame, k: int = 30,
                          exclude_self: bool = False) -> DataFrame:
-    """J3 (A4 -> A5 -> W4): per query table the top-k lake tables by the mean,
-    over all query key columns, of the best (>= 0) cosine with any key column
-    of the lake table.  ``q_keys`` = (table_id, col_name) of query key columns.
-    Output (query_id, cand_id, score, rank)."""
-    ids = ["table_id", "col_name"]
-    sims = sparse_cosine(q_emb, l_emb, ids, ids, "q_", "l_")
-    if exclude_self:
-        sims = sims.where(F.col("q_table_id") != F.col("l_table_id"))
-    best = (sims.groupBy("q_table_id", "l_table_id", "q_col_name")
-            .agg(F.greatest(F.max("sim"), F.lit(0.0)).alias("best")))
-    nq = q_keys.groupBy(F.col("table_id").alias("q_table_id")).agg(F.count(F.lit(1)).alias("n_q"))
-    score = (best.groupBy("q_table_id", "l_table_id").agg(F.sum("best").alias("s"))
-             .join(nq, "q_table_id")
-             .select(F.col("q_table_id").alias("query_id"), F.col("l_table_id").alias("cand_id"),
-                     F.round(F.col("s") / F.col("n_q"), SCORE_DIGITS).alias("score"))
-             .where(F.col("score") > 0))
-    return rank_within(score, ["query_id"], [F.desc("score"), F.asc("cand_id")], k)
+    """The top of :class:`ColumnSearch`.  ``q_keys`` = (table_id, col_name) of
+    query key columns.  Output (query_id, cand_id, score, rank)."""
+    return ColumnSearch(q_emb, l_emb, q_keys, k, exclude_self).top()
 
 
 # ----------------------------------------------------------------- dense path

@@ -9,7 +9,7 @@ from lakejoin.operators import profile as P
 from lakejoin.operators.encode import column_embeddings_hash
 from lakejoin.operators.similarity import column_links_topk, table_search_columns
 from lakejoin.plans import oracle_sql as O
-from lakejoin.plans.flows import DEFAULT_K, lake_column_embeddings
+from lakejoin.plans.flows import DEFAULT_K, discover_tables, lake_column_embeddings
 from lakejoin.plans.registry import r6, register
 from lakejoin.sources.testdata import star_lake
 
@@ -112,17 +112,17 @@ def column_links(spark, sf):
 
 
 # ---- J3 / A4 / A5 / W4 table search by key columns ---------------------------------------
-def table_search_ctes(k: int = DEFAULT_K) -> str:
+def table_search_ctes(k: int = DEFAULT_K, lake: str = STAR) -> str:
     """CTEs ending in ``preds(query_id, cand_id, score, rank)`` (score unrounded)."""
     keycells = ("kcells AS (SELECT c.* FROM cells c JOIN columns k ON k.table_id = c.table_id "
                 "AND k.col_idx = c.col_idx AND k.key_pos IS NOT NULL)")
     keycols = "kcols AS (SELECT * FROM columns WHERE key_pos IS NOT NULL)"
-    return f"""{STAR}, {keycells}, {keycols}, {O.column_text_ctes(cells='kcells', columns='kcols').strip()},
+    return f"""{lake}, {keycells}, {keycols}, {O.column_text_ctes(cells='kcells', columns='kcols').strip()},
 {O.hash_ctes('coltext', ['table_id', 'col_name'], 'text', DEFAULT_DIM).strip()},
 {O.cosine_cte('sims', 'emb', 'emb', ['table_id', 'col_name'], 'q_', 'l_').strip()},
 best AS (SELECT q_table_id, l_table_id, q_col_name, greatest(max(sim), 0.0) AS best FROM sims GROUP BY ALL),
 nq AS (SELECT table_id AS q_table_id, count(*) AS n_q FROM kcols GROUP BY ALL),
-score AS (SELECT b.q_table_id AS query_id, b.l_table_id AS cand_id, round(sum(best) / n_q, 12) AS score
+score AS (SELECT b.q_table_id AS query_id, b.l_table_id AS cand_id, list_reduce(list(best ORDER BY q_col_name), lambda x, y: x + y) / n_q AS score
           FROM best b JOIN nq ON nq.q_table_id = b.q_table_id GROUP BY b.q_table_id, b.l_table_id, n_q),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cand_id) AS rank
         FROM score WHERE score > 0),
@@ -144,6 +144,15 @@ def table_search(spark, sf):
     return out.select("query_id", "cand_id", r6("score"), "rank")
 
 
+@register("table_search_columns_convs", f"""WITH {table_search_ctes(lake=O.lake_ctes('conv'))}
+SELECT query_id, cand_id, round(score, 6) AS score, rank FROM preds""")
+def table_search_convs(spark, sf):
+    """F1 over the conversation lake: more tables than k, so the bounds cut."""
+    from lakejoin.sources.testdata import conversations_lake
+    out = discover_tables(conversations_lake(spark, sf), k=DEFAULT_K)
+    return out.select("query_id", "cand_id", r6("score"), "rank")
+
+
 # ---- J8 embedding lookup of the declared link columns ------------------------------------
 @register("embedding_lookup", f"""WITH {STAR}, {O.column_text_ctes().strip()},
 {O.hash_ctes('coltext', ['table_id', 'col_name'], 'text', DEFAULT_DIM).strip()},
