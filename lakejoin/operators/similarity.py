@@ -294,6 +294,46 @@ def table_search_rows(scores: DataFrame, lake_pos: DataFrame) -> DataFrame:
     return rank_within(s, ["query_id"], [F.desc("score"), F.asc("lake_pos"), F.asc("cand_id")])
 
 
+def table_search_columns_dense(q_vecs: DataFrame, l_vecs: DataFrame, q_keys: DataFrame, k: int = 30, exclude_self: bool = False,
+                               q_blocks: int | None = None, l_blocks: int | None = None) -> DataFrame:
+    """J3 for dense vectors ``(table_id, col_name, vec)``, e.g. of a plug-in encoder.
+    Blocks hold whole tables, so a task has every column of its table pairs and
+    returns its k best per query; no row per table pair leaves it."""
+    n_q = q_keys.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_q"))
+    q_blocks = q_blocks or blocks_for(q_vecs.count())
+    l_blocks = l_blocks or blocks_for(l_vecs.count())
+    cols = ["table_id", "col_name", "vec"]
+    q = _assign_blocks(_fresh(q_vecs, cols).join(n_q, "table_id"), ["table_id"], "qb", "lb", q_blocks, l_blocks)
+    l = _assign_blocks(_fresh(l_vecs, cols), ["table_id"], "lb", "qb", l_blocks, q_blocks)
+    eps = COS_EPS
+
+    def fn(qp: pd.DataFrame, lp: pd.DataFrame) -> pd.DataFrame:
+        if qp.empty or lp.empty:
+            return pd.DataFrame({"query_id": pd.Series(dtype=object), "cand_id": pd.Series(dtype=object), "score": pd.Series(dtype="float64")})
+        qp = qp.sort_values(["table_id", "col_name"], kind="stable")
+        lp = lp.sort_values("table_id", kind="stable")
+        Q = np.stack([np.asarray(x, dtype=np.float64) for x in qp["vec"]])
+        L = np.stack([np.asarray(x, dtype=np.float64) for x in lp["vec"]])
+        lt, qt = lp["table_id"].to_numpy(), qp["table_id"].to_numpy()
+        l_at = np.flatnonzero(np.r_[True, lt[1:] != lt[:-1]])
+        q_at = np.flatnonzero(np.r_[True, qt[1:] != qt[:-1]])
+        sim = (Q @ L.T) / np.outer(np.sqrt((Q * Q).sum(axis=1)) + eps, np.sqrt((L * L).sum(axis=1)) + eps)
+        best = np.maximum(np.maximum.reduceat(sim, l_at, axis=1), 0.0)
+        names, out = lt[l_at], []
+        for a, z in zip(q_at, [*q_at[1:], len(qt)]):
+            total = np.zeros(len(names))
+            for row in best[a:z]:                      # in column order, as the sparse path adds
+                total = total + row
+            score = total / int(qp["n_q"].iloc[a])
+            ok = np.flatnonzero((score > 0) & ((names != qt[a]) | (not exclude_self)))
+            top = ok[np.lexsort((names[ok].astype(str), -score[ok]))][:k]
+            out.append(pd.DataFrame({"query_id": qt[a], "cand_id": names[top], "score": score[top]}))
+        return pd.concat(out, ignore_index=True)
+
+    found = (q.groupBy("qb", "lb").cogroup(l.groupBy("qb", "lb")).applyInPandas(fn, "query_id string, cand_id string, score double"))
+    return rank_within(found, ["query_id"], [F.desc("score"), F.asc("cand_id")], k)
+
+
 def column_links_topk_dense(col_vecs: DataFrame, k: int = 30, blocks: int = 1) -> DataFrame:
     """J2 + W3 (dense block path): ``(table_id, col_name, vec)`` -> same output
     as :func:`column_links_topk`.  Block pairs (i <= j) only; each task emits

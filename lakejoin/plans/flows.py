@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakejoin.functions.hashing import DEFAULT_DIM
 from lakejoin.lake import Lake
-from lakejoin.operators.encode import column_embeddings_hash
+from lakejoin.operators.encode import Encoder, column_embeddings_hash
 from lakejoin.operators.profile import column_text
 from lakejoin.operators.similarity import column_links_topk, table_search_columns
 from lakejoin.session import cut_lineage
@@ -29,17 +29,23 @@ def lake_column_embeddings(lake: Lake, dim: int = DEFAULT_DIM, pattern: str = "t
 
 
 def discover_column_links(lake: Lake, k: int = DEFAULT_K, dim: int = DEFAULT_DIM, path: str = "auto",
-                          block_rows: int = 4096) -> DataFrame:
+                          block_rows: int = 4096, encoder: Encoder | None = None, emb: DataFrame | None = None) -> DataFrame:
     """top-k column pairs for every table pair of the lake (K2 rows).
 
     ``path``: ``sparse`` (equi-join on hash dimensions), ``dense`` (block
     matmul, per-block top-k) or ``auto``: dense once the vectors fill more
     than 1/8 of the dimensions, where the inverted index stops pruning.  Both
-    paths give identical results (integer weights, same formula)."""
+    paths give identical results (integer weights, same formula).  ``encoder``: a
+    plug-in encoder in place of the hash encoder; ``emb``: the hash embeddings, if
+    they are at hand (e.g. from the store)."""
     from pyspark.sql import functions as F
     from lakejoin.operators.encode import to_dense
     from lakejoin.operators.similarity import blocks_for, column_links_topk_dense
-    emb = lake_column_embeddings(lake, dim)
+    if encoder is not None:
+        from lakejoin.operators.dictionary import column_embeddings_dense
+        vecs = column_embeddings_dense(lake, encoder)
+        return column_links_topk_dense(vecs, k, blocks_for(vecs.count(), block_rows))
+    emb = lake_column_embeddings(lake, dim) if emb is None else emb
     if path == "auto":
         st = emb.groupBy("table_id", "col_name").count().agg(F.avg("count"), F.count(F.lit(1))).first()
         n_cols, nnz = int(st[1] or 0), float(st[0] or 0.0)
@@ -52,9 +58,16 @@ def discover_column_links(lake: Lake, k: int = DEFAULT_K, dim: int = DEFAULT_DIM
 
 
 def discover_tables(query: Lake, lake: Lake | None = None, k: int = DEFAULT_K,
-                    dim: int = DEFAULT_DIM) -> DataFrame:
+                    dim: int = DEFAULT_DIM, encoder: Encoder | None = None) -> DataFrame:
     """F1 ranking: top-k lake tables per query table by key-column similarity
-    (self matches kept).  ``lake`` defaults to the query lake itself."""
+    (self matches kept).  ``lake`` defaults to the query lake itself;
+    ``encoder``: a plug-in encoder in place of the hash encoder."""
+    if encoder is not None:
+        from lakejoin.operators.dictionary import column_embeddings_dense
+        from lakejoin.operators.similarity import table_search_columns_dense
+        q_vecs = column_embeddings_dense(query, encoder, keys_only=True)
+        l_vecs = q_vecs if lake is None else column_embeddings_dense(lake, encoder, keys_only=True)
+        return table_search_columns_dense(q_vecs, l_vecs, query.key_columns().select("table_id", "col_name"), k)
     q_emb = lake_column_embeddings(query, dim, keys_only=True)
     if lake is None:
         l_emb = q_emb
@@ -87,10 +100,11 @@ def search_joinable(q_rows: DataFrame, l_rows: DataFrame, lake_pos: DataFrame,
 
 
 def search_joinable_top(q_rows: DataFrame, l_rows: DataFrame, lake_pos: DataFrame, k: int,
-                        alpha: float = DEFAULT_ALPHA, packed_dim: int = 256, path: str = "auto") -> DataFrame:
+                        alpha: float = DEFAULT_ALPHA, packed_dim: int | None = 256, path: str = "auto") -> DataFrame:
     """F3 as used: the first ``k`` (the largest K asked for) of each ranking and
-    the number of predictions ``n_pred``.  Packed rows; rows of the result grow
-    with the query tables, not with pairs of tables."""
+    the number of predictions ``n_pred``.  Packed rows, or dense ones with
+    ``packed_dim`` None; rows of the result grow with the query tables, not with
+    pairs of tables."""
     from lakejoin.operators.threshold import match_counts, top_tables
     same = q_rows is l_rows
     q_rows = cut_lineage(q_rows)
@@ -99,15 +113,21 @@ def search_joinable_top(q_rows: DataFrame, l_rows: DataFrame, lake_pos: DataFram
 
 
 def search_joinable_lakes(query: Lake, lake: Lake, alpha: float = DEFAULT_ALPHA, dim: int = 256,
-                          override: list[int] | None = None, k: int | None = None, path: str = "auto") -> DataFrame:
+                          override: list[int] | None = None, k: int | None = None, path: str = "auto",
+                          encoder: Encoder | None = None) -> DataFrame:
     """F3 end to end on two lakes with the hash encoder: query and lake tables
     are merged first-wins (C14), key rows chosen (C10/C11), encoded once (E3,
     E4), and every query table is ranked against the lake tables (J4, J5); with
-    ``k`` only the first k of each ranking are made."""
+    ``k`` only the first k of each ranking are made.  ``encoder``: a plug-in
+    encoder in place of the hash encoder."""
     from lakejoin.operators.catalog import merge_lakes
     from lakejoin.operators.encode import key_rows, packed_key_rows
     both = merge_lakes(query, lake, winner="first")
-    rows = cut_lineage(packed_key_rows(key_rows(both, override), dim))
+    if encoder is not None:
+        from lakejoin.operators.dictionary import row_embeddings_dense
+        rows, dim = row_embeddings_dense(key_rows(both, override), encoder), None
+    else:
+        rows = cut_lineage(packed_key_rows(key_rows(both, override), dim))
     q_ids = query.tables.select("table_id")
     l_ids = lake.tables.select("table_id")
     q_rows = rows.join(q_ids, "table_id", "left_semi")

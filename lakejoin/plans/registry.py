@@ -39,3 +39,4 @@ from lakejoin.plans import queries_catalog  # noqa: E402,F401
 from lakejoin.plans import queries_pairs  # noqa: E402,F401
 from lakejoin.plans import queries_cluster  # noqa: E402,F401
 from lakejoin.plans import queries_sinks  # noqa: E402,F401
+from lakejoin.plans import queries_encoder  # noqa: E402,F401
