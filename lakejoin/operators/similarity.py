@@ -37,6 +37,11 @@ def blocks_for(n: int, target: int = 4096) -> int:
 
 # ---------------------------------------------------------------- sparse path
 
+def with_norms(sparse: DataFrame, ids: list[str]) -> DataFrame:
+    """Entries with the norm of their vector; the store's rows have it already."""
+    return sparse if "norm" in sparse.columns else sparse.join(sparse_norms(sparse, ids), ids)
+
+
 def on_dim(left: DataFrame, right: DataFrame, limit: int | None = None) -> DataFrame:
     """``left`` joined with ``right`` on ``dim``.  Lists of more than ``limit``
     right rows are dealt over parts, and the left rows of those dimensions go to
@@ -59,8 +64,8 @@ def sparse_cosine(left: DataFrame, right: DataFrame, lid: list[str], rid: list[s
     """J1 over sparse vectors: dot / ((|a|+1e-8)(|b|+1e-8)) for pairs with a
     shared dimension (all others have cosine 0).  The norms travel with the
     entries, so the pairs are shuffled once."""
-    l = left.join(sparse_norms(left, lid), lid).select(*[F.col(c).alias(lp + c) for c in lid], "dim", F.col("w").alias("_lw"), F.col("norm").alias("_ln"))
-    r = right.join(sparse_norms(right, rid), rid).select(*[F.col(c).alias(rp + c) for c in rid], "dim", F.col("w").alias("_rw"), F.col("norm").alias("_rn"))
+    l = with_norms(left, lid).select(*[F.col(c).alias(lp + c) for c in lid], "dim", F.col("w").alias("_lw"), F.col("norm").alias("_ln"))
+    r = with_norms(right, rid).select(*[F.col(c).alias(rp + c) for c in rid], "dim", F.col("w").alias("_rw"), F.col("norm").alias("_rn"))
     j = on_dim(l, r)
     if cond is not None:
         j = j.where(cond)
@@ -118,7 +123,7 @@ class ColumnSearch:
     def __init__(self, q_emb: DataFrame, l_emb: DataFrame, q_keys: DataFrame, k: int = 30, exclude_self: bool = False):
         ids = ["table_id", "col_name"]
         self.k, self.same = k, F.lit(True) if not exclude_self else F.col("q_table_id") != F.col("l_table_id")
-        named = lambda e, p, w, n: e.join(sparse_norms(e, ids), ids).select(
+        named = lambda e, p, w, n: with_norms(e, ids).select(
             *[F.col(c).alias(p + c) for c in ids], "dim", F.col("w").alias(w), F.col("norm").alias(n))
         self.q, self.l = cut_lineage(named(q_emb, "q_", "_lw", "_ln")), cut_lineage(named(l_emb, "l_", "_rw", "_rn"))
         self.n_q = q_keys.groupBy(F.col("table_id").alias("q_table_id")).agg(F.count(F.lit(1)).alias("n_q"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakejoin.functions.hashing import DEFAULT_DIM
@@ -28,6 +28,23 @@ def lake_column_embeddings(lake: Lake, dim: int = DEFAULT_DIM, pattern: str = "t
     return cut_lineage(column_embeddings_hash(text, dim))
 
 
+def stored_column_embeddings(lake: Lake, name: str, dim: int = DEFAULT_DIM, pattern: str = "title-colname-stat-col",
+                             root: str | None = None) -> DataFrame:
+    """E2 through the embedding store: ``(table_id, col_name, dim, w, norm)`` of
+    every column, encoded once per lake version and read by table without an
+    exchange.  ``name`` tells lakes apart."""
+    from lakejoin.operators.store import EmbeddingStore
+    store = EmbeddingStore(lake.tables.sparkSession, f"{name}|hash-{dim}|{pattern}", root=root)
+
+    def encode(part: Lake) -> DataFrame:
+        e = column_embeddings_hash(column_text(part, pattern), dim)
+        column = Window.partitionBy("table_id", "col_name")
+        return e.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(column)))
+
+    store.refresh(lake, encode)
+    return store.rows()
+
+
 def discover_column_links(lake: Lake, k: int = DEFAULT_K, dim: int = DEFAULT_DIM, path: str = "auto",
                           block_rows: int = 4096, encoder: Encoder | None = None, emb: DataFrame | None = None) -> DataFrame:
     """top-k column pairs for every table pair of the lake (K2 rows).

@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from lakejoin.functions.hashing import DEFAULT_DIM
 from lakejoin.operators import profile as P
-from lakejoin.operators.encode import column_embeddings_hash
-from lakejoin.operators.similarity import column_links_topk, table_search_columns
+from lakejoin.operators.similarity import table_search_columns
 from lakejoin.plans import oracle_sql as O
-from lakejoin.plans.flows import DEFAULT_K, discover_tables, lake_column_embeddings
+from lakejoin.plans.flows import DEFAULT_K, discover_tables, stored_column_embeddings
 from lakejoin.plans.registry import r6, register
 from lakejoin.sources.testdata import star_lake
 
@@ -84,12 +83,17 @@ for _pat in P.PATTERNS:
 SELECT table_id, col_name, text FROM coltext""")(_text_query(_pat))
 
 
+def star_embeddings(spark, sf, lake):
+    """Embeddings of every column of the star lake, from the store that the queries share."""
+    return stored_column_embeddings(lake, f"star|{sf}")
+
+
 # ---- E2 column embeddings (sparse hash) ----------------------------------------------
 @register("column_embeddings_hash", f"""WITH {STAR}, {O.column_text_ctes().strip()},
 {O.hash_ctes('coltext', ['table_id', 'col_name'], 'text', DEFAULT_DIM).strip()}
 SELECT table_id, col_name, dim, w FROM emb""")
 def column_embeddings(spark, sf):
-    return column_embeddings_hash(P.column_text(star_lake(spark, sf)), DEFAULT_DIM)
+    return star_embeddings(spark, sf, star_lake(spark, sf)).drop("norm")
 
 
 # ---- J2 / W3 / K2 all-pairs column links (flagship) ----------------------------------------
@@ -107,7 +111,8 @@ SELECT table1, table2, column1, column2, round(prob, 6) AS prob, rank FROM top W
 @register("column_links_topk", column_links_sql())
 def column_links(spark, sf):
     from lakejoin.plans.flows import discover_column_links
-    out = discover_column_links(star_lake(spark, sf), DEFAULT_K)
+    lake = star_lake(spark, sf)
+    out = discover_column_links(lake, DEFAULT_K, emb=star_embeddings(spark, sf, lake))
     return out.select("table1", "table2", "column1", "column2", r6("prob"), "rank")
 
 
@@ -133,8 +138,9 @@ runq AS (SELECT DISTINCT table_id AS query_id FROM kcols)"""
 def star_predictions(spark, sf, k: int = DEFAULT_K):
     """(lake, predictions) of F1 over the star lake (query = lake)."""
     lake = star_lake(spark, sf)
-    emb = lake_column_embeddings(lake, keys_only=True)
-    return lake, table_search_columns(emb, emb, lake.key_columns().select("table_id", "col_name"), k)
+    keys = lake.key_columns().select("table_id", "col_name")
+    emb = star_embeddings(spark, sf, lake).join(keys, ["table_id", "col_name"], "left_semi")
+    return lake, table_search_columns(emb, emb, keys, k)
 
 
 @register("table_search_columns", f"""WITH {table_search_ctes()}
@@ -162,7 +168,7 @@ SELECT e.table_id, e.col_name, e.dim, e.w FROM emb e JOIN ends USING (table_id,
 def embedding_lookup(spark, sf):
     from lakejoin.sources.testdata import star_links
     lake = star_lake(spark, sf)
-    emb = lake_column_embeddings(lake)
+    emb = star_embeddings(spark, sf, lake)
     links = star_links(spark, sf)
     ends = (links.select(F.col("table1").alias("table_id"), F.col("column1").alias("col_name"))
             .union(links.select(F.col("table2").alias("table_id"), F.col("column2").alias("col_name"))).distinct())
