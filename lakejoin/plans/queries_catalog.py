@@ -18,10 +18,10 @@ from lakejoin.operators import catalog as C
 from lakejoin.operators.encode import key_rows
 from lakejoin.plans import oracle_sql as O
 from lakejoin.plans.registry import register
-from lakejoin.session import checkpoint_dir
+from lakejoin.session import checkpoint_dir, cut_lineage
 from lakejoin.sources import testdata as T
 from lakejoin.sources.csv_tables import read_csv_tables, read_links
-from lakejoin.sources.json_tables import (ragged_to_rows, read_table_documents, read_truth, write_table_documents,
+from lakejoin.sources.json_tables import (ragged_to_rows, read_table_documents, read_truth, write_array, write_table_documents,
                                           write_truth)
 
 STAR = O.lake_ctes("star")
@@ -45,6 +45,25 @@ def load_tables_json(spark, sf):
     return lake.cells.select("table_id", "row_idx", "col_idx", "col_name", "value")
 
 
+@register("load_tables_json_splits", f"""WITH {EVENTS}
+SELECT table_id, CAST(row_number() OVER (PARTITION BY table_id, col_idx ORDER BY row_idx) - 1 AS BIGINT) AS row_idx,
+       col_idx, col_name, value FROM cells""")
+def load_tables_json_splits(spark, sf):
+    """The whole lake as one file, an array of all its tables, read back in splits of at most 64 KB."""
+    path = scratch(spark, "docs-one")
+    write_table_documents(T.events_lake(spark, sf), path, n_files=1)
+    keys = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        cells = cut_lineage(read_table_documents(spark, path, "row_major", "last").cells)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    return cells.select("table_id", "row_idx", "col_idx", "col_name", "value")
+
+
 @register("load_tables_json_catalog", f"""WITH {EVENTS}
 SELECT t.table_id, CASE WHEN contains(t.table_id, '-') THEN split_part(t.table_id, '-', 1)
                         WHEN contains(t.table_id, '_') THEN split_part(t.table_id, '_', 1) ELSE t.table_id END AS base_id,
@@ -76,9 +95,7 @@ def load_tables_json_column_major(spark, sf):
     docs = cols.join(vals, "table_id").select(F.to_json(F.struct(
         "table_id", F.transform("c", lambda x: x["col_name"]).alias("columns"),
         F.transform("cv", lambda x: x["vals"]).alias("cells"))).alias("doc"))
-    (docs.groupBy(F.pmod(F.xxhash64("doc"), F.lit(4)).alias("f"))
-     .agg(F.concat(F.lit('{"tables": ['), F.array_join(F.collect_list("doc"), ","), F.lit("]}")).alias("value"))
-     .select("value").write.mode("overwrite").text(path))
+    write_array(docs, path, wrapped=True)
     out = read_table_documents(spark, path, "column_major", "none")
     return out.cells.select("table_id", "row_idx", "col_idx", "col_name", "value")
 

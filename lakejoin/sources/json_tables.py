@@ -1,9 +1,9 @@
 """JSON table documents and ground-truth files.
 
 A file holds one JSON document (an array of table objects, or an object
-``{"tables": [...]}``); files are read whole (``wholetext``) -- one task per
-file -- and immediately exploded into the long cell relation, so everything
-after the scan is distributed.  Convert once to parquet for repeated use.
+``{"tables": [...]}``).  Table files are read in splits, several tasks a file
+(:mod:`lakejoin.sources.split_json`); each object is parsed on its own and
+exploded into the long cell relation.  Convert once to parquet for repeated use.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakejoin.lake import Lake, tables_from_parts
+from lakejoin.operators.order import global_index
+from lakejoin.sources.split_json import elements
 
 TABLE_STRUCT = ("struct<table_id:string, columns:array<string>, cells:array<array<string>>, "
                 "rows:array<array<string>>, descriptions:array<string>, join_key_indices:array<int>, "
@@ -21,9 +23,19 @@ TABLE_STRUCT = ("struct<table_id:string, columns:array<string>, cells:array<arra
 def _docs(spark: SparkSession, path: str) -> DataFrame:
     """(file, table_pos, doc) for every table object of every file, in file
     order; a wrapper object, an array, or a single object are all accepted."""
-    raw = (spark.read.option("wholetext", True).text(path)
-           .select(F.col("_metadata.file_path").alias("file"), F.col("value")))
-    return documents_from_text(raw)
+    one = F.from_json("value", TABLE_STRUCT)
+    bad = F.raise_error(F.concat(F.lit("unreadable table document "), F.col("file"), F.lit(": a table without table_id or no readable JSON")))
+    docs = elements(spark, path).select("file", "block", "n", one.alias("doc"))
+    docs = docs.withColumn("doc", F.when(F.col("doc").isNull() | F.col("doc.table_id").isNull(), bad).otherwise(F.col("doc")))
+    return docs.select("file", F.struct("file", "block", "n").alias("table_pos"), "doc")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Positions of ``(file, block, n)`` as numbers: only ids are put in order."""
+    if dict(docs.dtypes)["table_pos"] == "bigint":
+        return docs
+    order = global_index(docs.select("table_pos"), [F.col("table_pos")], "pos")
+    return docs.join(order, "table_pos").withColumn("table_pos", F.col("pos").cast("long")).drop("pos")
 
 
 def _tables_of(value):
@@ -91,7 +103,7 @@ def lake_from_documents(docs: DataFrame, layout: str = "row_major", dedupe: str
     pad_short_rows: row-major rows shorter than the header get NULL cells
     (A's loader, also for empty rows); off, only present cells are emitted
     (B keeps raw rows: empty rows vanish, short rows are padded later)."""
-    docs = _dedupe(docs, dedupe)
+    docs = _numbered(_dedupe(docs, dedupe))
     d = docs.select("table_pos", F.col("doc.*"))
     columns = d.select("table_id", F.posexplode("columns").alias("col_idx", "col_name"),
                        F.col("descriptions"), F.array_distinct(F.filter(
@@ -188,9 +200,9 @@ def inline_truth(spark: SparkSession, path: str, file_truth: DataFrame, file_que
     return file_truth.unionByName(extra), file_queries.unionByName(inl.select("query_id")).distinct()
 
 
-def write_table_documents(lake: Lake, path: str, n_files: int = 8) -> None:
-    """Sink: the lake as row-major table documents, tables hashed into
-    ``n_files`` JSON array files (each file one document)."""
+def write_table_documents(lake: Lake, path: str, n_files: int | None = None) -> None:
+    """Sink: the lake as row-major table documents, one JSON array file a
+    partition (or ``n_files``), one table a line."""
     cells = lake.cells
     rows = (cells.groupBy("table_id", "row_idx")
             .agg(F.array_sort(F.collect_list(F.struct("col_idx", "value"))).alias("r"))
@@ -205,9 +217,26 @@ def write_table_documents(lake: Lake, path: str, n_files: int = 8) -> None:
                 F.transform("rs", lambda x: x["row"]).alias("cells"),
                 F.transform(F.filter(F.array_sort(F.transform("c", lambda x: F.struct(x["key_pos"].alias("k"), x["col_idx"].alias("i")))),
                                      lambda x: x["k"].isNotNull()), lambda x: x["i"]).alias("join_key_indices"))).alias("doc")))
-    files = (docs.withColumn("f", F.pmod(F.xxhash64("table_id"), F.lit(n_files)))
-             .groupBy("f").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("doc")), ","), F.lit("]")).alias("value")))
-    files.select("value").repartition(n_files).write.mode("overwrite").text(path)
+    write_array(docs.select("doc"), path, n_files)
+
+
+def write_array(docs: DataFrame, path: str, n_files: int | None = None, wrapped: bool = False) -> None:
+    """One JSON array a partition, one object a line: rows are written as they
+    come, whatever their number.  ``wrapped``: ``{"tables": [...]}``."""
+    head, tail = ('{"tables": [', "]}") if wrapped else ("[", "]")
+
+    def lines(batches):
+        import pyarrow as pa
+        before = head
+        for batch in batches:
+            if batch.num_rows:
+                rows = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([before + rows[0], *["," + r for r in rows[1:]]], pa.string())], names=["value"])
+                before = ","
+        yield pa.RecordBatch.from_arrays([pa.array([(head if before == head else "") + tail], pa.string())], names=["value"])
+
+    docs = docs.repartition(n_files) if n_files else docs
+    docs.mapInArrow(lines, "value string").write.mode("overwrite").text(path)
 
 
 def write_truth(truth: DataFrame, truth_queries: DataFrame, path: str) -> None:
