@@ -92,7 +92,7 @@ def reuse_stats(spark, sf):
 def _aug_cells_sql() -> str:
     return f"""augcells AS (
   SELECT * FROM cells UNION ALL
-  SELECT c.table_id || '_shuffled', CAST(('0x' || substr({md5key('c.table_id', 'c.col_name', 'c.row_idx')}, 1, 15)) AS BIGINT),
+  SELECT c.table_id || '_shuffled', CAST(row_number() OVER (PARTITION BY c.table_id, c.col_name ORDER BY {md5key('c.table_id', 'c.col_name', 'c.row_idx')}, c.row_idx) - 1 AS BIGINT),
          c.col_idx, c.col_name, c.value
   FROM cells c WHERE EXISTS (SELECT 1 FROM picked p WHERE p.table1 = c.table_id AND p.column1 = c.col_name)),
 augcols AS (SELECT * FROM columns UNION ALL
@@ -103,6 +103,15 @@ augtabs AS (SELECT table_id, table_name, table_pos FROM tables UNION ALL
   WHERE EXISTS (SELECT 1 FROM picked p WHERE p.table1 = t.table_id))"""
 
 
+@register("shuffle_augment_cells", f"""WITH {STAR}, {AUG_SQL}, {_aug_cells_sql()}
+SELECT table_id, row_idx, col_idx, col_name, value FROM augcells WHERE table_id LIKE '%\\_shuffled' ESCAPE '\\'""")
+def shuffle_augment_cells(spark, sf):
+    """The cells of the shuffled copies: positions 0 .. n - 1 of each column, and its values."""
+    lake, pairs = star_pairs(spark, sf)
+    _, lake2 = PR.augment(pairs, lake, SHUFFLE_RATE, SEED)
+    return lake2.cells.where(F.col("table_id").endswith(PR.SHUFFLED_SUFFIX)).select("table_id", "row_idx", "col_idx", "col_name", "value")
+
+
 @register("text_pairs", f"""WITH {STAR}, {AUG_SQL}, {LAKE_FREQ}, {_aug_cells_sql()},
 need AS (SELECT table1 AS table_id, column1 AS col_name FROM aug UNION SELECT table2, column2 FROM aug),
 ncells AS (SELECT c.* FROM augcells c JOIN need n ON n.table_id = c.table_id AND n.col_name = c.col_name),

@@ -8,12 +8,13 @@ from lakejoin.operators import evaluate as E
 from lakejoin.operators import fit as FT
 from lakejoin.plans.flows import DEFAULT_K
 from lakejoin.plans.queries_catalog import scratch
-from lakejoin.plans.queries_eval import M1_SQL, TRUTH, _star_eval
-from lakejoin.plans.queries_rows import VEC_ALPHA, VEC_SQL, _j4_sql, vector_rows
+from lakejoin.plans.queries_eval import KS, M1_SQL, TRUTH, _star_eval, m3_sql
+from lakejoin.plans.queries_rows import CENTROID_TRUTH_SQL, VEC_ALPHA, VEC_SQL, _j4_sql, _vec_eval, vector_rows
 from lakejoin.plans.queries_text import column_links_sql, table_search_ctes
 from lakejoin.plans.registry import r6, register
 from lakejoin.plans.flows import search_joinable
 from lakejoin.plans.training import fit_from_truth
+from lakejoin.session import cut_lineage
 from lakejoin.sources import sinks as K
 from lakejoin.sources import testdata as T
 
@@ -59,6 +60,30 @@ def result_map_q(spark, sf):
         "query_id", "pos", F.col("r.cand_id").alias("cand_id"), F.round("r.score", 6).alias("score"))
 
 
+@register("result_whole", f"""WITH {VEC_SQL}, {_j4_sql(VEC_ALPHA)}, {CENTROID_TRUTH_SQL}, {m3_sql()}
+SELECT 'results' AS part, query_id, CAST(NULL AS INTEGER) AS k, CAST(rank AS BIGINT) AS rank, cand_id, round(score, 6) AS score,
+       CAST(NULL AS DOUBLE) AS p_at_k, CAST(NULL AS DOUBLE) AS r_at_k, CAST(NULL AS DOUBLE) AS map_at_k, CAST(NULL AS DOUBLE) AS mrr_at_k FROM preds
+UNION ALL SELECT 'query', query_id, k, NULL, NULL, NULL, round(p_at_k, 6), round(r_at_k, 6), round(map_at_k, 6), round(mrr_at_k, 6) FROM m3
+UNION ALL SELECT 'average', NULL, k, NULL, NULL, NULL, round(avg(p_at_k), 6), round(avg(r_at_k), 6), round(avg(map_at_k), 6), round(avg(mrr_at_k), 6)
+FROM m3 GROUP BY k""")
+def result_whole(spark, sf):
+    """The whole result of a row search, written as one version and read back."""
+    ranking, run, truth = _vec_eval(spark, sf)
+    ranking = cut_lineage(ranking)
+    per_query = cut_lineage(E.metrics_b(ranking, run, truth, KS))
+    path = scratch(spark, "result")
+    K.write_result(ranking, per_query, E.average_b(per_query), path, max(KS))
+    back = K.read_result(spark, path)
+    none = lambda c, t: F.lit(None).cast(t).alias(c)
+    metrics = [r6(c) for c in ("p_at_k", "r_at_k", "map_at_k", "mrr_at_k")]
+    rows = back["results"].select("query_id", "from_rank", F.posexplode("results").alias("pos", "r")).select(
+        F.lit("results").alias("part"), "query_id", none("k", "int"), (F.col("from_rank") + F.col("pos")).alias("rank"),
+        F.col("r.cand_id").alias("cand_id"), F.round("r.score", 6).alias("score"), *[none(c, "double") for c in ("p_at_k", "r_at_k", "map_at_k", "mrr_at_k")])
+    kept = [none("rank", "long"), none("cand_id", "string"), none("score", "double"), *metrics]
+    return (rows.unionByName(back["per_query_metrics"].select(F.lit("query").alias("part"), "query_id", "k", *kept))
+            .unionByName(back["avg_metrics"].select(F.lit("average").alias("part"), none("query_id", "string"), "k", *kept)))
+
+
 @register("top_results", f"""WITH {VEC_SQL}, {_j4_sql(VEC_ALPHA)}
 SELECT query_id, cand_id, round(score, 6) AS score, rank FROM preds WHERE rank <= {TOP_PRINT}""")
 def top_results(spark, sf):

@@ -7,7 +7,10 @@ sinks, one part file per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,6 +42,51 @@ def result_map(ranking: DataFrame) -> DataFrame:
                                                                      x["score"].alias("score"))).alias("results")))
 
 
+def result_parts(ranking: DataFrame, k: int) -> DataFrame:
+    """K3 rows with bounded arrays: (query_id, from_rank, results), ``k`` ranks a
+    row, so a ranking of any length is never one array."""
+    part = F.floor((F.col("rank") - 1) / k)
+    return (ranking.groupBy("query_id", (part * k + 1).cast("long").alias("from_rank"))
+            .agg(F.array_sort(F.collect_list(F.struct("rank", "cand_id", "score"))).alias("r"))
+            .select("query_id", "from_rank", F.transform("r", lambda x: F.struct(x["cand_id"].alias("cand_id"), x["score"].alias("score"))).alias("results")))
+
+
+RESULT_PARTS = ("results", "per_query_metrics", "avg_metrics")
+
+
+def write_result(ranking: DataFrame, per_query: DataFrame, average: DataFrame, path: str, k: int) -> int:
+    """K3: the whole result -- rankings in parts of ``k`` ranks, metrics per query
+    and on average -- as one version.  The three relations go to a new folder and
+    the manifest names it last, so a reader sees all three of one run or those of
+    the run before.  Returns the version."""
+    spark = ranking.sparkSession
+    last = _result_version(spark, path)
+    n = 1 if last is None else last[0] + 1
+    folder = f"{n:06d}-{uuid.uuid4().hex}"
+    for name, df in zip(RESULT_PARTS, (result_parts(ranking, k), per_query, average)):
+        df.write.parquet(f"{path}/{folder}/{name}")
+    spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.parquet(f"{path}/manifest/version={n}")
+    return n
+
+
+def _result_version(spark: SparkSession, path: str) -> tuple[int, str] | None:
+    try:
+        row = spark.read.schema("folder string, version int").parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if row is None else (row["version"], row["folder"])
+
+
+def read_result(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The relations of the last complete version, by name."""
+    last = _result_version(spark, path)
+    if last is None:
+        raise FileNotFoundError(f"no complete result in {path}")
+    return {name: spark.read.parquet(f"{path}/{last[1]}/{name}") for name in RESULT_PARTS}
+
+
 def top_rows(ranking: DataFrame, k: int) -> DataFrame:
     """K5: the first k rows of every ranking."""
     return ranking.where(F.col("rank") <= k)
