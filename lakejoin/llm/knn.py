@@ -80,7 +80,8 @@ def top_k(data: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     piv = spark.sparkContext.broadcast(pivots)
 
     def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * x @ p.T, 0))
+        # from differences, pivot by pivot: squares of large vectors that lie close together cancel
+        return np.stack([np.sqrt(np.einsum("ij,ij->i", x - row, x - row)) for row in p], 1)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

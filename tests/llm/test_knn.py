@@ -42,6 +42,14 @@ def test_clusters_ties_and_copies(spark, monkeypatch, block):
     assert result(spark.createDataFrame(rows, "id long, v array<bigint>"), 5, 10) == brute(rows, 5, 10)
 
 
+@pytest.mark.parametrize("centre", [0.0, 1e3, 1e6])
+def test_large_components_close_together(spark, centre):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in centre + rng.normal(0, 0.02, 16)]) for i in range(300)]
+    df = knn.quantised(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e")
+    assert result(df, 5, 5) == brute([(r["id"], list(r["v"])) for r in df.collect()], 5, 5)
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.5]), (1, [None, 1.0]), (2, [float("nan"), 1.0]), (3, None), (4, [float("inf"), 0.0]), (None, [1.0, 1.0]), (5, [2.0]), (5, [2.0]), (6, [])]
     df = knn.quantised(spark.createDataFrame(rows, "vec_id long, e array<double>"), "vec_id", "e")
