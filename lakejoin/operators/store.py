@@ -33,9 +33,10 @@ BUCKETS = 16
 SORT = ["table_id", "col_name"]
 
 
-def fingerprints(lake: Lake) -> DataFrame:
-    """``(table_id, fp)``: changes with any cell, column or name of the table, not
-    with the order of its rows."""
+def fingerprints(lake: Lake, names: bool = False) -> DataFrame:
+    """``(table_id, fp)`` of every table with columns: changes with any cell or
+    column of the table, with ``names`` also with its name, not with the order of
+    its rows.  The catalog's row counts are not needed, so not computed."""
     def sums(df: DataFrame, cols: list[str], name: str) -> DataFrame:
         h = lambda seed: F.xxhash64(F.lit(seed), *cols).cast("decimal(38,0)")
         return df.groupBy("table_id").agg(F.concat_ws("/", F.count(F.lit(1)).cast("string"), F.sum(h(1)).cast("string"),
@@ -43,8 +44,11 @@ def fingerprints(lake: Lake) -> DataFrame:
 
     cells = sums(lake.cells, ["row_idx", "col_idx", "col_name", "value"], "c")
     columns = sums(lake.columns, ["col_idx", "col_name", "description"], "k")
-    return (lake.tables.select("table_id", "table_name").join(cells, "table_id", "left").join(columns, "table_id", "left")
-            .select("table_id", F.md5(F.concat_ws("|", F.coalesce("table_name", F.lit("")), F.coalesce("c", F.lit("")), F.coalesce("k", F.lit("")))).alias("fp")))
+    both = columns.join(cells, "table_id", "left")
+    if names:
+        both = both.join(lake.tables.select("table_id", "table_name"), "table_id", "left")
+    name = F.coalesce("table_name", F.lit("")) if names else F.lit("")
+    return both.select("table_id", F.md5(F.concat_ws("|", name, F.coalesce("c", F.lit("")), "k")).alias("fp"))
 
 
 def part_of(lake: Lake, ids: DataFrame) -> Lake:
@@ -82,10 +86,11 @@ class EmbeddingStore:
             if filled:
                 self.spark.sql(f"MSCK REPAIR TABLE {self.table}")
 
-    def refresh(self, lake: Lake, encode: Callable[[Lake], DataFrame]) -> int:
+    def refresh(self, lake: Lake, encode: Callable[[Lake], DataFrame], names: bool = False) -> int:
         """Bring the store up to the lake; returns how many tables were encoded.
-        ``encode`` gives rows of the store's schema for the lake it is handed."""
-        now = cut_lineage(fingerprints(lake))
+        ``encode`` gives rows of the store's schema for the lake it is handed;
+        ``names``: they depend on the tables' names."""
+        now = cut_lineage(fingerprints(lake, names))
         have = self.manifest()
         if have is None:
             changed, kept, version = now, None, 1

@@ -41,7 +41,7 @@ def stored_column_embeddings(lake: Lake, name: str, dim: int = DEFAULT_DIM, patt
         column = Window.partitionBy("table_id", "col_name")
         return e.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(column)))
 
-    store.refresh(lake, encode)
+    store.refresh(lake, encode, names=pattern == "title-colname-col")     # the only pattern that prints the table's name
     return store.rows()
 
 
