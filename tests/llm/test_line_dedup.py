@@ -60,3 +60,18 @@ def test_repeated_rows_are_one_document(spark):
     df = spark.createDataFrame([(1, "a\nb\nc")] * 2 + [(2, "a\nb\nc")], "doc_id long, text string")
     got = sorted((r[0], r[1]) for r in line_dedup.dedup_lines(df).collect())
     assert got == [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "")]
+
+
+def test_many_lines_in_one_text(spark):
+    """Alternating kept and removed spans; a quadratic cut would take minutes."""
+    import random
+    import time
+    rng = random.Random(3)
+    first = [f"a{i}" for i in range(60_000)]
+    second = []
+    for i in range(0, 60_000, 4):
+        second += first[i:i + 3] + ([f"own{i}"] if rng.random() < 0.9 else [])
+    docs = [(1, "\n".join(first)), (2, "\n".join(second)), (3, "\n".join(second[:100]))]
+    start = time.time()
+    got = {r[0]: r[1] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and time.time() - start < 60
