@@ -5,12 +5,14 @@ probabilities of the earlier ones.  In training these are out-of-fold: a
 document's own fold had no part in the models that scored it, so later models
 learn from probabilities as good as those they meet in use.
 
-* Sample: about MAX_LABELLED labelled documents, chosen by a hash of their id
-  (all, if there are fewer).  The sample's ids are a relation of that bounded
-  size and are broadcast; no text is shuffled.
+* Sample: about MAX_LABELLED labelled documents, one row per (id, text), chosen by
+  a hash of the id (all, if there are fewer) and, where ids stand over more texts
+  than that, by a hash of id and text.  The sample's ids are a relation of that
+  bounded size and are broadcast; only the sample's texts are shuffled.
 * Features: presence of words and of word beginnings of 4 and 5 bytes (a stem
   with unseen endings still shows).  The VOCAB features that tell most about
-  each category are kept (two-proportion z-score over the sample).
+  each category are kept (two-proportion z-score).  A fold's models choose theirs
+  without that fold's labels.
 * Models: L2-regularised logistic regression, fitted by Newton steps, one task
   per fold and one for the whole sample, each over the bounded sample.
 * Folds go by a hash of the text, so equal copies share a fold.
@@ -124,8 +126,13 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: s
     # about ``most`` rows at any input size
     some = shared.staged(one.filter(F.pmod(F.xxhash64("label_id", F.lit(41)), F.lit(1 << 30)) < share))
     rows = (docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-            .join(F.broadcast(some), "label_id")
-            .select(F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "y", "text"))
+            .withColumn("h", F.xxhash64("text")).join(F.broadcast(some), "label_id"))
+    # an id may stand over many rows: bound the rows, too
+    n = rows.select("label_id", "h").distinct().count()
+    if n > 2 * most:
+        rows = rows.filter(F.pmod(F.xxhash64("label_id", "h", F.lit(43)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+    rows = (rows.groupBy("label_id", "h").agg(F.first("y").alias("y"), F.first("text").alias("text"))
+            .select(F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "y", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,29 +149,36 @@ def _sample(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: s
     return shared.staged(shared.mapped(rows, run, "fold int, y array<int>, feats array<bigint>"))
 
 
-def _vocabulary(sample: DataFrame, n_cat: int) -> np.ndarray:
-    total = sample.agg(F.count("*").alias("n"), *[F.sum(F.col("y")[k]).alias(f"p{k}") for k in range(n_cat)]).first()
-    n = total["n"]
-    seen = (sample.select("y", F.explode("feats").alias("f")).groupBy("f")
-            .agg(F.count("*").alias("df"), *[F.sum(F.col("y")[k]).alias(f"d{k}") for k in range(n_cat)])
-            .filter(F.col("df") >= max(MIN_DOCS, n // MIN_SHARE)))
-    seen = shared.staged(seen)
-    out: set[int] = set()
-    for k in range(n_cat):
-        pos = total[f"p{k}"] or 0
-        if pos in (0, n):
-            continue
-        rate = pos / n
-        z = F.abs(F.col(f"d{k}") - F.col("df") * rate) / F.sqrt(F.col("df") * rate * (1 - rate))
-        out |= {r[0] for r in seen.filter(z >= MIN_Z).orderBy(z.desc(), "f").limit(VOCAB).select("f").collect()}     # at most VOCAB
-    return np.sort(np.array(sorted(out), np.int64).view(np.uint64))
+def _vocabulary(sample: DataFrame, n_cat: int) -> dict[int, np.ndarray]:
+    """Features by held-out fold, chosen on the rows of the other folds; -1: on all rows."""
+    kinds = [F.count("*").alias("d"), *[F.sum(F.col("y")[k]).alias(f"d{k}") for k in range(n_cat)]]
+    size = {r["fold"]: r for r in sample.groupBy("fold").agg(*kinds).collect()}       # a row a fold
+    seen = shared.staged(sample.select("fold", "y", F.explode("feats").alias("f")).groupBy("f", "fold").agg(*kinds))
+    out: dict[int, np.ndarray] = {}
+    for held in range(-1, FOLDS):
+        rows = [r for g, r in size.items() if g != held]
+        n = sum(r["d"] for r in rows)
+        mine = (seen.filter(F.col("fold") != held).groupBy("f").agg(*[F.sum(c).alias(c) for c in ("d", *[f"d{k}" for k in range(n_cat)])])
+                .filter(F.col("d") >= max(MIN_DOCS, n // MIN_SHARE)))
+        kept: set[int] = set()
+        for k in range(n_cat):
+            pos = sum(r[f"d{k}"] for r in rows)
+            if pos in (0, n):
+                continue
+            rate = pos / n
+            z = F.abs(F.col(f"d{k}") - F.col("d") * rate) / F.sqrt(F.col("d") * rate * (1 - rate))
+            kept |= {r[0] for r in mine.filter(z >= MIN_Z).orderBy(z.desc(), "f").limit(VOCAB).select("f").collect()}     # at most VOCAB
+        out[held] = np.sort(np.array(sorted(kept), np.int64).view(np.uint64))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str = "doc_id", text_col: str = "text",
         max_labelled: int = MAX_LABELLED) -> Chain:
     sample = _sample(docs, labels, categories, id_col, text_col, max_labelled)
-    vocab = _vocabulary(sample, len(categories))
+    chosen = _vocabulary(sample, len(categories))
+    vocab = np.unique(np.concatenate(list(chosen.values())))       # of all folds
     n_feat = len(vocab)
+    used = {held: np.isin(vocab, v) for held, v in chosen.items()}
     voc = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
         def train(pdf: pd.DataFrame) -> pd.DataFrame:
             held = int(pdf["held"].iloc[0])
             pdf = pdf.sort_values("rid")
-            rows = [np.asarray(x) for x in pdf["x"]]
+            rows = [np.asarray(x, dtype=np.int64) for x in pdf["x"]]
+            rows = [x[used[held][x]] for x in rows]        # features of other folds' choice keep the weight 0
             extra = np.array([list(e) for e in pdf["earlier"]], dtype=float).reshape(len(pdf), k)
             y = np.array([v[k] for v in pdf["y"]], dtype=float)
             use = (pdf["fold"] != held).to_numpy()
@@ -213,8 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
         data = shared.staged(data.join(done.filter("rid >= 0").select("rid", "p"), "rid")
                              .withColumn("earlier", F.concat("earlier", F.array("p"))).drop("p"))
     last = len(categories) - 1
-    # thresholds at hundredths, F0.5 of the out-of-fold probabilities
-    cell = F.round(F.col("earlier")[last] * 100).cast("int")
+    # thresholds at hundredths, F0.5 of the out-of-fold probabilities; cell c: those from c / 100 on
+    p_last = F.col("earlier")[last]
+    low = F.floor(p_last * 100).cast("int")
+    cell = F.when(p_last >= (low + 1) / F.lit(100.0), low + 1).when(p_last < low / F.lit(100.0), low - 1).otherwise(low)
     cells = {r[0]: (r[1], r[2]) for r in data.groupBy(cell).agg(F.count("*"), F.sum(F.col("y")[last])).collect()}
     pos = sum(v[1] for v in cells.values())
     best, threshold = -1.0, 0.5
@@ -224,7 +241,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str =
         f = 1.25 * hit / (n + 0.25 * pos) if n + pos else 0.0
         if f > best + 1e-12:
             best, threshold = f, t / 100
-    return Chain(categories, vocab, weights, threshold)
+    mine = used[-1]
+    return Chain(categories, vocab[mine], [np.concatenate([w[:n_feat][mine], w[n_feat:]]) for w in weights], threshold)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:

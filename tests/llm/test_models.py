@@ -120,3 +120,26 @@ def test_toxicity_odd_rows(spark, odd, empty):
     kept = toxicity.reject(odd, labels.limit(0), ["quality", "toxic"])
     assert kept.columns == odd.columns and kept.count() == odd.count()
     assert toxicity.reject(empty, labels, ["quality", "toxic"]).count() == 0
+
+
+def test_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(i % 100, f"text {i} of words") for i in range(5000)] + [(0, "text 0 of words")] * 300, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    rows = toxicity._sample(docs, labels, ["toxic"], "doc_id", "text", 400).count()
+    assert 250 < rows < 600
+    assert toxicity._sample(docs, labels, ["toxic"], "doc_id", "text", 100_000).count() == 5000       # copies count once
+
+
+def test_features_of_a_fold_are_chosen_without_its_labels(spark):
+    """Feature 7 tells the label in fold 0 only; feature 9 in every other fold."""
+    rows = [(fold, [y], [7] if fold == 0 and y else [9] if fold and y else [5]) for fold in range(4) for y in (0, 1) for _ in range(50)]
+    sample = spark.createDataFrame(rows, "fold int, y array<int>, feats array<bigint>")
+    got = {held: {int(x) for x in v} for held, v in toxicity._vocabulary(sample, 1).items()}
+    assert 7 not in got[0] and 9 in got[0] and 7 in got[1] and {7, 9} <= got[-1]
+
+
+def test_threshold_splits_the_probabilities_as_scoring_does(spark):
+    docs = spark.createDataFrame([(i, ("bad thing" if i % 10 == 0 else "fine thing") + f" n{i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")
+    out = toxicity.score(docs, toxicity.fit(docs, labels, ["toxic"])).collect()
+    assert all(r["rejected"] == (r["doc_id"] % 10 == 0) for r in out)
