@@ -7,8 +7,8 @@ label them.  Other urls are judged by the tree:
    wildcards by shape.  Level by level, under each host and template so far, a
    segment that holds too small a share of its parent's pages becomes ``*``,
    unless its labelled share differs from its siblings' (the test of 3., with
-   SUPPORT labelled pages or more).  Levels are added until no node holds both
-   blocked and allowed labels above longer paths; what is deeper is ``**``.
+   SUPPORT labelled pages or more).  Levels are added until no node of a host
+   holds both blocked and allowed labels above longer paths; what is deeper is ``**``.
 2. *Purity.*  Each node counts labelled pages and blocked ones.  The chance of
    ``block`` at a node is smoothed towards its parent:
    (blocked + K * parent) / (labelled + K).
@@ -100,9 +100,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url")
     path_t: list[str] = []
 
     def divided(below: DataFrame) -> bool:
-        """Does a node hold both kinds of labels above longer paths?"""
+        """Does a node of one host hold both kinds of labels above longer paths?  Hosts
+        that differ from each other are told apart without any level."""
         deep = F.max(F.size(s) > len(path_t))
-        return bool(below.groupBy(*path_t).agg(F.sum("b").alias("b"), F.sum("n").alias("n"), deep.alias("deep"))
+        return bool(below.groupBy("host", *path_t).agg(F.sum("b").alias("b"), F.sum("n").alias("n"), deep.alias("deep"))
                     .filter("deep and 0 < b and b < n").limit(1).count())
 
     while len(path_t) < LEVELS or len(path_t) < longest and divided(leaves):

@@ -77,3 +77,15 @@ def test_nothing_labelled_and_clashing_names(spark):
     assert out.columns[:4] == ["page_id", "url", "host", "host_"]
     assert {r["verdict"] for r in out.collect()} == {"allow"}
     assert url_filter.judge(df.limit(0), URL_RULES).count() == 0
+
+
+def test_deep_paths_of_unlike_hosts_open_no_levels(spark, monkeypatch):
+    """One host is blocked, the other allowed: nothing divides within a host, however deep the paths."""
+    tables = []
+    staged = url_filter.shared.staged
+    monkeypatch.setattr(url_filter.shared, "staged", lambda df: tables.append(1) or staged(df))
+    deep = "/".join(f"s{i}" for i in range(41))
+    rows = [(i, f"http://{'example.com/en' if i % 2 else 'example.com/de'}/{deep}/p{i}".replace("example.com/de", "good.com/de")) for i in range(40)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), URL_RULES).collect()
+    assert all(r["verdict"] == ("block" if r["page_id"] % 2 else "allow") for r in got)
+    assert len(tables) <= 2 * url_filter.LEVELS + 4
