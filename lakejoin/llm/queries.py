@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakejoin.llm import (bpe, centroids, chat, codes, decontaminate, jaccard, knn, language, line_dedup, pii, sharding, shared, toxicity,
-                          url_filter)
+from lakejoin.llm import (bpe, centroids, chat, codes, decontaminate, jaccard, knn, language, line_dedup, pii, reference_sql, sharding, shared,
+                          toxicity, url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,7 +107,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-@register("op8_ngram_jaccard_join")
+@register("op8_ngram_jaccard_join", reference_sql.JACCARD_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(shared.spread(shared.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -119,7 +119,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("pii").alias("n_pii"), "pii", F.md5("text").alias("text_md5"))
 
 
-@register("op10_winnowing_decontamination")
+@register("op10_winnowing_decontamination", reference_sql.WINNOWING_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.spread(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = decontaminate.contamination(docs, shared.table(spark, sf_dir, "benchmark"))
