@@ -87,3 +87,10 @@ def parse_int_list(text: Column) -> Column:
     ints = F.transform(F.filter(items, lambda x: x != ""), lambda x: x.cast("int"))
     kept = F.array_sort(F.array_distinct(F.filter(ints, lambda x: x.isNotNull())))
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit(DEFAULT_K)))
+
+
+def parse_key_indices(text: Column) -> Column:
+    """Comma list -> ints in their order, repeats kept; NULL (no override) for
+    null or blank text.  A blank or non-numeric item is an error, as in a strict parse."""
+    items = F.transform(F.split(text, ",", -1), lambda x: strip(x).cast("int"))
+    return F.when(text.isNotNull() & (strip(text) != ""), items)

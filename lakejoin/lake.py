@@ -4,8 +4,9 @@
 ``columns`` : table_id, col_idx, col_name, description, key_pos
 ``cells``   : table_id, row_idx, col_idx, col_name, value
 
-``key_pos`` is the position of the column in the table's join-key list (NULL
-when the column is not a key).  ``value`` is text (NULL for a missing cell).
+``key_pos`` is the position of the column in the table's join-key list, counting
+each column once (NULL when the column is not a key).  ``keys``, if a source gives
+it, is that list as it stands, repeats included: table_id, key_pos, col_idx.  ``value`` is text (NULL for a missing cell).
 """
 
 from __future__ import annotations
@@ -27,6 +28,13 @@ class Lake:
     tables: DataFrame
     columns: DataFrame
     cells: DataFrame
+    keys: DataFrame | None = None
+
+    def key_list(self) -> DataFrame:
+        """(table_id, key_pos, col_idx): the declared join keys in their order, repeats included."""
+        if self.keys is not None:
+            return self.keys.select("table_id", "key_pos", "col_idx")
+        return self.key_columns().select("table_id", "key_pos", "col_idx")
 
     def key_columns(self) -> DataFrame:
         """(table_id, key_pos, col_idx, col_name) of the declared join keys."""
@@ -39,7 +47,7 @@ class Lake:
         return self.cells.join(keys, ["table_id", "col_idx"], "left_semi")
 
     def persist(self) -> "Lake":
-        return Lake(self.tables.cache(), self.columns.cache(), self.cells.cache())
+        return Lake(self.tables.cache(), self.columns.cache(), self.cells.cache(), self.keys.cache() if self.keys is not None else None)
 
 
 def tables_from_parts(columns: DataFrame, cells: DataFrame, positions: DataFrame,

@@ -39,7 +39,9 @@ def key_columns_a(lake: Lake) -> DataFrame:
 
 def key_columns_b(lake: Lake, override: list[int] | None = None) -> DataFrame:
     """Key choice per table: override (range-filtered; no valid index ->
-    no key) > declared keys > all columns.  (table_id, key_pos, col_idx, col_name)."""
+    no key) > declared keys > all columns.  Order and repeats of both lists are
+    kept: a repeated index is a key position each time.  (table_id, key_pos,
+    col_idx, col_name)."""
     cols = lake.columns
     if override is not None:
         ov = F.array(*[F.lit(int(i)) for i in override]) if override else F.array().cast("array<int>")
@@ -48,9 +50,11 @@ def key_columns_b(lake: Lake, override: list[int] | None = None) -> DataFrame:
                         .alias("key_pos", "col_idx"))
         return keys.join(cols.select("table_id", "col_idx", "col_name"), ["table_id", "col_idx"]) \
             .select("table_id", "key_pos", "col_idx", "col_name")
-    declared = cols.where(F.col("key_pos").isNotNull())
-    fallback = cols.join(declared.select("table_id").distinct(), "table_id", "left_anti").withColumn("key_pos", F.col("col_idx"))
-    return declared.unionByName(fallback).select("table_id", "key_pos", "col_idx", "col_name")
+    listed = lake.key_list()
+    declared = listed.join(cols.select("table_id", "col_idx", "col_name"), ["table_id", "col_idx"])
+    fallback = (cols.join(listed.select("table_id").distinct(), "table_id", "left_anti")
+                .select("table_id", F.col("col_idx").alias("key_pos"), "col_idx", "col_name"))
+    return declared.select("table_id", "key_pos", "col_idx", "col_name").unionByName(fallback)
 
 
 def valid_tables(lake: Lake, min_columns: int = 2) -> DataFrame:
@@ -62,6 +66,11 @@ def valid_tables(lake: Lake, min_columns: int = 2) -> DataFrame:
         "table_id", "n_cols", "valid")
 
 
+def validity_counts(validity: DataFrame) -> DataFrame:
+    """``(n_valid, n_skipped)`` of :func:`valid_tables`; one row, zeros for no table."""
+    return validity.agg(F.count_if("valid").alias("n_valid"), F.count_if(~F.col("valid")).alias("n_skipped"))
+
+
 def positive_filter(pairs: DataFrame, lake: Lake) -> DataFrame:
     """label = 1 and both (table, column) exist."""
     cols = lake.columns.select("table_id", "col_name")
@@ -79,4 +88,5 @@ def merge_lakes(first: Lake, second: Lake, winner: str = "second") -> Lake:
     keep = lambda df: df.join(lose_ids, "table_id", "left_semi")
     return Lake(win.tables.unionByName(keep(lose.tables)),
                 win.columns.unionByName(keep(lose.columns)),
-                win.cells.unionByName(keep(lose.cells)))
+                win.cells.unionByName(keep(lose.cells)),
+                win.key_list().unionByName(keep(lose.key_list())) if win.keys is not None or lose.keys is not None else None)

@@ -53,7 +53,7 @@ def fingerprints(lake: Lake, names: bool = False) -> DataFrame:
 
 def part_of(lake: Lake, ids: DataFrame) -> Lake:
     keep = lambda df: df.join(ids, "table_id", "left_semi")
-    return Lake(keep(lake.tables), keep(lake.columns), keep(lake.cells))
+    return Lake(keep(lake.tables), keep(lake.columns), keep(lake.cells), keep(lake.keys) if lake.keys is not None else None)
 
 
 class EmbeddingStore:

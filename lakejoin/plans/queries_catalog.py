@@ -223,6 +223,15 @@ def valid_tables(spark, sf):
     return C.valid_tables(T.conversations_lake(spark, sf), 2)
 
 
+@register("valid_table_counts", f"""WITH {CONV},
+v AS (SELECT t.table_id, (SELECT count(*) FROM columns c WHERE c.table_id = t.table_id) >= 2
+             AND EXISTS (SELECT 1 FROM cells c WHERE c.table_id = t.table_id) AS valid FROM tables t)
+SELECT count(*) FILTER (WHERE valid) AS n_valid, count(*) FILTER (WHERE NOT valid) AS n_skipped FROM v""")
+def valid_table_counts(spark, sf):
+    """Valid and skipped tables of the conversation lake."""
+    return C.validity_counts(C.valid_tables(T.conversations_lake(spark, sf), 2))
+
+
 def _keys_only(lake: Lake) -> Lake:
     kc = lake.key_columns().select("table_id", "col_idx")
     return Lake(lake.tables, lake.columns.join(kc, ["table_id", "col_idx"], "left_semi"),

@@ -105,14 +105,14 @@ def lake_from_documents(docs: DataFrame, layout: str = "row_major", dedupe: str
     (B keeps raw rows: empty rows vanish, short rows are padded later)."""
     docs = _numbered(_dedupe(docs, dedupe))
     d = docs.select("table_pos", F.col("doc.*"))
+    listed = F.filter(F.coalesce("join_key_indices", F.array().cast("array<int>")), lambda i: (i >= 0) & (i < F.size("columns")))
+    keys = d.select("table_id", F.posexplode(listed).alias("key_pos", "col_idx"))
     columns = d.select("table_id", F.posexplode("columns").alias("col_idx", "col_name"),
-                       F.col("descriptions"), F.array_distinct(F.filter(
-                           F.coalesce("join_key_indices", F.array().cast("array<int>")),
-                           lambda i: (i >= 0) & (i < F.size("columns")))).alias("keys"))
+                       F.col("descriptions"), F.array_distinct(listed).alias("keys"))
     columns = columns.select(
         "table_id", "col_idx", "col_name",
         F.try_element_at(F.coalesce("descriptions", F.array().cast("array<string>")), (F.col("col_idx") + 1).cast("int")).alias("description"),
-        # position among the listed indices that exist; a repeated index counts once
+        # position among the listed indices that exist; a repeated index counts once here, and each time in ``keys``
         F.when(F.array_position("keys", F.col("col_idx")) > 0, F.array_position("keys", F.col("col_idx")) - 1)
         .cast("int").alias("key_pos"))
     ncol = F.size("columns")
@@ -144,7 +144,7 @@ def lake_from_documents(docs: DataFrame, layout: str = "row_major", dedupe: str
     else:
         raise ValueError(f"unknown layout {layout}")
     positions = d.select("table_id", "table_pos", "base_id", "partition")
-    return Lake(tables_from_parts(columns, cells, positions), columns, cells)
+    return Lake(tables_from_parts(columns, cells, positions), columns, cells, keys)
 
 
 def ragged_to_rows(lake: Lake, col_indices: list[int]) -> DataFrame:

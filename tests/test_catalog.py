@@ -34,3 +34,35 @@ def test_folder_and_leaf(spark):
     df = spark.createDataFrame([("a\\b/c.csv",), ("c",)], "n string")
     got = [tuple(r) for r in df.select(folder_of(F.col("n")), leaf_of(F.col("n")), strip_csv(F.col("n"))).collect()]
     assert got == [("a/b", "c.csv", "a\\b/c"), (None, "c", "c")]
+
+
+def test_declared_keys_keep_order_and_repeats(spark, tmp_path):
+    import json
+    from lakejoin.operators.catalog import key_columns_b, merge_lakes
+    from lakejoin.operators.encode import key_rows
+    from lakejoin.sources.json_tables import read_table_documents
+    tables = [{"table_id": "a", "columns": ["x", "y", "z"], "join_key_indices": [2, 0, 9, 2], "cells": [["1", "2", "3"]]},
+              {"table_id": "b", "columns": ["x", "y"], "join_key_indices": [7, -1], "cells": [["4", "5"]]},
+              {"table_id": "c", "columns": ["x"], "cells": [["6"]]}]
+    (tmp_path / "t.json").write_text(json.dumps(tables))
+    lake = read_table_documents(spark, str(tmp_path / "t.json"))
+    got = sorted((r.table_id, r.key_pos, r.col_name) for r in key_columns_b(lake).collect())
+    want = [("a", 0, "z"), ("a", 1, "x"), ("a", 2, "z"), ("b", 0, "x"), ("b", 1, "y"), ("c", 0, "x")]
+    assert got == want
+    assert [r.value for r in key_rows(lake).where("table_id = 'a'").orderBy("key_pos").collect()] == ["3", "1", "3"]
+    over = sorted((r.table_id, r.key_pos, r.col_name) for r in key_columns_b(lake, [1, 0, 1, 5]).collect())
+    assert over == [("a", 0, "y"), ("a", 1, "x"), ("a", 2, "y"), ("b", 0, "y"), ("b", 1, "x"), ("b", 2, "y"), ("c", 0, "x")]
+    assert sorted((r.table_id, r.key_pos, r.col_name) for r in key_columns_b(merge_lakes(lake, lake)).collect()) == want
+
+
+def test_validity_counts_and_key_index_lists(spark):
+    import pytest
+    from lakejoin.functions.text import parse_key_indices
+    from lakejoin.operators.catalog import validity_counts
+    v = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "table_id string, valid boolean")
+    assert [tuple(r) for r in validity_counts(v).collect()] == [(2, 1)]
+    assert [tuple(r) for r in validity_counts(v.limit(0)).collect()] == [(0, 0)]
+    df = spark.createDataFrame([(0, " 2, 0,2"), (1, " "), (2, None), (3, "-1")], "i int, t string")
+    assert [r.k for r in df.select("i", parse_key_indices(F.col("t")).alias("k")).orderBy("i").collect()] == [[2, 0, 2], None, None, [-1]]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        df.select(parse_key_indices(F.lit("1,,2"))).collect()
