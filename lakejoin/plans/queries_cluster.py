@@ -76,7 +76,7 @@ def cluster_fallback_mean(spark, sf):
 
 # ---- H3 / H5 / H6 / A8 (iterative: checked against a numpy run in tests/) ----------------------
 def _clusters(spark, sf):
-    return CL.hierarchical_clusters(desc_vectors(spark, sf), CL.N_LAYERS, blocks=2)
+    return CL.hierarchical_clusters(desc_vectors(spark, sf), CL.N_LAYERS)
 
 
 @register("affinity_clusters")
