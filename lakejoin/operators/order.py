@@ -31,17 +31,17 @@ def seeded_int(seed: int, modulus: int, *cols) -> Column:
 
 def global_index(df: DataFrame, order: list[Column], name: str = "idx") -> DataFrame:
     """Dense 0-based index in ``order`` (a total order), distributed."""
-    s = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+    # the ids depend on physical partitioning, and a plan that counts the rows needs
+    # fewer columns, so it may be partitioned otherwise: materialise the sorted rows
+    # first (reliable checkpoint in the shared folder), then count what is there
+    s = cut_lineage(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
     s = s.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), 33))
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn("_off", F.coalesce(
         F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # one row per partition: tiny by construction
-    out = (s.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-           .withColumn(name, F.col("_off") + F.col("_pos")).drop("_mid", "_pid", "_pos", "_off"))
-    # the ids depend on physical partitioning: materialise them once (reliable
-    # checkpoint in the shared folder) so every later use sees the same index
-    return cut_lineage(out)
+    return (s.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
+            .withColumn(name, F.col("_off") + F.col("_pos")).drop("_mid", "_pid", "_pos", "_off"))
 
 
 def batches(df: DataFrame, batch_size: int, order: list[Column], drop_last: bool = False,

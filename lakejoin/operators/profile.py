@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lakejoin.functions.text import VALUE_JOIN, fmt_1f, n_words
 from lakejoin.lake import Lake
+from lakejoin.operators.order import global_index
 
 # Sequence budget of the column text (384 positions minus 150
 # reserved for title, name and statistics) and the per-value cut.
@@ -76,6 +77,20 @@ def rank_values(freq: DataFrame, lake_freq: DataFrame | None = None,
     return out
 
 
+def rank_all_values(freq: DataFrame, lake_freq: DataFrame | None = None) -> DataFrame:
+    """W1 for the whole ranking: the same ``rn`` as :func:`rank_values` without a
+    limit, by a range sort over all columns and the offset of each column, so a
+    column of any number of distinct values is spread over many tasks."""
+    if lake_freq is not None:
+        freq = freq.join(lake_freq.select("value", F.col("freq").alias("lake_freq")), "value", "left") \
+            .withColumn("order_freq", F.coalesce("lake_freq", F.lit(0)))
+    else:
+        freq = freq.withColumn("order_freq", F.col("freq"))
+    at = global_index(freq, [*[F.col(c) for c in KEY], F.desc("order_freq"), F.asc("first_row")], "_at")
+    start = at.groupBy(*KEY).agg(F.min("_at").alias("_start"))
+    return at.join(start, KEY).withColumn("rn", F.col("_at") - F.col("_start") + 1).drop("_at", "_start")
+
+
 def sample_values(ranked: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
     """P2 + W2: the longest prefix of the ranking whose token cost fits the
     budget (cost = tokens of the 200-char cut + 1 separator after the first);
