@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from lakejoin.functions.hashing import DEFAULT_DIM
 from lakejoin.operators.profile import DEFAULT_BUDGET, VALUE_CUT
-from lakejoin.sources.testdata import STAR_LINKS, STAR_SPEC
+from lakejoin.sources.testdata import FRACTIONS, STAR_LINKS, STAR_SPEC
 
 
 def q(s: str) -> str:
@@ -26,12 +26,16 @@ def row_id(row_expr: str) -> str:
     return row_expr
 
 
+def cell_text(c: str) -> str:
+    return f"CAST({f'TRY_CAST({c} AS DECIMAL(38, 6))' if c in FRACTIONS else c} AS VARCHAR)"
+
+
 def star_cells() -> str:
     parts = []
     for name, row_expr, cols, _ in STAR_SPEC:
         for i, c in enumerate(cols):
             parts.append(f"SELECT {q(name)} AS table_id, CAST({row_id(row_expr)} AS BIGINT) AS row_idx, {i} AS col_idx, "
-                         f"{q(c)} AS col_name, CAST({c} AS VARCHAR) AS value FROM {name}")
+                         f"{q(c)} AS col_name, {cell_text(c)} AS value FROM {name}")
     return "\nUNION ALL ".join(parts)
 
 

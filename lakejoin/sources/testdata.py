@@ -1,7 +1,7 @@
 """Lakes derived from the driver's parquet tables (one scan per table).
 
-* star lake   - integer and string columns of the TPC-H-like tables, one lake
-                table per parquet table, declared key links as ground truth.
+* star lake   - all tables with all columns but the vectors, one lake table per
+                parquet table, declared key links as ground truth.
 * events lake - one small table per ``user_id`` (columns event_type, props).
 * conv lake   - one small table per ``conv_id`` (columns role, text).
 * vector lake - one table per embedding ``label``, rows are vectors.
@@ -23,19 +23,27 @@ from lakejoin.session import cut_lineage
 STAR_SPEC: list[tuple[str, str, list[str], list[str]]] = [
     ("region", "r_regionkey", ["r_regionkey", "r_name"], ["r_regionkey"]),
     ("nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey", "n_regionkey"]),
-    ("customer", "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], ["c_custkey", "c_nationkey"]),
-    ("supplier", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey"], ["s_suppkey", "s_nationkey"]),
-    ("part", "p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], ["p_partkey"]),
-    ("orders", "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], ["o_orderkey", "o_custkey"]),
+    ("customer", "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], ["c_custkey", "c_nationkey"]),
+    ("supplier", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], ["s_suppkey", "s_nationkey"]),
+    ("part", "p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], ["p_partkey"]),
+    ("orders", "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], ["o_orderkey", "o_custkey"]),
     ("lineitem", "hash:l_orderkey,l_linenumber,l_partkey,l_suppkey,l_returnflag,l_linestatus",
-     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+      "l_returnflag", "l_linestatus", "l_shipdate"],
      ["l_orderkey", "l_partkey", "l_suppkey"]),
-    ("documents", "doc_id", ["doc_id", "lang", "source"], ["doc_id"]),
+    ("documents", "doc_id", ["doc_id", "text", "lang", "source", "n_chars"], ["doc_id"]),
     ("labels", "doc_id", ["doc_id", "quality", "toxic"], ["doc_id"]),
-    ("events", "event_id", ["event_id", "user_id", "event_type"], ["event_id", "user_id"]),
-    ("conversations", "hash:conv_id,turn", ["conv_id", "turn", "role"], ["conv_id"]),
+    ("events", "event_id", ["event_id", "ts", "user_id", "event_type", "value", "props"], ["event_id", "user_id"]),
+    ("conversations", "hash:conv_id,turn", ["conv_id", "turn", "role", "text"], ["conv_id"]),
+    ("embeddings", "vec_id", ["vec_id", "label"], ["vec_id"]),
+    ("pages", "page_id", ["page_id", "url", "html"], ["page_id"]),
+    ("benchmark", "item_id", ["item_id", "text"], ["item_id"]),
 ]
 
+# Columns of the star lake that are numbers with a fraction: their cells are printed
+# with six decimals, so that every engine prints the same text.
+FRACTIONS = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"}
+
 # Fixed candidate key links of the star lake: (table1, column1, table2, column2).  A link
 # counts only where the data bear it out, see :func:`star_links`.
 STAR_LINKS: list[tuple[str, str, str, str]] = [
@@ -79,10 +87,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
+def _text(df: DataFrame, c: str):
+    fraction = c in FRACTIONS and df.schema[c].dataType.simpleString() in ("double", "float")
+    return (F.col(c).try_cast("decimal(38,6)") if fraction else F.col(c)).cast("string")
+
+
 def _unpivot(df: DataFrame, table_id, row_expr: str, cols: list[str]) -> DataFrame:
     """Wide -> long cells with one generator (one scan, pruned columns)."""
     structs = [F.struct(F.lit(i).alias("col_idx"), F.lit(c).alias("col_name"),
-                        F.col(c).cast("string").alias("value")) for i, c in enumerate(cols)]
+                        _text(df, c).alias("value")) for i, c in enumerate(cols)]
     tid = F.lit(table_id) if isinstance(table_id, str) else table_id
     # ids first (once per input row), then the generator
     base = df.select(tid.alias("table_id"), F.expr(row_id_sql(row_expr)).cast("long").alias("row_idx"), *cols)
