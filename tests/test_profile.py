@@ -47,3 +47,26 @@ def test_lake_frequency_ranking(spark):
     lf = spark.createDataFrame([("x", 10)], "value string, freq long")
     order = [r.value for r in P.rank_values(P.value_frequency(lake.cells), lf).orderBy("rn").collect()]
     assert order == ["x", "y"]
+
+
+def test_long_values_move_as_short_keys(spark):
+    """Values that differ beyond the cut stay apart, and a group's row does not grow with its value."""
+    from pyspark.sql import functions as F
+    from lakejoin.operators import profile as P
+    long = "x" * 5000
+    vals = [long + "a", long + "b", long + "a", "y", None, "z" * P.VALUE_CUT]
+    cells = spark.createDataFrame([("t", i, 0, "c", v) for i, v in enumerate(vals)], "table_id string, row_idx long, col_idx int, col_name string, value string")
+    short, whole = P.short_groups(cells), P.value_groups(cells)
+    assert short.agg(F.max(F.length("value"))).first()[0] <= P.VALUE_CUT + 64
+    assert P.column_profile(short).collect() == P.column_profile(whole).collect()
+    key = lambda g: sorted((r.freq, r.first_row, (r.value or "")[:P.VALUE_CUT]) for r in g.collect())
+    assert key(short) == key(whole)
+
+
+def test_columns_are_joined_without_a_shuffle_by_column(spark):
+    from lakejoin.operators import profile as P
+    cells = spark.createDataFrame([(f"t{i % 3}", i, 0, "c", str(i)) for i in range(999)], "table_id string, row_idx long, col_idx int, col_name string, value string")
+    need = spark.createDataFrame([("t1", "c"), ("t2", "other")], "table_id string, col_name string")
+    out = P.by_column(cells, need, "left_semi")
+    assert out.count() == 333
+    assert "hashpartitioning(table_id" not in out._jdf.queryExecution().executedPlan().toString()
