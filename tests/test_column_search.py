@@ -82,3 +82,26 @@ def test_empty_sides(spark):
     keys = df.select("table_id", "col_name").distinct()
     assert S.table_search_columns(df, df.limit(0), keys, 3).count() == 0
     assert S.table_search_columns(df.limit(0), df, keys.limit(0), 3).count() == 0
+
+
+@pytest.mark.parametrize("k, exclude_self", [(1, False), (3, True), (100, False)])
+def test_blocks_equal_the_bounded_search(spark, monkeypatch, k, exclude_self):
+    """Several blocks and tiles, equal columns, ties: the same rows, scores to the last bit."""
+    monkeypatch.setattr(S, "TILE_ROWS", 4)
+    emb = embeddings(k + 20)
+    df, keys = frame(spark, emb), spark.createDataFrame(list(emb), "table_id string, col_name string")
+    want = sorted(map(tuple, S.table_search_columns(df, df, keys, k, exclude_self, path="sparse").collect()))
+    for blocks in ((None, None), (3, 2)):
+        assert sorted(map(tuple, S.table_search_columns_blocks(df, df, keys, k, exclude_self, *blocks).collect())) == want
+
+
+def test_columns_that_share_most_words_go_by_blocks(spark, monkeypatch):
+    """Each pair shares most dimensions: the join would meet every pair on each of them."""
+    def never(*_):
+        raise AssertionError("the join was taken")
+    rows = [(f"t{t:02d}", "c", d, 1 + (t * d) % 3) for t in range(30) for d in range(20)]
+    df = spark.createDataFrame(rows, EMB)
+    keys = df.select("table_id", "col_name").distinct()
+    want = sorted(map(tuple, S.table_search_columns(df, df, keys, 5, path="sparse").collect()))
+    monkeypatch.setattr(S, "ColumnSearch", never)
+    assert sorted(map(tuple, S.table_search_columns(df, df, keys, 5).collect())) == want
