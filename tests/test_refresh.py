@@ -63,3 +63,21 @@ def test_clusters_of_descriptions_feed_the_losses(spark, tmp_path):
     assert set(got) == {0, 1} and all(abs(r.total_loss - r.key_loss - r.cent_loss) < 1e-12 for r in got.values())
     none = centroid_loss(samples, store.centroids().limit(0), store.assignments())
     assert {r.cent_loss for r in none.collect()} == {0.0}
+
+
+def test_matrix_blocks_grow_with_the_vectors():
+    """What is sent is a copy of each vector a block of the other side: their number is bounded by the task slots."""
+    from lakejoin.operators.cluster import MATRIX_BLOCK, matrix_blocks
+    assert [matrix_blocks(n, 12) for n in (1, 1024, 5000, 20_000, 100_000, 600_000)] == [1, 1, 5, 10, 10, 10]
+    assert matrix_blocks(100 * MATRIX_BLOCK, 12) == 100
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_matrix_stats_by_tiles(spark, monkeypatch, blocks):
+    """Several tiles a block, on and off the diagonal: the same count, least value and median."""
+    from lakejoin.operators import cluster
+    monkeypatch.setattr(cluster, "MATRIX_TILE", 7)
+    x = np.random.default_rng(9).integers(-9, 9, (60, 3)).astype(float)
+    s = -((x[:, None] - x[None]) ** 2).sum(axis=2)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "idx long, vec array<double>")
+    assert matrix_stats(df, blocks, 4) == (3600, s.min(), np.median(s))
