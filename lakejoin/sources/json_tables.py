@@ -229,8 +229,8 @@ def write_array(docs: DataFrame, path: str, n_files: int | None = None, wrapped:
         import pyarrow as pa
         before = head
         for batch in batches:
-            if batch.num_rows:
-                rows = batch.column(0).to_pylist()
+            for at in range(0, batch.num_rows, 256):          # a batch can hold many long documents
+                rows = batch.column(0).slice(at, 256).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([before + rows[0], *["," + r for r in rows[1:]]], pa.string())], names=["value"])
                 before = ","
         yield pa.RecordBatch.from_arrays([pa.array([(head if before == head else "") + tail], pa.string())], names=["value"])

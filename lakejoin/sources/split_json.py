@@ -39,6 +39,8 @@ from lakejoin.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+SCAN_BYTES = 1 << 18     # text looked through at once: the positions take some thirty times its size
+
 _WRAPPER = r'(?s)^\s*\{.*"tables"\s*:\s*\['
 
 
@@ -73,16 +75,28 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bool, p
 
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file, block, odd, outside, inside) of each slice of a block."""
-    rows = []
+    """(file, block, odd, outside, inside) of each slice of a block, SCAN_BYTES at once."""
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("odd", pa.int32()), ("outside", pa.int64()), ("inside", pa.int64())])
     for file, block, _, part in _runs(batches):
-        text = "}".join([x or "" for x in part.column("value").to_pylist()]).encode() + b"}"
-        _, step, before = _scan(text)
-        n = text.count(b'"')
-        quotes = n if b"\\" not in text else len(_real_quotes(text))
-        rows.append((file, block, quotes % 2, int(step[before % 2 == 0].sum()), int(step[before % 2 == 1].sum())))
-        yield pa.RecordBatch.from_pylist([dict(zip(("file", "block", "odd", "outside", "inside"), rows.pop()))],
-                                         schema=pa.schema([("file", pa.string()), ("block", pa.int64()), ("odd", pa.int32()), ("outside", pa.int64()), ("inside", pa.int64())]))
+        for text in _texts(part):
+            _, step, before = _scan(text)
+            n = text.count(b'"')
+            quotes = n if b"\\" not in text else len(_real_quotes(text))
+            yield pa.RecordBatch.from_pylist([{"file": file, "block": block, "odd": quotes % 2, "outside": int(step[before % 2 == 0].sum()),
+                                               "inside": int(step[before % 2 == 1].sum())}], schema=schema)
+
+
+def _texts(part: pa.RecordBatch) -> Iterator[bytes]:
+    """The pieces of a slice, joined up to SCAN_BYTES; each piece is whole."""
+    held, size = [], 0
+    for value in part.column("value"):
+        held.append((value.as_py() or "").encode())
+        size += len(held[-1]) + 1
+        if size >= SCAN_BYTES:
+            yield b"}".join(held) + b"}"
+            held, size = [], 0
+    if held:
+        yield b"}".join(held) + b"}"
 
 
 def _real_quotes(text: bytes) -> np.ndarray:
@@ -125,9 +139,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = part.slice(0, 1).to_pylist()[0]
             depth, in_string, base = first["depth"] or 0, first["in_string"] or 0, first["base"]
             lead = depth > base
-        out = []
-        for value in part.column("value").to_pylist():
-            piece = (value or "") + "}"
+        out, size = [], 0
+        for value in part.column("value"):
+            piece = (value.as_py() or "") + "}"
             text = piece.encode()
             at, step, before = _scan(text)
             real = (before + in_string) % 2 == 0
@@ -144,6 +158,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if open_ is not None and depth <= base:
                 out.append({"file": file, "block": block, "n": n, "lead": lead, "whole": not lead, "text": "".join(held)})
                 held, lead, n = [], False, n + 1
+                size += len(out[-1]["text"])
+                if size >= SCAN_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out, size = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
     if held:
@@ -164,7 +182,8 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     head = F.broadcast(cut_lineage(head.where("base <> 1")))                   # files that are no plain array
     known = (pieces.join(states, ["file", "block"], "left").join(head, "file", "left")
              .select("file", "block", "value", "in_string", "depth", F.coalesce("base", F.lit(1)).alias("base")))
-    got = known.mapInArrow(_cut, "file string, block bigint, n bigint, lead boolean, whole boolean, text string")
+    # read several times, by each relation of the lake: cut once
+    got = cut_lineage(known.mapInArrow(_cut, "file string, block bigint, n bigint, lead boolean, whole boolean, text string"))
     parts = cut_lineage(got.where("not whole"))                                # at most two a block
     order = Window.partitionBy("file").orderBy("block", "n")
     parts = parts.withColumn("of", F.sum(F.when(F.col("lead"), 0).otherwise(1)).over(order))

@@ -61,3 +61,19 @@ def test_array_writer(spark, small_splits, tmp_path):
         assert {(r.table_id, r.value) for r in lake.cells.collect()} == {(f"t{i}", str(i)) for i in range(30)}
     write_array(df.limit(0), str(tmp_path / "empty"))
     assert read_table_documents(spark, str(tmp_path / "empty")).tables.count() == 0
+
+
+def test_text_is_looked_through_in_bounded_pieces(spark, tmp_path, monkeypatch):
+    """A batch of many long pieces is scanned some bytes at once, with the same objects, and cut once for all readers."""
+    import pyarrow as pa
+
+    from lakejoin.sources import split_json
+    part = pa.RecordBatch.from_pylist([{"value": "x" * 1000}] * 2000)
+    texts = list(split_json._texts(part))
+    assert b"".join(texts) == (b"x" * 1000 + b"}") * 2000 and len(texts) > 5 and max(map(len, texts)) <= split_json.SCAN_BYTES + 1001
+    docs = [{"table_id": f"t{i}", "columns": ['a "}', "b\\"], "cells": [["}{[" * (i % 9), "\\\""], [None, "]"]]} for i in range(300)]
+    (tmp_path / "docs.json").write_text(json.dumps(docs))
+    monkeypatch.setattr(split_json, "SCAN_BYTES", 100)
+    found = split_json.elements(spark, str(tmp_path))
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [json.loads(r.value) for r in found.orderBy("file", "block", "n").collect()] == docs
