@@ -20,3 +20,18 @@ def test_whole_ranking_equals_the_window(spark):
     key = ["table_id", "col_name", "value", "rn"]
     want = sorted(map(tuple, P.rank_values(freq).select(*key).collect()))
     assert sorted(map(tuple, P.rank_all_values(freq).select(*key).collect())) == want
+
+
+def test_tasks_of_the_sort_grow_with_the_rows(spark, monkeypatch):
+    """With the number of rows known, a task sorts some of them only; ties, NULL and the order stay."""
+    from pyspark.sql import functions as F
+
+    from lakejoin.operators import order
+    df = spark.range(6000).select(F.when(F.col("id") % 50 > 0, F.pmod(F.xxhash64("id"), F.lit(97))).alias("k"), "id")
+    by = [F.col("k"), F.col("id")]
+    want = [tuple(r) for r in order.global_index(df, by).orderBy("idx").collect()]
+    monkeypatch.setattr(order, "SORT_ROWS", 200)
+    found = order.global_index(df, by, rows=6000)
+    sizes = [r[0] for r in found.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 20 and max(sizes) < 600
+    assert [tuple(r) for r in found.orderBy("idx").collect()] == want
