@@ -70,3 +70,16 @@ def test_columns_are_joined_without_a_shuffle_by_column(spark):
     out = P.by_column(cells, need, "left_semi")
     assert out.count() == 333
     assert "hashpartitioning(table_id" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profile_and_ranking_read_one_exchange_of_the_values(spark):
+    """Column texts group the cells once; columns of NULL only, of empty texts and with NULL row ids keep their profile."""
+    rows = [("t", i, 0, "a", v) for i, v in enumerate(["x", None, "yy", "x"])] + [("t", None, 1, "b", None), ("t", 1, 2, "c", ""), ("t", 2, 2, "c", None)]
+    cells = spark.createDataFrame(rows, "table_id string, row_idx long, col_idx int, col_name string, value string")
+    columns = spark.createDataFrame([("t", i, c, None, None) for i, c in enumerate("abcd")],
+                                    "table_id string, col_idx int, col_name string, description string, key_pos int")
+    df = P.column_text(Lake(None, columns, cells), "colname-stat-col")
+    got = {r.col_name: r.text for r in df.collect()}
+    assert got == {"a": "a contains 3 values (2, 1, 1.3): x, yy", "b": "b contains 1 values (0, 0, 0.0): ",
+                   "c": "c contains 2 values (0, 0, 0.0): ", "d": "d contains 0 values (0, 0, 0.0): "}
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
