@@ -26,15 +26,16 @@ Steps:
    order, sets with the most frequent tokens first, each is compared with up to
    LEADERS leaders of its key and joins the first it links with (an exact test);
    leaders go on to the next round.  Keys held by many sets are split.
-4. Tokens in one group only cannot be part of a link between groups.  A set of
-   which less than 0.8 is left without them is done.
+4. Tokens in one group only cannot be part of a link between groups.  A set whose
+   first tokens without them are below the bound is done, and then a set of which
+   less than 0.8 is left without them.
 5. The matrix (token, group) over the rest, groups taken apart by size class
    (sets of 2^(1/8) times the size at most).  Sets of the smaller group query
    the larger.  A link between sets of n and m tokens needs an overlap of
    4 (n + m) / 9, which bounds the overlap of first tokens for each class.  Of
    a set's t first tokens in other groups of the class, the t - bound + k in the
    fewest groups are looked up; a group that reaches the bound holds k of them
-   (k = 1 + bound // 4).  For a group of CROWD sets or more the overlap is then
+   (k = 1 + bound // 8).  For a group of CROWD sets or more the overlap is then
    looked for in the union of its whole sets.  Groups that qualify are opened
    and their members compared exactly.
 
@@ -170,14 +171,16 @@ def _summary(docs: DataFrame) -> DataFrame:
 
 def _first_tokens(docs: DataFrame, hot) -> DataFrame:
     """(token, q, rest) of the first tokens outside the frequent list; ``rest``:
-    what the bound asks for beyond the frequent ones.  A null token stands for a
-    set that needs no more.  Equal sets are emitted once a task."""
-    def rows_of(toks: list[np.ndarray], qs: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        """``qs``: (q, rest, number of rows) of each piece of ``toks``; None is a null token."""
+    what the bound asks for beyond the frequent ones.  A row without ``rest``, its
+    token the fingerprint, stands for a set that needs no more.  Equal sets are
+    emitted once a task."""
+    def rows_of(toks: list[np.ndarray], qs: list[tuple[int, int | None, int]]) -> pa.RecordBatch:
+        """``qs``: (q, rest, number of rows) of each piece of ``toks``."""
         n = [x[2] for x in qs]
-        token = pa.concat_arrays([pa.nulls(1, pa.int64()) if t is None else pa.array(t.view(np.int64)) for t in toks])
-        return pa.RecordBatch.from_arrays([token, pa.array(np.repeat(np.array([x[0] for x in qs], np.int64), n)),
-                                           pa.array(np.repeat(np.array([x[1] for x in qs], np.int32), n))], names=["token", "q", "rest"])
+        rest = np.repeat(np.array([x[1] or 0 for x in qs], np.int32), n)
+        none = np.repeat(np.array([x[1] is None for x in qs]), n)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.repeat(np.array([x[0] for x in qs], np.int64), n)),
+                                           pa.array(rest, mask=none)], names=["token", "q", "rest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = _Order(hot.value), set()
@@ -194,10 +197,10 @@ def _first_tokens(docs: DataFrame, hot) -> DataFrame:
                 seen.add(q)
                 cold, hots = order.first(t)
                 rest = bound(len(t)) - len(hots)
-                for part in ([cold] if len(cold) else []) + ([None] if rest <= 0 else []):
+                for part, r in ([(cold, rest)] if len(cold) else []) + ([(np.array([q]).view(np.uint64), None)] if rest <= 0 else []):
                     toks.append(part)
-                    qs.append((q, rest, 1 if part is None else len(part)))
-                    size += qs[-1][2]
+                    qs.append((q, r, len(part)))
+                    size += len(part)
                 if size >= OUT_TOKENS:
                     yield rows_of(toks, qs)
                     toks, qs, size = [], [], 0
@@ -304,6 +307,12 @@ def _round(sets: DataFrame, r: int) -> DataFrame:
     return shared.mapped(runs, run, f"{types}, parent bigint").unionByName(alone)
 
 
+def _across(rows: DataFrame) -> DataFrame:
+    """Rows whose token is in two groups or more."""
+    by_token = Window.partitionBy("token")
+    return rows.withColumns({"lo": F.min("g").over(by_token), "hi": F.max("g").over(by_token)}).filter("lo < hi").drop("lo", "hi")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, n_shingles, component_id (smallest id of its component)."""
     spark = docs.sparkSession
@@ -319,16 +328,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     real = base.filter("id is not null")
 
     # 2. all other documents as one group
-    by_token = Window.partitionBy("token", F.when(F.col("token").isNull(), F.col("q")))   # a null token has no others
+    by_token = Window.partitionBy("token")
     rows = _first_tokens(real, hot_b)
     shared_rows = shared.staged(
         rows.withColumns({"lo": F.min("q").over(by_token), "hi": F.max("q").over(by_token)})
-        .filter("token is null or lo < hi").select("token", "q", "rest").distinct())
+        .filter("rest is null or lo < hi").select("token", "q", "rest").distinct()     # still by token: moved once
+        .select(F.expr("if(rest is null, null, token)").alias("token"), "q", F.coalesce("rest", F.lit(0)).alias("rest")))
     active = (shared_rows.groupBy("q").agg(F.min("rest").alias("rest"), F.count("token").alias("got"))
               .filter("got >= rest").select("q").join(reps, "q"))
     active = shared.staged(active)
     sets = _full_sets(shared.maybe_in(real, active.select(F.col("rep").alias("id")), "id"), hot_b)
-    left = shared.staged(sets.join(active.select("q", "rep"), "q").filter("id = rep").drop("id", "rep"))
+    # sets stay where they are: a few more rows pass the bitmaps, they link with nothing or are copies that the first round drops
+    left = shared.staged(shared.maybe_in(sets, active, "q").drop("id"))
     hot_b.unpersist()
 
     # 3. groups; the first round leaves one row a set
@@ -346,25 +357,30 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .select("q", "n", F.coalesce("root", "q").alias("g"))
     group = shared.staged(group.join(group.groupBy("g").agg(F.count("*").alias("size")), "g").select("q", "n", "g", "size"))
 
-    # 4. sets that tokens of other groups cover
-    every = sets.select("q", "toks").join(group.select("q", "n", "g"), "q").select("q", "n", "g", F.explode("toks").alias("token"))
+    # 4. sets of which enough first tokens are in other groups, then sets that tokens of other groups cover
+    colds = shared_rows.filter("token is not null").select("token", "q").join(group.select("q", "g"), "q")
+    colds = shared.staged(_across(colds).select("token", "q"))
+    hots = sets.select("q", F.explode("hots").alias("token")).join(group.select("q", "g"), "q")
+    across = hots.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token")   # at most HOT rows
+    hots = shared.staged(hots.join(F.broadcast(across), "token").select("token", "q"))
+    first = colds.unionByName(hots)
+    group = shared.staged(group.drop("size").join(first.groupBy("q").agg(F.count("*").alias("got")), "q")
+                          .filter("got >= 1 + floor(2 * n / 25)").drop("got"))
+    sets = shared.staged(shared.maybe_in(sets.select("q", "n", "toks"), group, "q").join(group.select("q", "g"), "q"))
+    every = sets.select("q", "g", F.explode("toks").alias("token"))
     # frequent tokens are aggregated before they move and come back as a list of at most HOT rows
     often = every.join(frequent, "token")
     several = often.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token")
-    rare = (every.join(frequent, "token", "left_anti")
-            .withColumns({"lo": F.min("g").over(Window.partitionBy("token")), "hi": F.max("g").over(Window.partitionBy("token"))}).filter("lo < hi"))
-    covered = (often.join(F.broadcast(several), "token").select("q", "n").unionByName(rare.select("q", "n"))
-               .groupBy("q").agg(F.count("*").alias("got"), F.first("n").alias("n"))
-               .filter("5 * got >= 4 * n").select("q"))
-    group = group.drop("size").join(covered, "q").withColumn("cls", F.floor(8 * F.log2("n")).cast("int"))
+    rare = _across(every.join(frequent, "token", "left_anti"))
+    covered = often.join(F.broadcast(several), "token").select("q").unionByName(rare.select("q")).groupBy("q").agg(F.count("*").alias("got"))
+    group = group.join(covered, "q").filter("5 * got >= 4 * n").drop("got").withColumn("cls", F.floor(8 * F.log2("n")).cast("int"))
     group = shared.staged(group.join(group.groupBy("g").agg(F.count("*").alias("size")), "g").select("q", "n", "g", "size", "cls"))
 
     # 5. the matrix, and the groups that qualify
-    sets = shared.staged(sets.join(group.select("q"), "q").select("q", "n", "toks", "hots"))
-    tokens = (shared_rows.filter("token is not null").select("token", "q").join(group, "q")
-              .unionByName(sets.select(F.explode("hots").alias("token"), "q").join(group, "q")))
-    tokens = shared.staged(tokens)
+    sets = shared.staged(shared.maybe_in(sets.drop("g"), group, "q"))
+    tokens = shared.staged(first.select("token", "q").join(group, "q"))
     matrix = tokens.select("token", "cls", F.col("g").alias("og"), F.col("size").alias("osize")).distinct()
+    matrix = shared.staged(matrix)
     held = matrix.groupBy("token", "cls").agg(F.count("*").alias("groups"), F.min("og").alias("only"))
     # size range of each class: at most 8 rows for each doubling of the size
     classes = group.groupBy("cls").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -383,7 +399,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     asked = (tokens.withColumnRenamed("cls", "own").join(held, "token")
              .filter("abs(cls - own) <= 3 and (groups > 1 or only <> g)").drop("own", "only")
              .join(F.broadcast(classes), "cls"))
-    asked = (sized(asked, "need").drop("a").withColumn("k", 1 + F.floor(F.col("need") / 4))
+    asked = (sized(asked, "need").drop("a").withColumn("k", 1 + F.floor(F.col("need") / 8))
              .withColumns({"t": F.count("*").over(by_set), "nth": F.row_number().over(by_set.orderBy("groups", "token"))})
              .filter("t >= need and nth <= t - need + k").drop("groups", "t", "nth"))
     opened = (asked.join(matrix, ["token", "cls"])

@@ -114,3 +114,41 @@ def test_one_of_each_tells_rows_apart(spark):
     rows = [(3, a), (7, a), (7, b), (None, b), (None, b), (None, "alone under no id"), (9, ""), (9, ""), (5, None)]
     kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(3, a), (7, b), (None, "alone under no id"), (9, ""), (9, ""), (5, None)]))
+
+
+def test_unlinked_near_copies_meet_few_times(spark, monkeypatch):
+    """Sets of one cluster below the similarity: rows made where their look-ups meet the matrix."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    base = [word() for _ in range(200)]
+    docs = []
+    for i in range(120):                                   # similarities of about 0.5 to 0.9 with each other
+        w = list(base)
+        for _ in range(rng.randrange(2, 9)):
+            w[rng.randrange(200)] = word()
+        docs.append((i, " ".join(w)))
+    frame = type(spark.range(1))
+    looked, join = [], frame.join
+
+    def counted(self, other, on=None, how=None):
+        got = join(self, other, on, how)
+        if isinstance(on, list) and on == ["token", "cls"]:
+            looked.append(got.filter("g <> og and (size < osize or (size = osize and g < og))").count())
+        return got
+
+    monkeypatch.setattr(frame, "join", counted)
+    assert result(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+    assert len(looked) == 1
+    print("looked up", looked)
+    assert looked
+
+
+def test_sets_without_rest(spark):
+    """Rows whose first tokens are all frequent, and copies under other ids, stay whole when nothing is joined on the fingerprint."""
+    rng = random.Random(29)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(80)]
+    docs = [(i, " ".join(base[:rng.randrange(60, 81)])) for i in range(90)] + [(100 + i, " ".join(base)) for i in range(20)]
+    docs += [(5, "another text under the id of one above, all its own words")]
+    rows = jaccard.similar(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    one = [r for r in rows if r["doc_id"] != 5]
+    assert len(rows) == len(docs) and {r["component_id"] for r in one if r["n_shingles"] > 20} == {0}
