@@ -139,7 +139,7 @@ def test_unlinked_near_copies_meet_few_times(spark, monkeypatch):
     monkeypatch.setattr(frame, "join", counted)
     assert result(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
     assert len(looked) == 1
-    assert looked and looked[0] < 15_000      # 20 506 with k = 1 + bound // 4, 11 140 now
+    assert looked and looked[0] < 15_000      # 20 506 by the code before, 11 140 now
 
 
 def test_sets_without_rest(spark):
