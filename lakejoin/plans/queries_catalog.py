@@ -124,9 +124,14 @@ def load_csv_folder(spark, sf):
     wide = (lake.cells.groupBy("table_id", "row_idx")
             .agg(F.max(F.when(F.col("col_idx") == 0, F.col("value"))).alias("role"),
                  F.max(F.when(F.col("col_idx") == 1, F.col("value"))).alias("text")))
-    (wide.repartition("table_id").sortWithinPartitions("table_id", "row_idx")
+    # a file a table: the number of tasks is given, or few bytes would be few tasks however many
+    # files they make; version 2 lets each task put its files in place, not the driver all of them
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    (wide.repartition(n, "table_id").sortWithinPartitions("table_id", "row_idx")
      .select("table_id", "role", "text")
      .write.mode("overwrite").partitionBy("table_id").option("header", True).option("escape", '"')
+     .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+     .option("fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem").option("fs.file.impl.disable.cache", "true")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     loaded, _ = read_csv_tables(spark, path, "folder")
     tid = F.regexp_extract("table_id", r"table_id=([^/]+)/", 1)

@@ -10,6 +10,9 @@ Unreadable files become ``rejects`` rows instead of failing the job.
 
 from __future__ import annotations
 
+import posixpath
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,26 +29,27 @@ def _parse(strip_names: bool):
     def run(batches):
         import io
         for pdf in batches:
-            out = []
+            # plain lists: a data frame for each column of each small file costs more than reading it
+            out = {c: [] for c in ("table_id", "row_idx", "col_idx", "col_name", "value", "error")}
+
+            def add(*parts):
+                for got, part in zip(out.values(), parts):
+                    got.extend(part)
+
             for tid, content in zip(pdf["table_id"], pdf["content"]):
                 try:
                     df = pd.read_csv(io.BytesIO(bytes(content)))
                 except Exception as e:  # unreadable file -> reject row
-                    out.append(pd.DataFrame({"table_id": [tid], "row_idx": [None], "col_idx": [None],
-                                             "col_name": [None], "value": [None], "error": [repr(e)]}))
+                    add([tid], [None], [None], [None], [None], [repr(e)])
                     continue
-                names = [str(c).strip() if strip_names else str(c) for c in df.columns]
                 n = len(df)
                 for i, c in enumerate(df.columns):
-                    col = df[c]
-                    vals = [None if pd.isna(x) else str(x) for x in col.tolist()]
-                    out.append(pd.DataFrame({"table_id": tid, "row_idx": range(n), "col_idx": i,
-                                             "col_name": names[i], "value": vals, "error": None}))
+                    vals = [None if pd.isna(x) else str(x) for x in df.iloc[:, i].tolist()]
+                    add([tid] * n, range(n), [i] * n, [str(c).strip() if strip_names else str(c)] * n, vals, [None] * n)
                 if len(df.columns) and n == 0:
-                    out.append(pd.DataFrame({"table_id": [tid], "row_idx": [None], "col_idx": [None],
-                                             "col_name": [None], "value": [None], "error": ["__empty__"]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                    add([tid], [None], [None], [None], [None], ["__empty__"])
+            if out["table_id"]:
+                yield pd.DataFrame({c: pd.array(v, "Int64") if c.endswith("_idx") else pd.Series(v, dtype=object) for c, v in out.items()})
     return run
 
 
@@ -66,12 +70,24 @@ def _headers(strip_names: bool):
     return run
 
 
+def _folder_files(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The files ``dir/<folder>/<table>.csv``.  Only the folders' names are listed by the
+    driver, the folders by tasks; a pattern down to the files would be expanded by the
+    driver, one folder after the other."""
+    root, reader = table_dir.rstrip("/"), spark.read.format("binaryFile")
+    if re.search(r"[*?\[{]", root):
+        return reader.load(f"{root}/*/*.csv")
+    files = reader.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(f"{root}/*")
+    # not the files beside the folders or deeper
+    end = re.sub(r"^(\.\.?(/|$))+", "", posixpath.normpath(re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", root)))
+    return files.filter(F.regexp_replace("path", r"/[^/]+/[^/]+$", "").endswith(end))
+
+
 def read_csv_tables(spark: SparkSession, table_dir: str, layout: str = "flat") -> tuple[Lake, DataFrame]:
     """S7 (``flat``: ``dir/<table>.csv``, id = stem, names stripped) and S8
     (``folder``: ``dir/<folder>/<table>.csv``, id = ``folder/stem``, names kept).
     Returns (lake, rejects(table_id, error))."""
-    glob = f"{table_dir.rstrip('/')}/*.csv" if layout == "flat" else f"{table_dir.rstrip('/')}/*/*.csv"
-    files = spark.read.format("binaryFile").load(glob)
+    files = spark.read.format("binaryFile").load(f"{table_dir.rstrip('/')}/*.csv") if layout == "flat" else _folder_files(spark, table_dir)
     if layout == "flat":
         tid = F.regexp_extract("path", r"([^/]+)\.csv$", 1)
     else:

@@ -1,6 +1,7 @@
 """Edge fixtures of the loaders (FIXTURES.md section 3)."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,46 @@ def test_csv_flat_folder_and_links(spark, tmp_path):
     assert got == [("t1", "id", "t2", "k")]
 
 
+def test_csv_folders_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """The driver is not given a pattern down to the files; files beside or below the folders are no tables."""
+    root = tmp_path / "many"
+    for i in range(50):
+        (root / f"f{i}").mkdir(parents=True)
+        (root / f"f{i}" / "t.csv").write_text(f"a,a\n{i},\n")
+    (root / "f0" / "k=1").mkdir()
+    for odd in (root / "beside.csv", root / "f0" / "k=1" / "below.csv", root / "f0" / "t.txt"):
+        odd.write_text("x\n1\n")
+    (root / "f1" / "none.csv").write_text("only,names\n")
+    reader = type(spark.read)
+    load, asked = reader.load, []
+
+    def loaded(self, path=None, *args, **kw):
+        asked.append(path)
+        return load(self, path, *args, **kw)
+
+    monkeypatch.setattr(reader, "load", loaded)
+    for at in (str(root), f"file://{root}/", f"{tmp_path}/./x/../many"):
+        lake, rejects = read_csv_tables(spark, at, "folder")
+        want = [(f"f{i}/t", 0, c, name, v) for i in range(50) for c, name, v in ((0, "a", str(i)), (1, "a.1", None))]
+        assert sorted(cells_of(lake), key=repr) == sorted(want, key=repr)
+        assert lake.columns.filter("table_id = 'f1/none'").count() == 2 and rejects.count() == 0
+    assert asked and not any(p.endswith("/*/*.csv") for p in asked)
+
+
+def test_csv_folders_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """One file a table: small tables are not all written by one task."""
+    from lakejoin.plans.registry import QUERIES
+    import lakejoin.plans.queries_catalog as Q
+    rows = [(i, t, r, f"text {i}, \"{t}\"") for i in range(64) for t, r in ((0, "user"), (1, "assistant"))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = str(tmp_path / "written")
+    monkeypatch.setattr(Q, "scratch", lambda *_: out)
+    got = {(r.table_id, r.row_idx, r.col_idx): r.value for r in QUERIES["load_csv_folder"](spark, str(tmp_path)).collect()}
+    assert got == {(f"conv_{i}", t, c): (role, text)[c] for i, t, role, text in rows for c in (0, 1)}
+    files = [f.name for f in Path(out).glob("*/*.csv")]
+    assert len(files) == 64 and len({f.split("-")[1] for f in files}) > 4
+
+
 def test_explicit_base_and_partition_win(spark, tmp_path):
     p = write(tmp_path / "b.json", [{"table_id": "x-top-1", "columns": ["a"], "cells": [["1"]], "base_id": "B",
                                      "partition": ""},
