@@ -28,7 +28,8 @@ Steps:
    leaders go on to the next round.  Keys held by many sets are split.
 4. Tokens in one group only cannot be part of a link between groups.  A set whose
    first tokens without them are below the bound is done, and then a set of which
-   less than 0.8 is left without them.
+   less than 0.8 is left without them; the tokens are looked at by halves, and a
+   set that misses more than 0.2 of its size in the first sends no others.
 5. The matrix (token, group) over the rest, groups taken apart by size class
    (sets of 2^(1/8) times the size at most).  Sets of the smaller group query
    the larger.  A link between sets of n and m tokens needs an overlap of
@@ -307,10 +308,21 @@ def _round(sets: DataFrame, r: int) -> DataFrame:
     return shared.mapped(runs, run, f"{types}, parent bigint").unionByName(alone)
 
 
+def _owned(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Add ``own``: the group of ``q`` by ``label`` (q, root), null for a set that is
+    alone in its group.  Only rows of sets that may be in ``label`` are moved."""
+    rows, flag = shared.marked(rows, label, "q")
+    alone = rows.filter(~F.col(flag)).drop(flag).withColumn("own", F.lit(None).cast("long"))
+    return rows.filter(flag).drop(flag).join(label.withColumnRenamed("root", "own"), "q", "left").unionByName(alone)
+
+
 def _across(rows: DataFrame) -> DataFrame:
-    """Rows whose token is in two groups or more."""
+    """Rows whose token is in two groups or more; the group is ``own``, or the set
+    itself.  A window over plain columns: one over the group would move it as well."""
     by_token = Window.partitionBy("token")
-    return rows.withColumns({"lo": F.min("g").over(by_token), "hi": F.max("g").over(by_token)}).filter("lo < hi").drop("lo", "hi")
+    found = {"lo": F.min("own"), "hi": F.max("own"), "lo_q": F.min("q"), "hi_q": F.max("q"), "grouped": F.count("own"), "n_rows": F.count("*")}
+    return (rows.withColumns({k: v.over(by_token) for k, v in found.items()})
+            .filter("if(grouped = 0, lo_q < hi_q, lo < hi or grouped < n_rows)").drop(*found))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,32 +364,42 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         links = new if links is None else links.unionByName(new)
         left = done.filter("parent is null").drop("parent")
     links = shared.staged(links)
-    label = components(links)
-    group = sets.select("q", "n").join(label.withColumnRenamed("node", "q"), "q", "left") \
+    label = components(links).withColumnRenamed("node", "q")
+    group = sets.select("q", "n").join(label, "q", "left") \
         .select("q", "n", F.coalesce("root", "q").alias("g"))
     group = shared.staged(group.join(group.groupBy("g").agg(F.count("*").alias("size")), "g").select("q", "n", "g", "size"))
 
     # 4. sets of which enough first tokens are in other groups, then sets that tokens of other groups cover
-    colds = shared_rows.filter("token is not null").select("token", "q").join(group.select("q", "g"), "q")
-    colds = shared.staged(_across(colds).select("token", "q"))
+    # (a few more rows pass the bitmaps: they only make a token look shared, and meet ``group`` below)
+    colds = shared.maybe_in(shared_rows.filter("token is not null").select("token", "q"), group, "q")
+    colds = shared.staged(_across(_owned(colds, label)).select("token", "q"))
     hots = sets.select("q", F.explode("hots").alias("token")).join(group.select("q", "g"), "q")
     across = hots.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token")   # at most HOT rows
     hots = shared.staged(hots.join(F.broadcast(across), "token").select("token", "q"))
     first = colds.unionByName(hots)
     group = shared.staged(group.drop("size").join(first.groupBy("q").agg(F.count("*").alias("got")), "q")
                           .filter("got >= 1 + floor(2 * n / 25)").drop("got"))
-    sets = shared.staged(shared.maybe_in(sets.select("q", "n", "toks"), group, "q").join(group.select("q", "g"), "q"))
-    every = sets.select("q", "g", F.explode("toks").alias("token"))
-    # frequent tokens are aggregated before they move and come back as a list of at most HOT rows
-    often = every.join(frequent, "token")
-    several = often.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo < hi").select("token")
-    rare = _across(every.join(frequent, "token", "left_anti"))
-    covered = often.join(F.broadcast(several), "token").select("q").unionByName(rare.select("q")).groupBy("q").agg(F.count("*").alias("got"))
-    group = group.join(covered, "q").filter("5 * got >= 4 * n").drop("got").withColumn("cls", F.floor(8 * F.log2("n")).cast("int"))
+    sets = shared.staged(_owned(shared.maybe_in(sets.select("q", "toks"), group, "q"), label))
+    # half of the tokens at a time: a set that misses too many of the first half sends no others
+    group = group.withColumn("missed", F.lit(0).cast("long"))
+    for half in (0, 1):
+        part = F.expr(f"filter(toks, t -> (t & 1) = {half})")
+        every = sets.select("q", "own", F.explode(part).alias("token"))
+        # frequent tokens are aggregated before they move and come back as a list of at most HOT rows
+        often = every.join(frequent, "token")
+        g = F.coalesce("own", "q")
+        several = often.groupBy("token").agg(F.min(g).alias("lo"), F.max(g).alias("hi")).filter("lo < hi").select("token")
+        rare = _across(every.join(frequent, "token", "left_anti"))
+        covered = often.join(F.broadcast(several), "token").select("q").unionByName(rare.select("q")).groupBy("q").agg(F.count("*").alias("got"))
+        group = group.join(sets.select("q", F.size(part).alias("asked")), "q").join(covered, "q", "left")
+        group = shared.staged(group.select("q", "n", "g", (F.col("missed") + F.col("asked") - F.coalesce("got", F.lit(0))).alias("missed"))
+                              .filter("5 * missed <= n"))
+        sets = shared.maybe_in(sets, group, "q")
+    group = group.drop("missed").withColumn("cls", F.floor(8 * F.log2("n")).cast("int"))
     group = shared.staged(group.join(group.groupBy("g").agg(F.count("*").alias("size")), "g").select("q", "n", "g", "size", "cls"))
 
     # 5. the matrix, and the groups that qualify
-    sets = shared.staged(shared.maybe_in(sets.drop("g"), group, "q"))
+    sets = shared.staged(shared.maybe_in(sets.drop("own"), group, "q"))
     tokens = shared.staged(first.select("token", "q").join(group, "q"))
     matrix = tokens.select("token", "cls", F.col("g").alias("og"), F.col("size").alias("osize")).distinct()
     matrix = shared.staged(matrix)
@@ -419,10 +441,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = (opened.join(group.select(F.col("q").alias("x"), F.col("n").alias("nx"), F.col("g").alias("og"), "cls"), ["og", "cls"])
              .filter("5 * least(n, nx) >= 4 * greatest(n, nx)").select("q", "x"))
     pairs = shared.staged(pairs)
-    full = sets.select("q", "n", "toks")
-    met = (pairs.join(full, "q")
-           .join(full.select(F.col("q").alias("x"), F.col("n").alias("nx"), F.col("toks").alias("xtoks")), "x")
-           .select(F.col("q").alias("a"), F.col("x").alias("b"), "n", "nx", F.size(F.array_intersect("toks", "xtoks")).alias("both"))
+    met = (pairs.join(sets.select("q", "toks"), "q")
+           .join(sets.select(F.col("q").alias("x"), F.col("toks").alias("xtoks")), "x")
+           .select(F.col("q").alias("a"), F.col("x").alias("b"), F.size("toks").alias("n"), F.size("xtoks").alias("nx"),
+                   F.size(F.array_intersect("toks", "xtoks")).alias("both"))
            .filter("5 * both >= 4 * (n + nx - both)").select("a", "b"))
     found = links.unionByName(shared.staged(met))
 

@@ -151,3 +151,32 @@ def test_sets_without_rest(spark):
     rows = jaccard.similar(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
     one = [r for r in rows if r["doc_id"] != 5]
     assert len(rows) == len(docs) and {r["component_id"] for r in one if r["n_shingles"] > 20} == {0}
+
+
+def test_sets_stay_where_they_are_and_send_half(spark, monkeypatch):
+    """Sets that share half of their tokens with two others: no whole set is moved for its group, and one half of the tokens settles it."""
+    rng = random.Random(31)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    docs = []
+    for i in range(30):
+        common = text(100)
+        docs += [(3 * i + j, f"{common} {text(100)}") for j in range(3)]
+    docs += [(200, docs[0][1] + " end"), (201, docs[0][1])]                # one group of two sets
+    sent, moved = [], []
+    frame, across = type(spark.range(1)), jaccard._across
+    join = frame.join
+
+    def joined(self, other, on=None, how=None):
+        if isinstance(on, str) and on == "q" and "toks" in self.columns and "xtoks" not in other.columns:
+            moved.append(self.count())
+        return join(self, other, on, how)
+
+    def counted(rows):
+        sent.append(rows.count())
+        return across(rows)
+
+    monkeypatch.setattr(frame, "join", joined)
+    monkeypatch.setattr(jaccard, "_across", counted)
+    assert result(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+    assert moved and sum(moved) <= 2
+    assert sum(sent) < 15_000     # 11 408 now
