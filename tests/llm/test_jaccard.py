@@ -178,5 +178,5 @@ def test_sets_stay_where_they_are_and_send_half(spark, monkeypatch):
     monkeypatch.setattr(frame, "join", joined)
     monkeypatch.setattr(jaccard, "_across", counted)
     assert result(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
-    assert moved and sum(moved) <= 2
-    assert sum(sent) < 15_000     # 11 408 now
+    assert moved and sum(moved) <= 2      # 91 by the code before
+    assert sum(sent) < 15_000             # 20 495 by the code before, 11 408 now
