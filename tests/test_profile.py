@@ -83,3 +83,28 @@ def test_profile_and_ranking_read_one_exchange_of_the_values(spark):
     assert got == {"a": "a contains 3 values (2, 1, 1.3): x, yy", "b": "b contains 1 values (0, 0, 0.0): ",
                    "c": "c contains 2 values (0, 0, 0.0): ", "d": "d contains 0 values (0, 0, 0.0): "}
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranking_by_lake_frequency_reads_the_same_exchange(spark):
+    """The ranking alone needs no frequency of its own there, and made its own groups for that."""
+    rows = [("t", i, 0, "a", v) for i, v in enumerate(["x", None, "yy", "x", "z"])]
+    cells = spark.createDataFrame(rows, "table_id string, row_idx long, col_idx int, col_name string, value string")
+    columns = spark.createDataFrame([("t", 0, "a", None, None)], "table_id string, col_idx int, col_name string, description string, key_pos int")
+    freq = spark.createDataFrame([("z", 9), ("yy", 3)], "value string, freq long")
+    df = P.column_text(Lake(None, columns, cells), "colname-stat-col", freq)
+    assert [r.text for r in df.collect()] == ["a contains 4 values (2, 1, 1.2): z, yy, x"]
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_values_are_ranked_by_short_keys(spark, monkeypatch):
+    """The ranking of all values by lake frequency: long ones that share their cut stay apart and are not sorted themselves."""
+    long = ["p" * 300 + str(i % 7) for i in range(12)]
+    rows = [(t, i, 0, "c", v) for t in ("t", "u") for i, v in enumerate([*long, "a", None, "b", "", "a"])]
+    cells = spark.createDataFrame(rows, "table_id string, row_idx long, col_idx int, col_name string, value string")
+    freq = spark.createDataFrame([(long[3], 5), ("b", 7), ("a", 2)], "value string, freq long")
+    sorted_, keep = [], P.written
+    monkeypatch.setattr(P, "written", lambda df: sorted_.append(keep(df)) or sorted_[-1])
+    key = lambda df: sorted((r.table_id, r.col_name, r.value, r.rn) for r in df.collect())
+    got = key(P.rank_all_cells(cells, freq))
+    assert got == key(P.rank_all_values(P.value_frequency(cells), freq)) and len(got) == 20
+    assert max(len(r.value) for df in sorted_ for r in df.collect()) <= P.VALUE_CUT + 64
